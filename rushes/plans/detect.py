@@ -123,7 +123,43 @@ def sort_by_time(spark, sf_dir):
     return sampling.sort_by_time(detections(spark, sf_dir)).select("file_id", "idx", F.round("t", 2).alias("t"), "label")
 
 
-@query("track_persons")
+# People step by step: every earlier face that could decide is listed first, the walk then looks up its person.
+PERSONS = "WITH RECURSIVE " + DETS + """, faces AS MATERIALIZED (
+  SELECT d.*, e.embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY file_id ORDER BY t, idx) AS rn
+  FROM dets d JOIN embeddings e ON e.vec_id = d.idx % (SELECT count(*) FROM embeddings)
+), pairs AS (
+  SELECT a.file_id, a.rn, b.rn AS other, a.t - b.t <= 5 AND """ + IOU.format(a="a", b="b") + """ >= 0.2 AS placed,
+         1 - list_cosine_similarity(a.v, b.v) AS dist
+  FROM faces a JOIN faces b ON a.file_id = b.file_id AND b.rn < a.rn
+), hints AS MATERIALIZED (
+  SELECT file_id, rn, coalesce(list(other) FILTER (placed), []) AS near,
+         coalesce(list({'d': dist, 'r': other}) FILTER (dist < 0.8), []) AS alike
+  FROM pairs GROUP BY file_id, rn
+), walk AS (
+  SELECT file_id, rn, idx, t, confidence, x, y, w, h, [0::BIGINT] AS persons, 0::BIGINT AS person
+  FROM faces WHERE rn = 1
+  UNION ALL
+  SELECT file_id, rn, idx, t, confidence, x, y, w, h, list_append(persons, p), p
+  FROM (
+    SELECT f.file_id, f.rn, f.idx, f.t, f.confidence, f.x, f.y, f.w, f.h, k.persons,
+           coalesce(list_min(list_transform(g.near, lambda r: k.persons[r])),
+                    list_sort(list_transform(g.alike, lambda s: {'d': s.d, 'p': k.persons[s.r]}))[1].p,
+                    list_max(k.persons) + 1) AS p
+    FROM walk k JOIN faces f ON f.file_id = k.file_id AND f.rn = k.rn + 1
+         JOIN hints g ON g.file_id = f.file_id AND g.rn = f.rn)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY file_id, person ORDER BY confidence DESC, t, idx) AS r,
+         count(*) OVER (PARTITION BY file_id, person) AS n, count(*) OVER (PARTITION BY file_id) AS total
+  FROM walk
+), best AS (
+  SELECT file_id, person, idx, n AS n_detections, CASE WHEN total = 1 THEN 'single_detection' ELSE nullif(concat_ws(', ',
+           CASE WHEN x < 12 OR y < 10 OR x + w > 240 - 12 OR y + h > 200 - 10 THEN 'near_edge' END,
+           CASE WHEN confidence < 0.95 THEN 'low_confidence' END,
+           CASE WHEN n = 1 THEN 'single_detection' END), '') END AS review_reason
+  FROM ranked WHERE r = 1)"""
+
+
+@query("track_persons", PERSONS + "\nSELECT file_id, idx, person FROM walk")
 def track_persons(spark, sf_dir):
     return tracking.track_persons(faces(spark, sf_dir), emb=0.8).select("file_id", "idx", "person")
 
@@ -135,12 +171,15 @@ def best_faces(spark, sf_dir):
     return aggregates.review_flags(sized)
 
 
-@query("review_flags")
+@query("review_flags", PERSONS + """
+SELECT file_id, person, idx, review_reason, review_reason IS NOT NULL AS needs_review, n_detections FROM best""")
 def review_flags(spark, sf_dir):
     return best_faces(spark, sf_dir).select("file_id", "person", "idx", "review_reason", "needs_review", "n_detections")
 
 
-@query("face_summary")
+@query("face_summary", PERSONS + """
+SELECT file_id, sum(n_detections)::BIGINT AS n_detections, count(*)::BIGINT AS n_persons,
+       count(review_reason)::BIGINT AS n_review FROM best GROUP BY file_id""")
 def face_summary(spark, sf_dir):
     return aggregates.face_summary(best_faces(spark, sf_dir))
 
