@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from rushes.plans import detect, motion  # noqa: F401
+from rushes.plans import detect, motion, text  # noqa: F401
 from rushes.plans.registry import QUERIES, SQL  # noqa: F401
