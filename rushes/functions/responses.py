@@ -5,6 +5,8 @@ Built-in expressions only, in named steps, so that each text is repaired and par
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +208,15 @@ def parse_frame_response(df: DataFrame, response: str = "response") -> DataFrame
     return rooted.withColumn("answer", answer).drop("_fixed", "_json", "_root", "_members")
 
 
+def named_objects(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per object named in ``answer``.
+
+    The outer form keeps Spark from copying the whole reading of a response into a filter on its array.
+    """
+    named = answers.select(*keys, F.explode_outer("answer.objects").alias("label"))
+    return named.filter(F.col("label").isNotNull())
+
+
 def lower_keys(tags: Column | str) -> Column:
     """Map with lower-cased keys; of keys that differ only in case the last one stays."""
     entries = F.map_entries(_c(tags))

@@ -46,8 +46,8 @@ def speech_frames(spark, sf_dir):
   SELECT *, i - row_number() OVER (PARTITION BY file_id, is_speech ORDER BY i) AS grp,
          count(*) OVER (PARTITION BY file_id) AS n FROM speech
 ), runs AS (SELECT file_id, min(i) AS a, max(i) + 1 AS b, max(n) AS n FROM marked WHERE is_speech GROUP BY file_id, grp)
-SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY a) - 1)::BIGINT AS run, round(a * 0.03, 6) AS "start",
-       round(least(b, n) * 0.03, 6) AS "end" FROM runs""")
+SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY a) - 1)::BIGINT AS run, round(a * 0.03::DOUBLE, 6) AS "start",
+       round(least(b, n) * 0.03::DOUBLE, 6) AS "end" FROM runs""")
 def speech_runs(spark, sf_dir):
     runs = segments.true_runs(aggregates.speech_frames(pcm(spark, sf_dir)))
     return runs.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
@@ -55,7 +55,7 @@ def speech_runs(spark, sf_dir):
 
 @query("speech_stats", "WITH " + PCM + """
 SELECT file_id, count(*)::BIGINT AS n_frames, round(count(*) FILTER (is_speech) / count(*), 3) AS speech_ratio,
-       round(count(*) FILTER (is_speech) * 0.03, 6) AS speech_seconds,
+       round(count(*) FILTER (is_speech) * 0.03::DOUBLE, 6) AS speech_seconds,
        CASE WHEN count(*) FILTER (is_speech) * 0.03 >= 0.5 AND count(*) FILTER (is_speech) / count(*) > 0.1
             THEN 'speech' ELSE 'audio' END AS audio_content
 FROM speech GROUP BY file_id""")
@@ -330,7 +330,16 @@ RESPONSES = OBS + r""", resp AS (
          list_filter(regexp_extract_all(regexp_extract(response, '"objects"\s*:\s*\[([^\]]*)', 1), '"([^"]+)"', 1),
                      lambda s: s NOT IN ('name', 'color', 'location')) AS by_list,
          nullif(trim(regexp_extract(response, '"description["\*]*\s*:\s*"([^"]+)"', 1)), '') AS said
-  FROM named)"""
+  FROM named), plain AS (
+  SELECT idx, list_filter(flatten(list_transform(list_filter(list_transform(list_filter(list_transform(
+             string_split(response, chr(10)),
+             lambda s: trim(trim(trim(trim(s), '-'), '*'))),
+             lambda s: s <> '' AND NOT regexp_matches(s, '^[{}]|^```|^"objects"')),
+             lambda s: CASE WHEN regexp_matches(s, '^".*"$') AND length(s) > 1 THEN rtrim(s[2:length(s) - 1], ',') ELSE s END),
+             lambda s: length(s) <= 50 AND NOT contains(s, '[') AND NOT contains(s, ':')),
+             lambda s: list_transform(string_split(s, ','), lambda p: trim(trim(trim(p), '"'), '''')))),
+             lambda p: p <> '' AND length(p) < 50) AS lines
+  FROM resp)"""
 
 
 @query("repair_json", "WITH " + RESPONSES + "\nSELECT idx, md5(f) AS fixed_md5 FROM fixed")
@@ -349,16 +358,7 @@ def parse_response(spark, sf_dir):
     )
 
 
-@query("recover_response", "WITH " + RESPONSES + r""", plain AS (
-  SELECT idx, list_filter(flatten(list_transform(list_filter(list_transform(list_filter(list_transform(
-             string_split(response, chr(10)),
-             lambda s: trim(trim(trim(trim(s), '-'), '*'))),
-             lambda s: s <> '' AND NOT regexp_matches(s, '^[{}]|^```|^"objects"')),
-             lambda s: CASE WHEN regexp_matches(s, '^".*"$') AND length(s) > 1 THEN rtrim(s[2:length(s) - 1], ',') ELSE s END),
-             lambda s: length(s) <= 50 AND NOT contains(s, '[') AND NOT contains(s, ':')),
-             lambda s: list_transform(string_split(s, ','), lambda p: trim(trim(trim(p), '"'), '''')))),
-             lambda p: p <> '' AND length(p) < 50) AS lines
-  FROM resp)
+@query("recover_response", "WITH " + RESPONSES + r"""
 SELECT idx, array_to_string(CASE WHEN len(by_name) > 0 THEN by_name WHEN said IS NOT NULL OR len(by_list) > 0 THEN by_list
                 ELSE lines END, '|') AS objects,
        CASE WHEN len(by_name) > 0 THEN NULL ELSE said END AS description
@@ -383,21 +383,21 @@ def recover_response(spark, sf_dir):
                    WHEN 'OBJECT' THEN coalesce(nullif(o->>'$.name', ''), o->>'$.label') END), lambda s: s IS NOT NULL))) AS objs,
          list_filter(list_transform(items, lambda it: it->>'$.description'), lambda d: length(d) > 10)[1] AS words
   FROM f4)
-SELECT idx, array_to_string(objs, '|') AS objects, trim(words) AS description FROM f5 WHERE items IS NOT NULL""")
+SELECT idx, array_to_string(CASE WHEN items IS NULL THEN lines ELSE objs END, '|') AS objects, trim(words) AS description
+FROM f5 JOIN plain USING (idx)""")
 def parse_frame_response(spark, sf_dir):
     out = responses.parse_frame_response(model_responses(spark, sf_dir))
-    rooted = out.filter(~(F.col("idx") % 7).isin(2, 3, 4))
-    return rooted.select("idx", F.array_join("answer.objects", "|").alias("objects"), "answer.description")
+    return out.select("idx", F.array_join("answer.objects", "|").alias("objects"), "answer.description")
 
 
 @query("label_presence", "WITH " + RESPONSES + """
 SELECT file_id, lower(trim(o)) AS label, count(*)::BIGINT AS n_named, 1::BIGINT AS present
 FROM (SELECT file_id, unnest(CASE WHEN root IS NOT NULL THEN objs WHEN len(by_name) > 0 THEN by_name
-                                  WHEN contains(response, '{') THEN by_list END) AS o
-      FROM traced WHERE idx % 7 <> 4) GROUP BY ALL""")
+                                  WHEN contains(response, '{') THEN by_list ELSE lines END) AS o
+      FROM traced JOIN plain USING (idx)) GROUP BY ALL""")
 def label_presence(spark, sf_dir):
-    read = responses.read_response(model_responses(spark, sf_dir)).filter(F.col("idx") % 7 != 4)
-    return aggregates.label_presence(read.select("file_id", F.explode("answer.objects").alias("label")))
+    read = responses.read_response(model_responses(spark, sf_dir))
+    return aggregates.label_presence(responses.named_objects(read, ["file_id"]))
 
 
 def contexts(spark, sf_dir):
