@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tag(tags: Column | str, *names: str) -> Column:
     """First non-empty value among tag names; ``tags`` has lower-case keys."""
     t = _c(tags)
@@ -28,42 +35,30 @@ def video_streams(streams: Column | str) -> Column:
 
 # --- time ------------------------------------------------------------------------------------------------
 
-_CLOCK = r"(\d{1,2}):(\d{1,2}):(\d{1,2})"
-# Layout of the start of the text, and which groups are year, month, day.
-_DATE_TIMES = [
-    (rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})[T ]{_CLOCK}", (1, 2, 3)),
-    (rf"^(\d{{4}}):(\d{{1,2}}):(\d{{1,2}}) {_CLOCK}", (1, 2, 3)),
-    (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}}) {_CLOCK}", (1, 2, 3)),
-    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) {_CLOCK}", (3, 2, 1)),
+_DAY, _CLOCK = r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}:\d{1,2}:\d{1,2}"
+# Date layouts that are rewritten as year-month-day, each with its replacement.
+_LAYOUTS = [
+    (rf"^(\d{{4}})([:/])(\d{{1,2}})\2(\d{{1,2}}) (?={_CLOCK})", "$1-$3-$4 "),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) (?={_CLOCK})", "$3-$2-$1 "),
 ]
-_FRACTION = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}T{_CLOCK}(\.\d{{1,6}})Z*$"
-
-
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return none_if_empty(F.regexp_extract(text, pattern, group)).try_cast("int")
 
 
 def parse_time(text: Column | str) -> Column:
-    """Timestamp without zone from the date formats cameras write; an offset is removed, not applied."""
+    """Timestamp without zone from the date formats cameras write; an offset is removed, not applied.
+
+    Fractions count only in the ``T`` form; a bare or otherwise unreadable time leaves the date.
+    """
     plain = F.regexp_replace(F.trim(_c(text)), r"[+-]\d{2}:?\d{2}$", "")
-    fraction = F.coalesce(none_if_empty(F.regexp_extract(plain, _FRACTION, 4)), F.lit("0")).try_cast("decimal(16,6)")
-    out = []
-    for pattern, (y, m, d) in _DATE_TIMES:
-        second = _part(plain, pattern, 6).cast("decimal(16,6)") + fraction
-        out.append(
-            F.try_make_timestamp_ntz(
-                _part(plain, pattern, y), _part(plain, pattern, m), _part(plain, pattern, d),
-                _part(plain, pattern, 4), _part(plain, pattern, 5), second,
-            )
-        )
-    day = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
-    zero = F.lit(0)
-    out.append(
-        F.try_make_timestamp_ntz(
-            _part(plain, day, 1), _part(plain, day, 2), _part(plain, day, 3), zero, zero, F.lit(0).cast("decimal(16,6)")
-        )
-    )
-    return F.coalesce(*out)
+
+    def read(p: Column) -> Column:
+        iso = p
+        for pattern, replacement in _LAYOUTS:
+            iso = F.regexp_replace(iso, pattern, replacement)
+        full = F.regexp_extract(iso, rf"^{_DAY}(?:T{_CLOCK}(?:\.\d{{1,6}}(?=Z*$))?| {_CLOCK})", 0)
+        day = F.regexp_extract(p, f"^{_DAY}", 0)
+        return F.coalesce(full.try_cast("timestamp_ntz"), day.try_cast("date").cast("timestamp_ntz"))
+
+    return let(plain, read)
 
 
 def creation_time(tags: Column | str, stream_tags: Column | str | None = None) -> Column:
@@ -94,14 +89,16 @@ def timecode(tags: Column | str, streams: Column | str) -> Column:
 
 def parse_iso6709(text: Column | str) -> Column:
     """Struct ``latitude, longitude, altitude`` from signed numbers such as ``+59.74+010.20+125.0/``."""
-    numbers = F.transform(
-        F.regexp_extract_all(_c(text), F.lit(r"([+-]\d+\.?\d*)"), F.lit(1)), lambda x: x.try_cast("double")
-    )
-    place = F.struct(
-        F.get(numbers, F.lit(0)).alias("latitude"), F.get(numbers, F.lit(1)).alias("longitude"),
-        F.get(numbers, F.lit(2)).alias("altitude"),
-    )
-    return F.when(F.size(numbers) >= 2, place)
+    found = F.regexp_extract_all(_c(text), F.lit(r"([+-]\d+\.?\d*)"), F.lit(1))
+
+    def place(numbers: Column) -> Column:
+        number = [F.get(numbers, F.lit(i)).try_cast("double") for i in range(3)]
+        return F.when(
+            F.size(numbers) >= 2,
+            F.struct(number[0].alias("latitude"), number[1].alias("longitude"), number[2].alias("altitude")),
+        )
+
+    return let(found, place)
 
 
 def dms_to_decimal(text: Column | str, ref: Column | str) -> Column:
@@ -189,31 +186,46 @@ def parse_embedded_xml(text: Column | str) -> Column:
     )
 
 
+def _position(lat: Column, lon: Column, altitude: Column, valid: Column | None = None) -> Column:
+    """Struct of a position whose parts are computed once; null unless both coordinates are readable."""
+    parts = F.struct(
+        lat.alias("latitude"), lon.alias("longitude"), altitude.alias("altitude"),
+        (F.lit(True) if valid is None else valid).alias("valid"),
+    )
+
+    def build(p: Column) -> Column:
+        height = p["altitude"].try_cast("double")
+        readable = p["altitude"].isNull() | height.isNotNull()
+        known = p["latitude"].isNotNull() & p["longitude"].isNotNull() & p["valid"]
+        place = F.struct(
+            p["latitude"].alias("latitude"), p["longitude"].alias("longitude"), height.alias("altitude")
+        )
+        return F.when(known & readable, place)
+
+    return let(parts, build)
+
+
 def parse_sony_xml(xml: Column | str) -> Column:
     """Struct of device, place, colour and lens of a professional-disc sidecar."""
     x = _c(xml)
-    item = "*[local-name()='Item']"
+    # The first group that exists counts, even if it lacks an item.
+    group = f"({_any('Group')}[@name='ExifGPS'] | {_any('Group')}[@name='GPSinExif'][not({_any('Group')}[@name='ExifGPS'])])"
 
     def last_item(name: str) -> Column:
         return _xpath(x, f"({_any('Item')}[@name='{name}'])[last()]/@value")
 
     def gps_item(name: str) -> Column:
-        group = f"{_any('Group')}[@name='%s']//{item}[@name='{name}']/@value"
-        has_first = F.xpath_boolean(x, F.lit(f"{_any('Group')}[@name='ExifGPS']"))
-        return F.when(has_first, _xpath(x, group % "ExifGPS")).otherwise(_xpath(x, group % "GPSinExif"))
+        return _xpath(x, f"{group}//*[local-name()='Item'][@name='{name}']/@value")
+
+    def angle(name: str) -> Column:
+        pair = F.struct(gps_item(name).alias("text"), gps_item(f"{name}Ref").alias("ref"))
+        return let(pair, lambda p: dms_to_decimal(p["text"], p["ref"]))
 
     valid = F.coalesce(gps_item("Status") != "V", F.lit(True))
-    lat = dms_to_decimal(gps_item("Latitude"), gps_item("LatitudeRef"))
-    lon = dms_to_decimal(gps_item("Longitude"), gps_item("LongitudeRef"))
-    altitude = gps_item("Altitude")
-    readable = altitude.isNull() | altitude.try_cast("double").isNotNull()
-    place = F.struct(
-        lat.alias("latitude"), lon.alias("longitude"), altitude.try_cast("double").alias("altitude")
-    )
     return F.struct(
         _xpath(x, f"{_any('Device')}/@manufacturer").alias("make"),
         _xpath(x, f"{_any('Device')}/@modelName").alias("model"),
-        F.when(valid & lat.isNotNull() & lon.isNotNull() & readable, place).alias("gps"),
+        _position(angle("Latitude"), angle("Longitude"), gps_item("Altitude"), valid).alias("gps"),
         last_item("CaptureGammaEquation").alias("transfer"),
         last_item("CaptureColorPrimaries").alias("primaries"),
         last_item("CodingEquations").alias("matrix"),
@@ -234,21 +246,20 @@ def parse_canon_xml(xml: Column | str) -> Column:
         return _xpath(x, f"({_any(parent)})[1]/*[local-name()='{name}']")
 
     def when(name: str) -> Column:
-        text = F.trim(_xpath(x, f"({_any(name)})[1]"))
-        day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
-        iso = F.regexp_replace(text, "Z$", "")
-        return F.when(text.contains("T") | day, parse_time(iso))
-
-    lat, lon = inside("Location", "Latitude"), inside("Location", "Longitude")
-    altitude = inside("Location", "Altitude")
-    numbers = [v.try_cast("double") for v in (lat, lon, altitude)]
-    readable = altitude.isNull() | numbers[2].isNotNull()
-    place = F.struct(numbers[0].alias("latitude"), numbers[1].alias("longitude"), numbers[2].alias("altitude"))
+        def read(text: Column) -> Column:
+            day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+            return F.when(text.contains("T") | day, parse_time(F.regexp_replace(text, "Z$", "")))
+
+        return let(F.trim(_xpath(x, f"({_any(name)})[1]")), read)
+
     return F.struct(
         inside("Device", "Manufacturer").alias("make"),
         inside("Device", "ModelName").alias("model"),
         F.coalesce(when("CreationDate"), when("StartDate"), when("Date")).alias("created_at"),
-        F.when(numbers[0].isNotNull() & numbers[1].isNotNull() & readable, place).alias("gps"),
+        _position(
+            inside("Location", "Latitude").try_cast("double"), inside("Location", "Longitude").try_cast("double"),
+            inside("Location", "Altitude"),
+        ).alias("gps"),
     )
 
 

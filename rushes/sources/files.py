@@ -52,9 +52,8 @@ def media_files(listing: DataFrame) -> DataFrame:
 
 def scan_probe(spark: SparkSession, path: str) -> DataFrame:
     """Probe documents, one JSON file each; a document that does not parse is a row with ``error``."""
-    schema = PROBE.add("_corrupt", "string")
     docs = (
-        spark.read.schema(schema)
+        spark.read.schema(f"{PROBE}, _corrupt string")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("multiLine", "true")

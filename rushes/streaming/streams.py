@@ -41,13 +41,13 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str |
 
 
 def stream_ingest(
-    spark: SparkSession, path: str, schema: T.StructType, sink: str, errors: str, checkpoint: str
+    spark: SparkSession, path: str, schema: str, sink: str, errors: str, checkpoint: str
 ) -> StreamingQuery:
     """Take in new JSON lines; rows that do not parse go to ``errors`` as text.
 
     Each micro-batch overwrites its own directory, so a repeated batch leaves the same files.
     """
-    raw = spark.readStream.schema(schema.add("_corrupt", "string")).option(
+    raw = spark.readStream.schema(f"{schema}, _corrupt string").option(
         "columnNameOfCorruptRecord", "_corrupt"
     ).option("mode", "PERMISSIVE").json(path)
 
