@@ -205,37 +205,59 @@ def _position(lat: Column, lon: Column, altitude: Column, valid: Column | None =
     return let(parts, build)
 
 
-def parse_sony_xml(xml: Column | str) -> Column:
-    """Struct of device, place, colour and lens of a professional-disc sidecar."""
-    x = _c(xml)
-    # The first group that exists counts, even if it lacks an item.
-    group = f"({_any('Group')}[@name='ExifGPS'] | {_any('Group')}[@name='GPSinExif'][not({_any('Group')}[@name='ExifGPS'])])"
+def _items(xml: Column, scope: str) -> Column:
+    """``{name, value}`` of the Item elements below a path, in document order."""
+    item = f"{scope}//*[local-name()='Item'][@name][@value]"
+    names, values = F.xpath(xml, F.lit(f"{item}/@name")), F.xpath(xml, F.lit(f"{item}/@value"))
+    return F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), v.alias("value")))
 
-    def last_item(name: str) -> Column:
-        return _xpath(x, f"({_any('Item')}[@name='{name}'])[last()]/@value")
 
-    def gps_item(name: str) -> Column:
-        return _xpath(x, f"{group}//*[local-name()='Item'][@name='{name}']/@value")
+def parse_sony_xml(xml: Column | str) -> Column:
+    """Struct of device, place, colour and lens of a professional-disc sidecar.
 
-    def angle(name: str) -> Column:
-        pair = F.struct(gps_item(name).alias("text"), gps_item(f"{name}Ref").alias("ref"))
-        return let(pair, lambda p: dms_to_decimal(p["text"], p["ref"]))
+    Of repeated items the last counts; of the two names for the position group, the first that exists.
+    """
+    x = _c(xml)
+    exif, other = f"{_any('Group')}[@name='ExifGPS']", f"{_any('Group')}[@name='GPSinExif']"
+    position_group = f"({exif} | {other}[not({exif})])[1]"
+
+    def build(s: Column) -> Column:
+        def value(items: str, name: str) -> Column:
+            named = F.filter(s[items], lambda i: i["name"] == name)
+            return none_if_empty(F.try_element_at(named, F.lit(-1))["value"])
+
+        def item(name: str) -> Column:
+            return value("items", name)
+
+        def angle(name: str) -> Column:
+            pair = F.struct(value("gps", name).alias("text"), value("gps", f"{name}Ref").alias("ref"))
+            return let(pair, lambda p: dms_to_decimal(p["text"], p["ref"]))
+
+        valid = F.coalesce(value("gps", "Status") != "V", F.lit(True))
+        focal_35mm = F.coalesce(item("FocalLength35mm"), item("FocalLengthIn35mmFilm"))
+        return F.struct(
+            s["make"].alias("make"),
+            s["model"].alias("model"),
+            _position(angle("Latitude"), angle("Longitude"), value("gps", "Altitude"), valid).alias("gps"),
+            item("CaptureGammaEquation").alias("transfer"),
+            item("CaptureColorPrimaries").alias("primaries"),
+            item("CodingEquations").alias("matrix"),
+            s["lut_file"].alias("lut_file"),
+            item("FocalLength").try_cast("double").alias("focal_length"),
+            focal_35mm.try_cast("double").alias("focal_length_35mm"),
+            item("FNumber").try_cast("double").alias("aperture"),
+            item("FocusDistance").try_cast("double").alias("focus_distance"),
+            item("Iris").alias("iris"),
+        )
 
-    valid = F.coalesce(gps_item("Status") != "V", F.lit(True))
-    return F.struct(
+    read = F.struct(
         _xpath(x, f"{_any('Device')}/@manufacturer").alias("make"),
         _xpath(x, f"{_any('Device')}/@modelName").alias("model"),
-        _position(angle("Latitude"), angle("Longitude"), gps_item("Altitude"), valid).alias("gps"),
-        last_item("CaptureGammaEquation").alias("transfer"),
-        last_item("CaptureColorPrimaries").alias("primaries"),
-        last_item("CodingEquations").alias("matrix"),
         _xpath(x, f"{_any('RelatedTo')}[@rel='LUT']/@file").alias("lut_file"),
-        last_item("FocalLength").try_cast("double").alias("focal_length"),
-        F.coalesce(last_item("FocalLength35mm"), last_item("FocalLengthIn35mmFilm")).try_cast("double").alias("focal_length_35mm"),
-        last_item("FNumber").try_cast("double").alias("aperture"),
-        last_item("FocusDistance").try_cast("double").alias("focus_distance"),
-        last_item("Iris").alias("iris"),
+        _items(x, "").alias("items"),
+        _items(x, position_group).alias("gps"),
     )
+    return let(read, build)
 
 
 def parse_canon_xml(xml: Column | str) -> Column:

@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from rushes.plans import detect, files, motion, runs, text  # noqa: F401
+from rushes.plans import detect, files, motion, runs, streams, text  # noqa: F401
 from rushes.plans.registry import QUERIES, SQL  # noqa: F401
