@@ -70,7 +70,7 @@ def stream_sessions(spark, sf_dir):
 SELECT DISTINCT file_id, md5(lower(trim(text, ' '))) AS key_md5 FROM lines""")
 def stream_first_seen(spark, sf_dir):
     docs = stream_of(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    rows = docs.select(F.col("doc_id").alias("file_id"), "text", F.timestamp_seconds(F.col("n").cast("long")).alias("at"))
+    rows = docs.select(F.col("doc_id").alias("file_id"), "text", F.timestamp_seconds(F.col("n").cast("long") + 86400).alias("at"))
     seen = streams.stream_first_seen(rows, "365 days").select("file_id", F.md5("text_key").alias("key_md5"))
     return streams.run_to_table(seen, "first_seen")
 
@@ -88,7 +88,7 @@ def stream_sample(spark, sf_dir):
     rows = stream_of(spark, sf_dir, "events").select(
         F.col("user_id").alias("file_id"), (micros_since(F.col("ts"), "2024-01-01").cast("double") / 3.6e10).alias("t"),
         F.col("event_id").alias("idx"))
-    return streams.run_to_table(streams.stream_sample(rows, 1.0), "sample").select("file_id", "idx")
+    return streams.run_to_table(streams.stream_sample(rows, 1.0, ttl=None), "sample").select("file_id", "idx")
 
 
 @query("stream_enrich", """

@@ -134,7 +134,8 @@ def stream_sample(
 ) -> DataFrame:
     """Greedy sampling over arriving rows, in time order inside a micro-batch.
 
-    The state is one number per file.  Needs the RocksDB state store (``ROCKSDB``).
+    The state is one number per file.  Needs the RocksDB state store (``ROCKSDB``).  ``ttl`` seconds after its
+    last change a file is forgotten; that needs a query that keeps running, so pass ``ttl=None`` with ``availableNow``.
     """
     ttl_ms = int(ttl * 1000) if ttl else None
     return rows.groupBy(*keys).transformWithStateInPandas(
