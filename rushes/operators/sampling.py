@@ -83,8 +83,9 @@ def _exits(keys: list[str], t: str, interval: float):
         for i in range(n - 1, -1, -1):
             ends[i] = times[i] if nxt[i] >= n else ends[nxt[i]]
         starts = min(n, int(nxt[0]) + 1)
-        frame = pd.DataFrame({"_cand": times[:starts], "_exit": ends[:starts]})
-        frame = frame.groupby("_exit", as_index=False).agg(_cand=("_cand", "max"))
+        # Neighbouring first times that leave off at the same time are one row, named by the last of them.
+        last_of_run = np.append(ends[1:starts] != ends[: starts - 1], True)
+        frame = pd.DataFrame({"_cand": times[:starts][last_of_run], "_exit": ends[:starts][last_of_run]})
         for k in [*keys, SLICE]:
             frame[k] = pdf[k].iloc[0]
         return frame[[*keys, SLICE, "_cand", "_exit"]]
