@@ -42,11 +42,11 @@ def _cells(big: DataFrame, small: DataFrame, block_rows: int) -> tuple[DataFrame
     """Key both sides by (big shard, small block); each cell holds about ``block_rows`` rows of either side."""
     n_big = max(1, -(-big.count() // block_rows))
     n_small = max(1, -(-small.count() // block_rows))
-    b = big.withColumn("_x", F.pmod(F.xxhash64("big_id"), F.lit(n_big))).withColumn(
-        "_y", F.explode(F.sequence(F.lit(0), F.lit(n_small - 1))).cast("long")
+    b = big.withColumn("_x", F.pmod(F.xxhash64("big_id"), F.lit(n_big).cast("long"))).withColumn(
+        "_y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_small - 1).cast("long")))
     )
-    s = small.withColumn("_y", F.pmod(F.xxhash64("small_id"), F.lit(n_small))).withColumn(
-        "_x", F.explode(F.sequence(F.lit(0), F.lit(n_big - 1))).cast("long")
+    s = small.withColumn("_y", F.pmod(F.xxhash64("small_id"), F.lit(n_small).cast("long"))).withColumn(
+        "_x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_big - 1).cast("long")))
     )
     return b, s
 

@@ -48,7 +48,11 @@ def apply_encoder(
 
 def register_language_detector(name: str, detect: Callable[[pd.Series], pd.Series]) -> None:
     """Make a vectorised language detector (texts to codes or None) available to ``gate_queries``."""
-    _DETECTORS[name] = F.pandas_udf(detect, "string")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return detect(texts)
+
+    _DETECTORS[name] = F.pandas_udf(run, "string")
 
 
 def gate_queries(queries: DataFrame, detector: str, text: str = "text") -> DataFrame:
