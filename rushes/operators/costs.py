@@ -38,9 +38,12 @@ def forecast(files: DataFrame, rates: DataFrame) -> DataFrame:
         F.coalesce(F.when(stamps > 0, stamps), F.lit(5)).alias("_stamps"),
         F.explode("stages").alias("extractor"),
     )
-    # One row per stage and resolution: a fixed list of stages times six buckets.
-    known = rates.select("extractor", "bucket", "rate")
-    joined = per_stage.join(known, ["extractor", "bucket"], "left")
+    # Stages and buckets come from fixed lists, so there are at most 12 x 7 rates to ship; a shuffle on these
+    # few keys would put all files of a stage in one task.
+    buckets = [name for _, name in tables.RESOLUTION_BUCKETS] + ["8k+", "unknown"]
+    known = rates.filter(F.col("extractor").isin(list(tables.DEFAULT_RATES)) & F.col("bucket").isin(buckets))
+    known = known.groupBy("extractor", "bucket").agg(F.first("rate").alias("rate"))
+    joined = per_stage.join(F.broadcast(known), ["extractor", "bucket"], "left")
     rate = F.coalesce("rate", _default_rate(F.col("extractor")))
     units = (
         F.when(F.col("extractor").isin("vad", "transcript"), F.col("duration") / 60.0)

@@ -305,28 +305,22 @@ def voice_match(spark, sf_dir):
     return nearest.select("vec_id", F.col("label").alias("voice"), F.round("similarity", 6).alias("similarity"))
 
 
-PICK = """
-  SELECT file_id, list(t ORDER BY t, idx) AS ts FROM obs GROUP BY file_id"""
-
-
-@query("array_picks", "WITH " + OBS + ", p AS (" + PICK + """), q AS (
-SELECT file_id,
+@query("array_picks", """
+WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS ts FROM embeddings), q AS (
+SELECT vec_id,
        list_transform(range(0, 7), lambda i: ts[(CASE WHEN i = 6 THEN len(ts) - 1 ELSE floor(i * ((len(ts) - 1)::DOUBLE / 6)) END)::INT + 1]) AS lin,
        list_transform(range(0, 7), lambda i: ts[floor(i * (len(ts)::DOUBLE / 7))::INT + 1]) AS stp,
        [ts[1], ts[len(ts) // 2 + 1], ts[len(ts)]] AS ends,
        list_filter(ts, lambda x, i: (i - 1) % 4 = 0) AS fourth
 FROM p)
-SELECT file_id, round(list_sum(lin), 6) AS lin_sum, round(lin[4], 6) AS lin_4, round(stp[4], 6) AS stp_4,
+SELECT vec_id, round(list_sum(lin), 6) AS lin_sum, round(lin[4], 6) AS lin_4, round(stp[4], 6) AS stp_4,
        round(list_sum(stp), 6) AS stp_sum, round(list_sum(ends), 6) AS ends_sum, len(fourth)::INT AS n_fourth,
        round(list_sum(fourth), 6) AS fourth_sum FROM q""")
 def array_picks(spark, sf_dir):
-    """VEC-4 to VEC-6 on the timestamps of each file (tens of values per file)."""
-    from rushes.plans.bindings import observations
-
-    obs = observations(spark, sf_dir)
-    ts = obs.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "idx"))), lambda s: s["t"]).alias("ts"))
+    """Evenly spaced, stepped and sliced elements of the array in each row."""
+    ts = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("ts"))
     picked = ts.select(
-        "file_id", arrays.linspace_pick("ts", 7).alias("lin"), arrays.step_pick("ts", 7).alias("stp"),
+        "vec_id", arrays.linspace_pick("ts", 7).alias("lin"), arrays.step_pick("ts", 7).alias("stp"),
         arrays.slice_pick("ts", "ends").alias("ends"), arrays.slice_pick("ts", "fourth").alias("fourth"),
     )
 
@@ -334,7 +328,7 @@ def array_picks(spark, sf_dir):
         return F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6).alias(f"{c}_sum")
 
     return picked.select(
-        "file_id", total("lin"), F.round(F.get("lin", F.lit(3)), 6).alias("lin_4"),
+        "vec_id", total("lin"), F.round(F.get("lin", F.lit(3)), 6).alias("lin_4"),
         F.round(F.get("stp", F.lit(3)), 6).alias("stp_4"), total("stp"), total("ends"),
         F.size("fourth").alias("n_fourth"), total("fourth"),
     )

@@ -427,56 +427,57 @@ def audio_gate(spark, sf_dir):
 # --- sidecars --------------------------------------------------------------------------------------------
 
 def subtitles(spark, sf_dir):
-    """One subtitle file per user: an event is a block; errors have no position."""
+    """One subtitle text per event, with eight blocks made from its own values; some lack a position or have (0, 0)."""
     obs = observations(spark, sf_dir)
-    k = F.get_json_object("props", "$.k").cast("int")
-    seconds = F.floor("t").cast("int")
-    stamp = F.format_string(
-        "00:%02d:%02d,%03d", F.floor(seconds / 60).cast("int"), (seconds % 60).cast("int"), F.floor(F.col("t") * 1000 % 1000).cast("int"))
-    lat = F.when(F.col("label") == "signup", F.lit("0.000")).otherwise(F.format_string("%.3f", (k % 4 - 2) / 8.0))
-    lon = F.when(F.col("label") == "signup", F.lit("0.000")).otherwise(F.format_string("%.3f", (k % 3) / 4.0))
-    gps = F.when(F.col("label") != "error", F.format_string("[latitude: %s] [longitude: %s]\n[rel_alt: 1.5 abs_alt: %d.25]", lat, lon, k)).otherwise("")
-    block = F.format_string(
-        "%d\n%s --> x\n[iso: %d] [shutter: 1/%d.0] [fnum: 2.8] [color_md : d_log] [focal_len: 24.00]\n%s",
-        F.col("idx"), stamp, k * 10 + 100, k + 1, gps)
-    # A subtitle file is one text by nature: this groups the blocks of one file, tens per file here.
-    return obs.groupBy("file_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "idx", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
+    base = F.get_json_object("props", "$.k").cast("int")
+
+    def block(i):
+        k = (base + F.floor(i / 2) * 13) % 100
+        sort = (base + i) % 5
+        at = F.format_string("00:%02d:%02d,%03d", (k % 60).cast("int"), (i * 7).cast("int"), (k * 10 % 1000).cast("int"))
+        lat = F.when(sort == 1, F.lit("0.000")).otherwise(F.format_string("%.3f", (k % 4 - 2) / 8.0))
+        lon = F.when(sort == 1, F.lit("0.000")).otherwise(F.format_string("%.3f", (k % 3) / 4.0))
+        gps = F.format_string("[latitude: %s] [longitude: %s]\n[rel_alt: 1.5 abs_alt: %d.25]", lat, lon, k)
+        return F.format_string(
+            "%d\n%s --> x\n[iso: %d] [shutter: 1/%d.0] [fnum: 2.8] [color_md : d_log] [focal_len: 24.00]\n%s",
+            i, at, k * 10 + 100, k + 1, F.when(sort == 0, "").otherwise(gps))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(7)), block)
+    return obs.select(F.col("idx").alias("file_id"), F.array_join(blocks, "\n\n").alias("text"))
 
 
 SUBS = OBS + """, subs AS (
-  SELECT file_id, idx, floor(t) + floor((t * 1000) % 1000) / 1000 AS t, t AS raw_t, label, k, (k % 4 - 2) / 8.0::DOUBLE AS lat, (k % 3) / 4.0::DOUBLE AS lon
-  FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM obs))"""
+  SELECT file_id, i, (k % 60) * 60 + i * 7 + (k * 10 % 1000) / 1000.0::DOUBLE AS t, sort, k,
+         CASE sort WHEN 1 THEN 0 WHEN 0 THEN NULL ELSE (k % 4 - 2) / 8.0::DOUBLE END AS lat,
+         CASE sort WHEN 1 THEN 0 WHEN 0 THEN NULL ELSE (k % 3) / 4.0::DOUBLE END AS lon
+  FROM (SELECT idx AS file_id, i, (b + i) % 5 AS sort, (b + i // 2 * 13) % 100 AS k
+        FROM (SELECT idx, json_extract_string(props, '$.k')::INT AS b FROM obs), range(0, 8) r(i))
+), track AS (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY i) - 1 AS n FROM subs WHERE sort <> 0
+), kept AS (
+  SELECT * FROM track WHERE NOT (lat = 0 AND lon = 0)
+  QUALIFY lat IS DISTINCT FROM lag(lat) OVER (PARTITION BY file_id ORDER BY n) OR lon IS DISTINCT FROM lag(lon) OVER (PARTITION BY file_id ORDER BY n))"""
 
 
 @query("srt_points", "WITH " + SUBS + """
-SELECT file_id, round(t, 3) AS t, CASE label WHEN 'signup' THEN 0 WHEN 'error' THEN NULL ELSE lat END AS latitude,
-       CASE label WHEN 'signup' THEN 0 WHEN 'error' THEN NULL ELSE lon END AS longitude, CASE WHEN label <> 'error' THEN k + 0.25::DOUBLE END AS altitude,
-       CASE WHEN label <> 'error' THEN 1.5::DOUBLE END AS relative_altitude, (k * 10 + 100)::INT AS iso, round(1 / (k + 1)::DOUBLE, 6) AS shutter,
+SELECT file_id, round(t, 3) AS t, lat AS latitude, lon AS longitude, CASE WHEN sort <> 0 THEN k + 0.25::DOUBLE END AS altitude,
+       CASE WHEN sort <> 0 THEN 1.5::DOUBLE END AS relative_altitude, (k * 10 + 100)::INT AS iso, round(1 / (k + 1)::DOUBLE, 6) AS shutter,
        2.8::DOUBLE AS aperture, 24.0::DOUBLE AS focal_length, 'd_log' AS color_mode FROM subs""")
 def srt_points(spark, sf_dir):
     out = metadata.srt_points(subtitles(spark, sf_dir)).drop("recorded_at")
     return out.withColumns({"t": F.round("t", 3), "shutter": F.round("shutter", 6)})
 
 
-@query("srt_track", "WITH " + SUBS + """, placed AS (
-  SELECT *, CASE label WHEN 'signup' THEN 0 ELSE lat END AS la, CASE label WHEN 'signup' THEN 0 ELSE lon END AS lo,
-         row_number() OVER (PARTITION BY file_id ORDER BY raw_t, idx) - 1 AS n FROM subs WHERE label <> 'error'
-), valid AS (SELECT * FROM placed WHERE NOT (la = 0 AND lo = 0))
-SELECT file_id, n AS idx, la AS latitude, lo AS longitude, round(k + 0.25::DOUBLE, 1) AS altitude FROM valid
-QUALIFY la IS DISTINCT FROM lag(la) OVER (PARTITION BY file_id ORDER BY n) OR lo IS DISTINCT FROM lag(lo) OVER (PARTITION BY file_id ORDER BY n)""")
+@query("srt_track", "WITH " + SUBS + """
+SELECT file_id, n AS idx, lat AS latitude, lon AS longitude, round(k + 0.25::DOUBLE, 1) AS altitude FROM kept""")
 def srt_track(spark, sf_dir):
     return metadata.srt_track(subtitles(spark, sf_dir))
 
 
-@query("srt_summary", "WITH " + SUBS + """, valid AS (
-  SELECT *, CASE label WHEN 'signup' THEN 0 ELSE lat END AS la, CASE label WHEN 'signup' THEN 0 ELSE lon END AS lo FROM subs WHERE label <> 'error'
-), kept AS (
-  SELECT * FROM valid WHERE NOT (la = 0 AND lo = 0)
-  QUALIFY la IS DISTINCT FROM lag(la) OVER (PARTITION BY file_id ORDER BY raw_t, idx) OR lo IS DISTINCT FROM lag(lo) OVER (PARTITION BY file_id ORDER BY raw_t, idx)
-), g AS (SELECT file_id, arg_min(la, raw_t) AS latitude, arg_min(lo, raw_t) AS longitude, count(*) AS n FROM kept GROUP BY file_id)
+@query("srt_summary", "WITH " + SUBS + """, g AS (
+  SELECT file_id, arg_min(lat, n) AS latitude, arg_min(lon, n) AS longitude, count(*) AS c FROM kept GROUP BY file_id)
 SELECT f.file_id, 'd_log' AS transfer, 24.0::DOUBLE AS focal_length, 2.8::DOUBLE AS aperture, latitude, longitude,
-       CASE WHEN n > 1 THEN n ELSE 0 END::BIGINT AS n_track_points
+       CASE WHEN c > 1 THEN c ELSE 0 END::BIGINT AS n_track_points
 FROM (SELECT DISTINCT file_id FROM subs) f LEFT JOIN g USING (file_id)""")
 def srt_summary(spark, sf_dir):
     out = metadata.srt_summary(subtitles(spark, sf_dir))

@@ -91,6 +91,25 @@ def stream_sample(spark, sf_dir):
     return streams.run_to_table(streams.stream_sample(rows, 1.0, ttl=None), "sample").select("file_id", "idx")
 
 
+@query("stream_face_scan")
+def stream_face_scan(spark, sf_dir):
+    """Events as faces with an embedding from a table of vectors; a file's duration comes from the batch side."""
+    from rushes.functions.media import box
+    from rushes.plans.bindings import durations
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    vectors = table(spark, sf_dir, "embeddings")
+    n, e = vectors.count(), F.col("event_id")
+    det = stream_of(spark, sf_dir, "events").select(
+        F.col("user_id").alias("file_id"), (micros_since(F.col("ts"), "2024-01-01").cast("double") / 3.6e10).alias("t"),
+        e.alias("idx"), (F.lit(0.4) + (e * 7 % 60) / F.lit(100.0)).alias("confidence"),
+        box(e * 37 % 120, e * 53 % 90, e % 120 + 60, e % 90 + 60).alias("bbox"), (e % n).alias("vec_id"))
+    det = det.join(vectors.select("vec_id", "embedding"), "vec_id")
+    det = det.join(durations(spark, sf_dir).select("file_id", "duration"), "file_id")
+    plan = streams.stream_face_scan(det.drop("vec_id"), emb=0.8, whole_files=True, ttl=None)
+    return streams.run_to_table(plan, "face_scan")
+
+
 @query("stream_enrich", """
 SELECT event_id AS idx, coalesce(c_mktsegment, event_type) AS extractor, c_name AS owner FROM events LEFT JOIN customer ON c_custkey = user_id""")
 def stream_enrich(spark, sf_dir):

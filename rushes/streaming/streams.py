@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from rushes.operators.tracking import PLAN, _flat, _Scan
 from rushes.session import checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -146,6 +148,58 @@ def stream_sample(
     )
 
 
+class _FaceScanner(StatefulProcessor):
+    """The scan of one file, kept between micro-batches as one pickled value."""
+
+    def __init__(self, make, columns: list[str], keys: list[str], whole_files: bool, ttl_ms: int | None):
+        self.make, self.columns, self.keys, self.whole_files, self.ttl_ms = make, columns, keys, whole_files, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scan = handle.getValueState("scan", "scan binary", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["t", "idx"])
+        scan = pickle.loads(self.scan.get()[0]) if self.scan.exists() else self.make(float(pdf["duration"].iloc[0]))
+        out = []
+        for t, confidence, x, y, w, h, embedding in zip(*[pdf[c] for c in ("t", "confidence", "_x", "_y", "_w", "_h", "embedding")]):
+            out += scan.advance(t)
+            scan.pending.append((t, (x, y, w, h), confidence, embedding))
+        if self.whole_files:
+            out += scan.advance(float("inf"))
+        self.scan.update((pickle.dumps(scan),))
+        yield pd.DataFrame([(*key, *row) for row in out], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_face_scan(
+    det: DataFrame, dense: float = 30.0, sparse: float = 10.0, min_duration: float = 60.0, tol: float = 0.35,
+    emb: float = 0.5, settle: int = 2, keys: Sequence[str] = ("file_id",), whole_files: bool = False,
+    ttl: float | None = 3600.0,
+) -> DataFrame:
+    """Streaming twin of ``plan_face_scan``; detections carry their file's ``duration`` and come in time order.
+
+    A window is reported once a detection shows that it is over, or with the batch when ``whole_files`` says
+    that a file's detections all come in one micro-batch.
+    """
+    keys = list(keys)
+    flat = _flat(det.filter(F.col("duration") > min_duration))
+    fields = [f for f in flat.schema.fields if f.name in keys]
+    schema = T.StructType([*fields, *T.StructType.fromDDL(PLAN).fields])
+    ttl_ms = int(ttl * 1000) if ttl else None
+
+    def make(duration: float) -> _Scan:
+        return _Scan(duration, dense, sparse, tol, emb, settle)
+
+    return flat.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_FaceScanner(make, schema.names, keys, whole_files, ttl_ms),
+        outputStructType=schema,
+        outputMode="Append",
+        timeMode="ProcessingTime" if ttl_ms else "None",
+    )
+
+
 def stream_enrich(stream: DataFrame, static: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Left-join a static table; its fields win where they are set."""
     side = static.select(*keys, *[F.col(f).alias(f"_s_{f}") for f in fields])
