@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from rushes.operators.tracking import PLAN, _flat, _Scan
+from rushes.operators.tracking import PLAN, _Scan
 from rushes.session import checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -161,9 +161,10 @@ class _FaceScanner(StatefulProcessor):
         pdf = pd.concat(list(rows)).sort_values(["t", "idx"])
         scan = pickle.loads(self.scan.get()[0]) if self.scan.exists() else self.make(float(pdf["duration"].iloc[0]))
         out = []
-        for t, confidence, x, y, w, h, embedding in zip(*[pdf[c] for c in ("t", "confidence", "_x", "_y", "_w", "_h", "embedding")]):
+        for t, confidence, box, embedding in zip(*[pdf[c] for c in ("t", "confidence", "bbox", "embedding")]):
             out += scan.advance(t)
-            scan.pending.append((t, (x, y, w, h), confidence, embedding))
+            here = (box["x"], box["y"], box["width"], box["height"])
+            scan.pending.append((t, here, confidence, embedding))
         if self.whole_files:
             out += scan.advance(float("inf"))
         self.scan.update((pickle.dumps(scan),))
@@ -184,15 +185,15 @@ def stream_face_scan(
     that a file's detections all come in one micro-batch.
     """
     keys = list(keys)
-    flat = _flat(det.filter(F.col("duration") > min_duration))
-    fields = [f for f in flat.schema.fields if f.name in keys]
+    rows = det.filter(F.col("duration") > min_duration)
+    fields = [f for f in rows.schema.fields if f.name in keys]
     schema = T.StructType([*fields, *T.StructType.fromDDL(PLAN).fields])
     ttl_ms = int(ttl * 1000) if ttl else None
 
     def make(duration: float) -> _Scan:
         return _Scan(duration, dense, sparse, tol, emb, settle)
 
-    return flat.groupBy(*keys).transformWithStateInPandas(
+    return rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_FaceScanner(make, schema.names, keys, whole_files, ttl_ms),
         outputStructType=schema,
         outputMode="Append",
