@@ -260,6 +260,10 @@ def parse_sony_xml(xml: Column | str) -> Column:
     return let(read, build)
 
 
+# A root element in the maker's namespace.
+_CANON_ROOT = r"(?i)^(?:\s*<[?!][^>]*>)*\s*<[^>]*canon\.com"
+
+
 def parse_canon_xml(xml: Column | str) -> Column:
     """Struct ``make, model, created_at, gps`` of a clip sidecar with element texts."""
     x = _c(xml)
@@ -282,6 +286,9 @@ def parse_canon_xml(xml: Column | str) -> Column:
             inside("Location", "Latitude").try_cast("double"), inside("Location", "Longitude").try_cast("double"),
             inside("Location", "Altitude"),
         ).alias("gps"),
+        F.coalesce(
+            x.rlike(_CANON_ROOT) | inside("Device", "Manufacturer").contains("Canon"), x.rlike(_CANON_ROOT), F.lit(False)
+        ).alias("is_canon"),
     )
 
 

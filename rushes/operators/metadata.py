@@ -27,10 +27,10 @@ def lower_tags(probe: DataFrame) -> DataFrame:
     )
 
 
-def base_metadata(probe: DataFrame) -> DataFrame:
+def base_metadata(probe: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Device-independent metadata: first video and first audio stream, times, place, colour.
 
-    ``probe`` has ``file_id, format, streams, tags`` as made by ``lower_tags``.
+    ``probe`` has ``file_id, format, streams, tags`` as made by ``lower_tags``; columns in ``keep`` stay.
     """
     split = probe.withColumns({"_v": tg.first_stream("streams", "video"), "_a": tg.first_stream("streams", "audio")})
     v, a = F.col("_v"), F.col("_a")
@@ -59,6 +59,7 @@ def base_metadata(probe: DataFrame) -> DataFrame:
         tg.gps_from_tags("tags").alias("gps"),
         tg.color_space(v, "tags").alias("color_space"),
         tg.stereo_mode("streams", "tags").alias("stereo_mode"),
+        *keep,
     )
 
 
@@ -106,7 +107,10 @@ def srt_track(texts: DataFrame, text: str = "text") -> DataFrame:
         F.get("_lon", F.col("idx")).try_cast("double").alias("longitude"),
         F.get("_alt", F.col("idx")).try_cast("double").alias("altitude"),
     )
-    kept = drop_consecutive(points.filter(has_position()), ["file_id"], ["idx"], ["latitude", "longitude"])
+    # A series is the points of one text, which was one value of one row to begin with.
+    kept = drop_consecutive(
+        points.filter(has_position()), ["file_id"], ["idx"], ["latitude", "longitude"], rows_per_slice=None
+    )
     return kept.select(
         "file_id", "idx", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"),
         F.round("altitude", 1).alias("altitude"),
@@ -114,7 +118,7 @@ def srt_track(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def srt_summary(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Per subtitle file: first position, number of track points (a track needs two), colour mode and lens."""
+    """Per subtitle file: first position, number of track points (a track needs two), colour mode, lens, drone marks."""
     def first(pattern: str):
         return F.nullif(F.regexp_extract(F.col(text), pattern, 1), F.lit(""))
 
@@ -123,6 +127,7 @@ def srt_summary(texts: DataFrame, text: str = "text") -> DataFrame:
         first(r"\[color_md\s*:\s*(\w+)\]").alias("transfer"),
         first(r"\[focal_len:\s*([\d.]+)\]").try_cast("double").alias("focal_length"),
         first(r"\[fnum:\s*([\d.]+)\]").try_cast("double").alias("aperture"),
+        F.col(text).rlike(r"(?i)\[(iso|shutter):").alias("is_drone"),
     )
     place = srt_track(texts, text).groupBy("file_id").agg(
         F.min_by(F.struct("latitude", "longitude", "altitude"), "idx").alias("gps"), F.count(F.lit(1)).alias("_n")

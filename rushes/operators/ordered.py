@@ -18,13 +18,17 @@ SLICE = "_slice"
 ROWS_PER_SLICE = 1_000_000
 
 
-def slice_series(df: DataFrame, keys: Sequence[str], t: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def slice_series(
+    df: DataFrame, keys: Sequence[str], t: str, rows_per_slice: int | None = ROWS_PER_SLICE
+) -> DataFrame:
     """Add ``_slice`` when some series has more than ``rows_per_slice`` rows; otherwise return ``df`` as it is.
 
+    ``None`` skips the check, for series that are short by nature.
+
     The slice number depends only on exact aggregates (count, min, max), so a recomputed task assigns
     the same slices.
     """
-    if SLICE in df.columns:
+    if SLICE in df.columns or rows_per_slice is None:
         return df
     long_series = (
         df.groupBy(*keys)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rushes.functions.media import file_name, none_if_empty, stem, suffix
-from rushes.functions.tags import tag, video_streams
+from rushes.functions.tags import video_streams
 
 FIELDS = ("make", "model", "software", "device_type", "confidence")
 # Columns a sidecar join may provide; absent ones count as false.
@@ -45,16 +45,16 @@ class RuleBook:
 
 
 def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conditions])
+    return F.coalesce(reduce(lambda a, b: a | b, conditions), F.lit(False))
 
 
 def _t(*names: str) -> Column:
-    return tag("tags", *names)
+    """First non-empty of the named tags, as one parsed expression: rules read dozens of tags."""
+    return F.expr("coalesce(" + ", ".join(f"nullif(try_element_at(tags, '{n}'), '')" for n in names) + ")")
 
 
 def _upper_has(value: Column, *words: str) -> Column:
-    text = F.upper(value)
-    return _any([text.contains(w) for w in words])
+    return F.coalesce(F.upper(value).rlike("|".join(words)), F.lit(False))
 
 
 def _stream_tag(name: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "rushes", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,8 +40,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that several later branches read the same rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -189,3 +189,43 @@ def test_bad_rows_go_to_the_error_sink(spark, tmp_path, stop):
         stream_ingest(spark, str(tmp_path / "in"), "a long", *args).awaitTermination()
     assert sorted(r.a for r in spark.read.parquet(args[0]).collect()) == ([1, 2, 3] if stop else [1, 2])
     assert [r.value for r in spark.read.text(args[1]).filter("value <> ''").collect()] == ["{bad"]
+
+
+def test_described_files(spark, tmp_path):
+    from rushes.operators.describe import describe_files
+
+    video = {"codec_type": "video", "codec_name": "h264", "width": 1920, "height": 1080}
+
+    def probe(name, **tags):
+        write(tmp_path / f"probe/{name}.json", json.dumps({"format": {"duration": "5", "tags": tags}, "streams": [video]}))
+
+    probe("a", comment="DE=D-LOG, HQ=x")
+    probe("b", **{"com.sony.bprl.mxf.nrtmetadata": '<Device manufacturer="Sony" modelName="EX1"/><Lens modelName="XT14"/>'})
+    probe("c", creation_time="2020-01-01T00:00:00Z")
+    probe("d")
+    probe("e")
+    probe("f")
+    path = {"a": "/m/DJI_1.mp4", "b": "/m/b.mxf", "c": "/m/c.mxf", "d": "/m/A001H200529X.mxf", "e": "/m/e.mp4", "f": "/t/f.mp4"}
+    paths = F.create_map(*[F.lit(x) for kv in path.items() for x in kv])
+    docs = sources.scan_probe(spark, str(tmp_path / "probe"))
+    docs = docs.withColumn("file_id", F.element_at(paths, F.regexp_extract("file_id", r"(\w)\.json", 1))).drop("error")
+    srt = metadata.srt_summary(spark.createDataFrame([("/m/DJI_1.SRT", SRT)], "file_id string, text string"))
+    srt = srt.withColumns({"dir": F.lit("/m"), "stem": F.lit("DJI_1")}).drop("file_id")
+    canon = "<V xmlns='http://www.canon.com/ns'><Device><ModelName>C70</ModelName></Device><Date>2023-05-15</Date></V>"
+    for name in ("c", "A001H200529X"):
+        write(tmp_path / f"x/{name}.XML", canon if name == "c" else canon.replace("<Date>2023-05-15</Date>", ""))
+    write(tmp_path / "x/eM01.XML", '<N><Device manufacturer="Sony" modelName="A7"/><Item name="CaptureGammaEquation" value="s-log3"/></N>')
+    here = F.lit("/m")
+    sony_x, canon_x = [f(spark, str(tmp_path / "x")).withColumn("dir", here) for f in (sources.scan_sony_xml, sources.scan_canon_xml)]
+    events = spark.createDataFrame([("/t", "1.5", "2.5", "honk")], "dir string, est_lat string, est_lon string, reason string")
+    out = {r.file_id: r for r in describe_files(docs, srt, sony_x, canon_x, sources.event_positions(events)).collect()}
+    drone = out["/m/DJI_1.mp4"]
+    assert (drone.rule, drone.device_type, drone.gps.latitude, drone.color_space.transfer, drone.n_track_points) == (
+        "dji", "drone", 61.05121, "d_log", 4)
+    assert (out["/m/b.mxf"].rule, out["/m/b.mxf"].model, out["/m/b.mxf"].lens_model) == ("sony", "EX1", "XT14")
+    assert (out["/m/c.mxf"].rule, out["/m/c.mxf"].model, out["/m/c.mxf"].created_at.year) == ("canon", "C70", 2020)
+    assert str(out["/m/A001H200529X.mxf"].created_at.date()) == "2020-05-29"
+    assert (out["/m/e.mp4"].rule, out["/m/e.mp4"].make, out["/m/e.mp4"].color_space.transfer) == ("sony", "Sony", "s-log3")
+    assert (out["/t/f.mp4"].rule, out["/t/f.mp4"].gps.longitude) == ("tesla", 2.5)
+    bare = {r.file_id: r for r in describe_files(docs).collect()}
+    assert bare["/m/DJI_1.mp4"].color_space.transfer == "D-Log" and bare["/t/f.mp4"].rule == "generic"
