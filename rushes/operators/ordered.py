@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+# Slice number of a series that was not cut.
+WHOLE = -1
 ROWS_PER_SLICE = 1_000_000
 
 
@@ -44,7 +46,7 @@ def slice_series(
     # At most rows / rows_per_slice series qualify, so the broadcast cannot grow past that.
     return (
         df.join(F.broadcast(long_series), list(keys), "left")
-        .withColumn(SLICE, F.coalesce(number, F.lit(0)).cast("int"))
+        .withColumn(SLICE, F.coalesce(number, F.lit(WHOLE)).cast("int"))
         .drop("_lo", "_hi", "_k")
     )
 
@@ -113,7 +115,8 @@ def ordered_scan(
     aggs += [F.sum(e).alias(f"_c_{n}") for n, e in [*cum.items(), *total.items()]]
     aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_c_{n}") for n, c in ffill.items()]
     aggs += [F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_c_{n}") for n, c in bfill.items()]
-    summary = df.groupBy(*cols).agg(*aggs)
+    # Only series that were cut have anything to carry.
+    summary = df.filter(F.col(SLICE) > WHOLE).groupBy(*cols).agg(*aggs)
 
     ws = Window.partitionBy(*keys).orderBy(SLICE)
     s_before = ws.rowsBetween(Window.unboundedPreceding, -1)
@@ -126,10 +129,7 @@ def ordered_scan(
     carried |= {n: F.sum(f"_c_{n}").over(everything) for n in total}
     carried |= {n: F.last(f"_c_{n}", ignorenulls=True).over(s_before) for n in ffill}
     carried |= {n: F.first(f"_c_{n}", ignorenulls=True).over(s_after) for n in bfill}
-    # Only series cut into several slices have anything to carry.
-    many = F.max(SLICE).over(everything) > 0
-    summary = summary.select(*cols, many.alias("_many"), *[c.alias(f"_k_{n}") for n, c in carried.items()])
-    summary = summary.filter("_many").drop("_many")
+    summary = summary.select(*cols, *[c.alias(f"_k_{n}") for n, c in carried.items()])
 
     joined = local.join(F.broadcast(summary), cols, "left")
     fixed = {n: F.coalesce(F.col(n), F.col(f"_k_{n}"))["v"] for n in [*prev, *nxt]}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rushes.operators.ordered import SLICE, ordered_scan, parts, slice_series
+from rushes.operators.ordered import SLICE, WHOLE, ordered_scan, parts, slice_series
 
 _ENTRY = "_entry"
 
@@ -139,7 +139,8 @@ def sample_every(
         types = {f.name: f.dataType for f in df.schema.fields}
         head = [T.StructField(k, types[k]) for k in [*keys, SLICE]]
         exits = (
-            df.select(*by, F.col(t).cast("double").alias(t))
+            df.filter(F.col(SLICE) > WHOLE)
+            .select(*by, F.col(t).cast("double").alias(t))
             .groupBy(*by)
             .applyInPandas(
                 _exits(keys, t, interval),

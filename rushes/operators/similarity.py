@@ -84,9 +84,7 @@ def nearest_of(
     if _small_is_broadcastable(s, broadcast_bytes):
         local = s.toPandas().sort_values("small_id")
         if local.empty:
-            return b.select("big_id").limit(0).join(s.select("small_id"), F.lit(False), "inner").withColumn(
-                "similarity", F.lit(0.0)
-            ).toDF(big_id, small_id, "similarity")
+            return big.sparkSession.createDataFrame([], schema).toDF(big_id, small_id, "similarity")
         shared = big.sparkSession.sparkContext.broadcast((_unit(local["embedding"]), local["small_id"].to_numpy()))
 
         def per_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rushes.operators import aggregates, joins, sampling, segments, tracking
-from rushes.operators.ordered import SLICE, ordered_scan, slice_series
+from rushes.operators.ordered import SLICE, WHOLE, ordered_scan, slice_series
 
 SMALL = {"rows_per_slice": 9}
 
@@ -45,6 +45,7 @@ def test_slices_cover_long_series_only(series):
     cut = slice_series(series, ["file_id"], "t", **SMALL)
     n = {r.file_id: r.n for r in cut.groupBy("file_id").agg(F.count_distinct(SLICE).alias("n")).collect()}
     assert n["short"] == 1 and n["mid"] > 1 and n["long"] > 8
+    assert cut.filter("file_id = 'short'").first()[SLICE] == WHOLE
     assert slice_series(series, ["file_id"], "t") is series
 
 
