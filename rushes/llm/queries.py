@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from rushes.llm.common import read
 from rushes.llm.decontaminate import decontaminate
+from rushes.llm.line_dedup import line_dedup
+from rushes.llm.quality_rules import BOILERPLATE, SENTENCE_END, SEPARATORS, SYMBOLS, quality_rules
 
 QUERIES, SQL = {}, {}
 
@@ -32,3 +34,56 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op8_line_dedup"] = op8_line_dedup
+SQL["op8_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, no, line, length(line) AS size FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
+    WHERE trim(line) <> ''),
+  p AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY no) - size AS start FROM l),
+  w AS (SELECT doc_id, no, max(no) OVER a AS last_no, sum(size) OVER a AS held, list(md5(line)) OVER a AS lines FROM p
+    WINDOW a AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING)),
+  later AS (SELECT doc_id, no, last_no FROM (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, no) AS r FROM w WHERE held >= 40) WHERE r > 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(no, last_no + 1)) AS no FROM later),
+  rest AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
+    ANTI JOIN gone USING (doc_id, no) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(rest.text, '') END AS text,
+  CASE WHEN length(d.text) > 0 THEN len(string_split(d.text, chr(10))) ELSE 0 END::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN rest USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)
+"""
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+QUERIES["op5_quality_rules"] = op5_quality_rules
+_SAID = "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
+SQL["op5_quality_rules"] = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  g AS (SELECT doc_id, i, ws[i:i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+  r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g
+    WHERE (doc_id, g) IN (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1)) GROUP BY doc_id),
+  l AS (SELECT doc_id, no, line, trim(line, chr(32)) AS plain, regexp_matches(line, '[^\x20\x09-\x0D]') AS held FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM w)),
+  m AS (SELECT *, length(plain) - length(replace(plain, ' ', '')) + 1 AS n, regexp_matches(right(plain, 4), '{SENTENCE_END}') AS ends FROM l),
+  f AS (SELECT *, held AND (len(regexp_extract_all(plain, '{SEPARATORS}')) * 4 >= n OR n <= 3 AND NOT ends OR n <= 40 AND regexp_matches(lower(plain), '{_SAID}')
+      OR NOT ends AND NOT regexp_matches(plain, '{SENTENCE_END} ') OR len(regexp_extract_all(plain, '!!')) * 4 >= n
+      OR len(regexp_extract_all(plain, '{SYMBOLS}')) * 4 >= n) AS fails FROM m),
+  c AS (SELECT doc_id, count(*) FILTER (held) - count(DISTINCT line) FILTER (held) AS n_dup_lines,
+      coalesce(sum(length(line)) FILTER (NOT fails) + count(*) FILTER (NOT fails) - 1, 0) AS clean FROM f GROUP BY doc_id),
+  o AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+      len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+      2 * (length(text) - clean) <= length(text) AS good
+    FROM w JOIN c USING (doc_id) LEFT JOIN r USING (doc_id)),
+  b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM b
+"""
