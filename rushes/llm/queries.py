@@ -5,6 +5,7 @@ from __future__ import annotations
 from rushes.llm.common import read
 from rushes.llm.decontaminate import decontaminate
 from rushes.llm.line_dedup import line_dedup
+from rushes.llm.near_dedup import near_duplicates
 from rushes.llm.quality_rules import BOILERPLATE, SENTENCE_END, SEPARATORS, SYMBOLS, quality_rules
 
 QUERIES, SQL = {}, {}
@@ -87,3 +88,10 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
   b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM b
 """
+
+
+def op7_near_dedup(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+QUERIES["op7_near_dedup"] = op7_near_dedup
