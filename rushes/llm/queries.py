@@ -6,7 +6,9 @@ from rushes.llm.common import read
 from rushes.llm.decontaminate import decontaminate
 from rushes.llm.line_dedup import line_dedup
 from rushes.llm.near_dedup import near_duplicates
+from rushes.llm.quality_classifier import classify
 from rushes.llm.quality_rules import BOILERPLATE, SENTENCE_END, SEPARATORS, SYMBOLS, quality_rules
+from rushes.llm.sentencepiece_fst import encode
 
 QUERIES, SQL = {}, {}
 
@@ -95,3 +97,17 @@ def op7_near_dedup(spark, sf_dir):
 
 
 QUERIES["op7_near_dedup"] = op7_near_dedup
+
+
+def op1_quality_classifier(spark, sf_dir):
+    return classify(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "vote_posterior", "score", "kept")
+
+
+QUERIES["op1_quality_classifier"] = op1_quality_classifier
+
+
+def op2_sentencepiece(spark, sf_dir):
+    return encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op2_sentencepiece"] = op2_sentencepiece
