@@ -1,8 +1,9 @@
 """Quality classifier from weak labels.
 
-Nine overlapping heuristics vote good, bad or nothing on every document.  Their votes are counted by pattern over all
-documents, a table of at most 3^9 rows, on which expectation-maximisation estimates how often each heuristic says
-"bad" of good and of bad documents, and the share of good ones.  The posterior of a document's pattern labels a sample
+Ten overlapping heuristics vote good, bad or nothing on every document.  Their votes are counted by pattern over all
+documents, a table of at most 3^10 rows, on which expectation-maximisation estimates how often each heuristic says
+"bad" of good and of bad documents, and the share of good ones.  A heuristic is
+taken to be wrong on ``FALSE_ALARM`` of the good documents at most, which tells the two classes apart.  The posterior of a document's pattern labels a sample
 of at most about ``sample`` documents, chosen by hash, from which a logistic scorer learns weights of hashed features:
 three-grams of byte classes, words, and buckets of the measures behind the votes.  The scorer then judges every
 document by its whole text.
@@ -22,6 +23,7 @@ from rushes.llm.common import text_key
 from rushes.llm.words import NONBLANK, Words, grams, words
 
 SAMPLE = 8000
+FALSE_ALARM = 0.005
 WORD_BITS = 14
 BUCKETS = 16
 
@@ -34,12 +36,12 @@ for _code, _chars in ((5, " \t"), (6, "\n\r"), (7, "."), (8, ",;:"), (9, "!"), (
     for _c in _chars:
         _CLASS[ord(_c)] = _code
 
-MEASURES = ["symbols", "separators", "capitals", "shouts", "sentence", "repeats", "novelty", "word_size", "length"]
+MEASURES = ["symbols", "separators", "capitals", "shouts", "sentence", "repeats", "novelty", "word_size", "letters", "length"]
 SLOTS = 16**3 + (1 << WORD_BITS) + len(MEASURES) * BUCKETS
 
 
 def measures(w: Words) -> np.ndarray:
-    """(texts, 9): what the heuristics look at, each a ratio except the number of words."""
+    """(texts, 10): what the heuristics look at, each a ratio except the number of words."""
     classes = _CLASS[w.data]
 
     def count(flags):
@@ -62,14 +64,14 @@ def measures(w: Words) -> np.ndarray:
     return np.stack(
         [
             count(classes == 12) / size, count(classes == 11) / n, upper / letters, shouts / n, n / np.maximum(ends, 1) / 100,
-            of(w.doc, same) / n, np.where(w.counts > 2, of(d, new) / np.maximum(w.counts - 2, 1), 1.0), size / n / 20, w.counts.astype(float),
+            of(w.doc, same) / n, np.where(w.counts > 2, of(d, new) / np.maximum(w.counts - 2, 1), 1.0), size / n / 20, letters / size, w.counts.astype(float),
         ],
         axis=1,
     )
 
 
 def votes(m: np.ndarray) -> np.ndarray:
-    """(texts, 9): 2 good, 1 bad, 0 no vote.  A text without words gets only bad votes from ``length``."""
+    """(texts, 10): 2 good, 1 bad, 0 no vote.  A text without words gets only bad votes from ``length``."""
 
     def rule(x, bad, good):
         return np.where(bad(x), 1, np.where(good(x), 2, 0))
@@ -78,13 +80,13 @@ def votes(m: np.ndarray) -> np.ndarray:
         [
             rule(m[:, 0], lambda x: x > 0.05, lambda x: x < 0.01), rule(m[:, 1], lambda x: x > 0.2, lambda x: x < 0.05),
             rule(m[:, 2], lambda x: x > 0.5, lambda x: x < 0.2), rule(m[:, 3], lambda x: x > 0.2, lambda x: x < 0.02),
-            rule(m[:, 4], lambda x: (x > 1.0) | (x < 0.02), lambda x: (x < 0.5) & (x > 0.03)), rule(m[:, 5], lambda x: x > 0.3, lambda x: x < 0.05),
+            np.where(m[:, 9] < 20, 0, rule(m[:, 4], lambda x: (x > 1.0) | (x < 0.02), lambda x: (x < 0.5) & (x > 0.03))), rule(m[:, 5], lambda x: x > 0.3, lambda x: x < 0.05),
             rule(m[:, 6], lambda x: x < 0.6, lambda x: x > 0.9), rule(m[:, 7], lambda x: (x > 1.0) | (x < 0.1), lambda x: (x > 0.15) & (x < 0.6)),
-            rule(m[:, 8], lambda x: x < 3, lambda x: x >= 20),
+            rule(m[:, 8], lambda x: x < np.where(m[:, 9] < 20, 0.6, 0.745), lambda x: x > 0.78), rule(m[:, 9], lambda x: x == 0, lambda x: x >= 20),
         ],
         axis=1,
     )
-    v[m[:, 8] == 0, :-1] = 0
+    v[m[:, 9] == 0, :-1] = 0
     return v
 
 
@@ -109,7 +111,7 @@ def posteriors(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
         for k, q in ((0, 1 - p), (1, p)):
             voted = ((v > 0) * (n * q)[:, None]).sum(0)
             bad = (((v == 1) * (n * q)[:, None]).sum(0) + (0.2 if k == 0 else 0.01)) / (voted + (1.0 if k == 0 else 1.0))
-            bad = np.clip(bad, 1e-4, 1 - 1e-4)
+            bad = np.clip(bad, 1e-4, FALSE_ALARM if k else 1 - 1e-4)
             logs[k] += np.where(v == 1, np.log(bad), np.where(v == 2, np.log(1 - bad), 0.0)).sum(1)
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
         if np.abs(new - p).max() < 1e-6:
