@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from rushes.llm.common import read
+from rushes.llm.context_tree import score_texts
 from rushes.llm.decontaminate import decontaminate
 from rushes.llm.line_dedup import line_dedup
 from rushes.llm.near_dedup import near_duplicates
 from rushes.llm.quality_classifier import classify
 from rushes.llm.quality_rules import BOILERPLATE, SENTENCE_END, SEPARATORS, SYMBOLS, quality_rules
 from rushes.llm.sentencepiece_fst import encode
+from rushes.llm.token_files import token_documents
 
 QUERIES, SQL = {}, {}
 
@@ -111,3 +113,19 @@ def op2_sentencepiece(spark, sf_dir):
 
 
 QUERIES["op2_sentencepiece"] = op2_sentencepiece
+
+
+def op9_token_files(spark, sf_dir):
+    return token_documents(read(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES["op9_token_files"] = op9_token_files
+
+
+def op10_context_tree(spark, sf_dir):
+    return score_texts(read(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+QUERIES["op10_context_tree"] = op10_context_tree
