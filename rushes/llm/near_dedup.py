@@ -6,9 +6,9 @@ hashed words, a table whose size doesn't depend on the corpus.
 
 Improved consistent weighted sampling draws, from the weights of a text, ``BANDS * ROWS`` samples, each equal in two
 texts with a probability of their weighted Jaccard similarity: at 0.8, one of the bands agrees with 0.9994.  Texts that
-agree in a band are measured exactly: first every text of a band against the least of them, which settles groups of
-copies in linear work; then, among those that this didn't join, the pairs that the triangle inequality of the Jaccard
-distance leaves open.  Classes are the components of the links of ``threshold`` or more.
+agree in a band are measured exactly: first every text of a band against the one of them that meets most texts, which
+settles groups of copies in linear work; then, where that left a band in several classes, all pairs of those texts that
+prefix filtering by rare shingles leaves open.  Classes are the components of the links of ``threshold`` or more.
 
 Equal texts count once throughout, so thousands of exact copies cost no pairs.
 """
@@ -179,40 +179,93 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_similar, "a binary, b binary, similarity double")
 
 
+def _count_shingles(batches):
+    for b in batches:
+        slot, n = np.unique(slots(b.column(0).values.to_numpy().view(np.uint64)) if len(b) else np.zeros(0, np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+
+
+def _prefixes(order, threshold: float):
+    def run(batches):
+        for b in batches:
+            offsets, h, weight = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy(), b.column(3).values.to_numpy()
+            frequency, who, what = order.value[slots(h.view(np.uint64))], [], []
+            for i in range(len(b)):
+                lo, hi = offsets[i], offsets[i + 1]
+                rank = np.lexsort((h[lo:hi], frequency[lo:hi]))
+                held = np.cumsum(weight[lo:hi][rank], dtype=np.float64)
+                n = int(np.searchsorted(held, (1 - threshold) * held[-1] * (1 + 1e-6), "right")) + 1 if hi > lo else 0
+                what.append(h[lo:hi][rank[:n]])
+                who.append(np.full(len(what[-1]), i))
+            who = pa.array(np.concatenate(who) if who else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(who), b.column(1).take(who), pa.array(np.concatenate(what) if what else np.zeros(0, np.int64))],
+                names=["text_id", "component", "shingle"],
+            )
+
+    return run
+
+
+def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of ``sets`` in different components that can reach the threshold.
+
+    In one order of all shingles, rare ones first, texts of the threshold's similarity share a shingle among the first
+    that hold the rest of the weight, 1 - threshold.  A text that differs from its group by more than that has no such
+    shingle in common with it, however large the group.
+    """
+    rows = sets.select("shingles").mapInArrow(_count_shingles, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    frequency = np.zeros(DF_SLOTS, np.int64)  # at most DF_SLOTS rows
+    for r in rows:
+        frequency[r["slot"]] = r["n"]
+    order = sets.sparkSession.sparkContext.broadcast(frequency)
+    first = written(
+        sets.select("text_id", "component", "shingles", "weights").mapInArrow(_prefixes(order, threshold), "text_id binary, component binary, shingle long"), "prefixes"
+    )
+    by_class = first.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    mixed = by_class.groupBy("shingle").agg(F.count("*").alias("classes"), F.max(F.struct("n", "component")).alias("top")).where("classes > 1")
+    held = first.join(mixed.select("shingle", F.col("top.component").alias("largest")), "shingle")
+    one = held.where("component <> largest").select("shingle", F.col("text_id").alias("x"), F.col("component").alias("cx"))
+    two = held.select("shingle", F.col("text_id").alias("y"), F.col("component").alias("cy"))
+    return one.join(two, "shingle").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def stars(shared: DataFrame) -> DataFrame:
+    """(band, a, b): each text b of a band with the band's leader a; ``shared`` has (band, text_id, n), n texts in the band."""
+    # The text that meets most others leads each of its bands: the text that a group's copies were made from.
+    central = shared.groupBy("text_id").agg(F.sum("n").alias("met"))
+    leaders = shared.join(central, "text_id").groupBy("band").agg(F.max(F.struct("met", "text_id")).alias("top")).select("band", F.col("top.text_id").alias("a"))
+    return shared.join(leaders, "band").select("band", "a", F.col("text_id").alias("b"))
+
+
+def resolve(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): the links of ``threshold`` or more that join the classes, from stars and their open rests."""
+    starred = _measured(met.where("a <> b").select("a", "b").distinct(), sets)
+    joined = written(starred.where(F.col("similarity") >= threshold), "stars")
+    classes = components(joined.select("a", "b"))
+    placed = met.join(classes.withColumnRenamed("node", "b"), "b", "left").select("band", F.col("b").alias("text_id"), F.coalesce("component", "b").alias("component"))
+    open_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    unsettled = placed.join(open_bands, "band", "left_semi").select("text_id", "component").distinct()
+    more = _prefix_pairs(written(sets.join(unsettled, "text_id"), "unsettled"), threshold)
+    return joined.unionByName(_measured(more, sets).where(F.col("similarity") >= threshold))
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b, similarity): verified links between different texts (named by their MD5) that join all of each class."""
     spark = docs.sparkSession
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_id"), "text")
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    banded = written(texts.mapInArrow(_bands(idf, rows, bands), "text_id binary, band long"), "bands")
-    leaders = banded.groupBy("band").agg(F.min("text_id").alias("a"), F.max("text_id").alias("last")).where("a <> last").select("band", "a")
-    met = written(banded.join(leaders, "band").select("band", "a", F.col("text_id").alias("b")).distinct(), "met")
+    banded = written(texts.mapInArrow(_bands(idf, rows, bands), "text_id binary, band long").distinct(), "bands")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(banded.join(sizes, "band"), "shared")
+    met = written(stars(shared), "met")
     nodes = met.select(F.xxhash64("b").alias("slot")).distinct()
-    bits = min(MAX_BITS, 1 << max(15, (16 * met.select("b").distinct().count()).bit_length()))
+    bits = min(MAX_BITS, 1 << max(15, (16 * nodes.count()).bit_length()))
     wanted = spark.sparkContext.broadcast(bit_set(nodes, "slot", bits))
     keyed = texts.select("text_id", F.xxhash64("text_id").alias("slot"), "text")
     sets = written(
         keyed.mapInArrow(_sets(idf, wanted, bits), "text_id binary, shingles array<long>, weights array<float>").dropDuplicates(["text_id"]), "sets"
     )
-    starred = written(_measured(met.where("a <> b").select("a", "b").distinct(), sets), "stars")
-    joined = starred.where(F.col("similarity") >= threshold)
-    # Pairs of one band in different classes, whose distances to the band's least text don't rule out a link.
-    classes = components(joined.select("a", "b"))
-    placed = (
-        met.join(starred, ["a", "b"], "left").join(classes.withColumnRenamed("node", "b"), "b", "left")
-        .select("band", F.col("b").alias("text_id"), F.coalesce("component", "b").alias("component"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("similarity")).alias("d"))
-    )
-    open_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    placed = written(placed.join(open_bands, "band", "left_semi"), "open")
-    step = 1 - threshold
-    cell = F.floor(F.col("d") / step)
-    left = placed.select("band", F.col("text_id").alias("a"), F.col("component").alias("ca"), F.col("d").alias("da"), cell.alias("cell"))
-    right = placed.select("band", F.col("text_id").alias("b"), F.col("component").alias("cb"), F.col("d").alias("db"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    more = (
-        left.join(right, ["band", "cell"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= step + 1e-9))
-        .where((F.col("da") > 0) & (F.col("db") > 0)).select("a", "b").distinct()
-    )
-    return joined.unionByName(_measured(more, sets).where(F.col("similarity") >= threshold))
+    return resolve(met, sets, threshold)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

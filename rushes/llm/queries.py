@@ -10,6 +10,7 @@ from rushes.llm.near_dedup import near_duplicates
 from rushes.llm.quality_classifier import classify
 from rushes.llm.quality_rules import BOILERPLATE, SENTENCE_END, SEPARATORS, SYMBOLS, quality_rules
 from rushes.llm.sentencepiece_fst import encode
+from rushes.llm.substring_dedup import repeated_passages
 from rushes.llm.token_files import token_documents
 
 QUERIES, SQL = {}, {}
@@ -129,3 +130,10 @@ def op10_context_tree(spark, sf_dir):
 
 
 QUERIES["op10_context_tree"] = op10_context_tree
+
+
+def op6_substring_dedup(spark, sf_dir):
+    return repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", "of_doc_id", "start", "stop", "n_words", "n_paragraphs")
+
+
+QUERIES["op6_substring_dedup"] = op6_substring_dedup

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from rushes.llm.pieces import Cache, Model
 
@@ -59,7 +60,8 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text") -> Dat
                     names=[*rest, "ids", "n_tokens", "n_bytes", "exact"],
                 )
 
-    schema = docs.select(*rest).schema.add("ids", "array<int>").add("n_tokens", "long").add("n_bytes", "long").add("exact", "boolean")
+    schema = StructType([*docs.select(*rest).schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    schema = schema.add("n_tokens", "long").add("n_bytes", "long").add("exact", "boolean")
     return docs.select(F.col(text), *rest).mapInArrow(run, schema)
 
 
