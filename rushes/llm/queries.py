@@ -133,7 +133,7 @@ QUERIES["op10_context_tree"] = op10_context_tree
 
 
 def op6_substring_dedup(spark, sf_dir):
-    return repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", "of_doc_id", "start", "stop", "n_words", "n_paragraphs")
+    return repeated_passages(read(spark, sf_dir, "documents")).select("doc_id", "of_doc_ids", "first_word", "n_words", "n_paragraphs")
 
 
 QUERIES["op6_substring_dedup"] = op6_substring_dedup

@@ -1,12 +1,14 @@
 """Repeated passages: paragraphs by MinHash banding, verified, clustered, and removed but for their first place.
 
 A paragraph here is a piece that copies keep whole wherever they are put: a line, cut after sentences of ``SHORT`` words
-or more; a sentence of ``LONG`` words or more is cut at its commas as well.  Pieces below ``SHORT`` words are not
-compared.  Each has ``BANDS`` bands of one MinHash of its five-word shingles: paragraphs with a Jaccard similarity of 0.8
+or more; a sentence of ``LONG`` words or more is cut as well after each word whose hash is the least of the ``NEAR`` words
+to either side.  Pieces below ``SHORT`` words are not compared.  Each has ``BANDS`` bands of one MinHash of its five-word shingles: paragraphs with a Jaccard similarity of 0.8
 meet in one with 0.998.  Those that meet are verified by their exact similarity and clustered by components.
 
-Paragraphs of a cluster after the first one are repeats.  Repeats next to each other form a passage; passages of at least
-``MIN_WORDS`` words are reported, shorter ones are left as common phrases.
+Paragraphs of a cluster after the first one are repeats.  A repeat grows word by word to both sides, by ``CONTEXT`` words
+at most, as long as the words are those around the first one, since a passage may begin or end inside a paragraph.
+Overlapping repeats form a passage; passages of at least ``MIN_WORDS`` words are reported, shorter ones are left as common
+phrases.  A shared run of 51 words that holds a whole paragraph is thus always long enough.
 
 Most paragraphs occur once.  A first pass counts band keys; a bitmap of fixed greatest size tells the second pass which
 keys are shared, so that only paragraphs that may be repeats are shuffled with their shingles.  A full bitmap lets more
@@ -15,6 +17,8 @@ through and changes no result.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,8 +29,9 @@ from rushes.llm.near_dedup import resolve, stars
 from rushes.llm.words import NONBLANK, Words, grams, mix, spread, words
 
 BANDS = 4
-SHORT, LONG = 8, 24
-MIN_WORDS = 20
+SHORT, LONG, NEAR = 8, 24, 7
+MIN_WORDS = 30
+CONTEXT = 24
 THRESHOLD = 0.8
 MAX_BITS = 1 << 27
 
@@ -46,7 +51,11 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray]:
     stop = line | _STOPS[last]
     ends = np.flatnonzero(stop)
     sizes = np.diff(ends, prepend=-1)
-    stop |= (last == 44) & (np.repeat(sizes, sizes) >= LONG)
+    around = np.pad(w.hash, NEAR, constant_values=np.uint64(0xFFFFFFFFFFFFFFFF))
+    least = around[: len(around) - 2 * NEAR].copy()
+    for j in range(1, 2 * NEAR + 1):
+        np.minimum(least, around[j : j + n], out=least)
+    stop |= (w.hash == least) & (np.repeat(sizes, sizes) >= LONG)
     ends = np.flatnonzero(stop)
     cut = ends[line[ends] | (np.diff(ends, prepend=-1) >= SHORT)]
     return np.concatenate([[0], cut[:-1] + 1]), cut
@@ -87,7 +96,7 @@ def _keys(batches):
 
 
 _FOUND = (
-    "doc_id long, text_key long, no int, n_words int, start long, stop long, text_id binary, bands array<long>, shingles array<long>"
+    "doc_id long, text_key long, first long, last long, before binary, after binary, text_id binary, bands array<long>, shingles array<long>"
 )
 
 
@@ -108,13 +117,17 @@ def _flagged(bitmap, bits: int):
                 own, keys, g = _hashed(w, first, last)
                 size = last - first + 1
                 doc = w.doc[first]
-                no = np.arange(len(first)) - np.searchsorted(doc, doc)
                 bands = shared(keys)
                 at = np.flatnonzero((size >= SHORT) & (bands.any(1) | shared(own)))
                 if not len(at):
                     continue
-                chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80, dtype=np.int64)])
-                base = chars[w.bounds[doc[at]]]
+                short = np.maximum((w.hash >> np.uint64(48)).astype(np.uint16), 1)
+                top, total = np.searchsorted(w.doc, doc[at]), w.counts[doc[at]]
+                step = np.arange(1, CONTEXT + 1)
+                back, ahead = first[at][:, None] - step, last[at][:, None] + step
+                # nearest word first; zero beyond the text
+                before = np.where(back >= top[:, None], short[np.maximum(back, 0)], 0).astype(np.uint16)
+                after = np.where(ahead < (top + total)[:, None], short[np.minimum(ahead, len(short) - 1)], 0).astype(np.uint16)
                 name = [x.tobytes() for x in own[at]]
                 sets = []
                 for i, x in zip(at.tolist(), name):
@@ -123,22 +136,40 @@ def _flagged(bitmap, bits: int):
                 take = pa.array(doc[at].astype(np.int64) + w.first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(take), text_keys.take(take), pa.array(no[at].astype(np.int32)), pa.array(size[at].astype(np.int32)),
-                        pa.array(chars[w.start[first[at]]] - base), pa.array(chars[w.end[last[at]]] - base), pa.array(name, pa.binary()),
+                        ids.take(take), text_keys.take(take), pa.array(first[at] - top), pa.array(last[at] - top),
+                        pa.array([x.tobytes() for x in before], pa.binary()), pa.array([x.tobytes() for x in after], pa.binary()), pa.array(name, pa.binary()),
                         pa.array([keys[i][bands[i]].view(np.int64) for i in at], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "text_key", "no", "n_words", "start", "stop", "text_id", "bands", "shingles"],
+                    names=["doc_id", "text_key", "first", "last", "before", "after", "text_id", "bands", "shingles"],
                 )
 
     return run
 
 
+def _common(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many words from the nearest on are the same in two columns of contexts."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, CONTEXT) for c in (a, b))
+    other = (x != y) | (x == 0)
+    return np.where(other.any(1), other.argmax(1), CONTEXT)
+
+
+def _grown(batches):
+    for b in batches:
+        if len(b):
+            left, right = _common(b.column(4), b.column(6)), _common(b.column(5), b.column(7))
+            first, last = (b.column(j).to_numpy() for j in (2, 3))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(first - left), pa.array(last + right), b.column(8)], names=["doc_id", "text_key", "first", "last", "of_doc_id"]
+            )
+
+
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages that repeat: doc_id, text_key, start, stop (characters), n_words, n_paragraphs, of_doc_id.
+    """Passages that repeat: doc_id, text_key, first_word, n_words, n_paragraphs, of_doc_ids.
 
-    ``of_doc_id`` is the document with the first place of the passage's first paragraph; places go by doc_id (null
-    first), text hash and position, so a text can repeat itself.  Null, empty and short texts have no passages.  Rows
-    that repeat both doc_id and text count as one.  Only doc_id and text are read.  An empty table gives no rows.
+    Words are pieces without ASCII white space, counted from 0.  ``of_doc_ids`` are the documents with the first places
+    of the passage's paragraphs; places go by doc_id (null first), text hash and position, so a text can repeat
+    itself.  Null, empty and short texts have no passages.  Rows that repeat both doc_id and text count as one.  Only
+    doc_id and text are read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     counted = docs.select("text").mapInArrow(_keys, "band long, own long, n long").groupBy("band").agg(
@@ -155,31 +186,57 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     sizes = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     linked = resolve(written(stars(written(met.join(sizes, "band"), "meetings")), "met"), sets.drop("bands"), threshold)
     classes = written(components(linked.select("a", "b")), "classes")
-    places = found.select("doc_id", "text_key", "no", "n_words", "start", "stop", "text_id").dropDuplicates(["doc_id", "text_key", "no"])
+    places = found.drop("bands", "shingles").dropDuplicates(["doc_id", "text_key", "first"])
     placed = written(
         places.join(classes.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("cluster", F.coalesce("component", "text_id")).drop("component", "text_id"), "placed"
     )
-    where = F.struct("doc_id", "text_key", "no")
-    heads = placed.groupBy("cluster").agg(F.min(where).alias("head"), F.count("*").alias("n")).where("n > 1")
-    later = placed.join(heads, "cluster").where(~where.eqNullSafe(F.col("head")))
-    run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("no"))
+    where = ["doc_id", "text_key", "first"]
+    heads = placed.groupBy("cluster").agg(F.min(F.struct(*where, "before", "after")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    later = placed.join(heads, "cluster").where(~F.struct(*where).eqNullSafe(F.struct(*(F.col(f"head.{c}").alias(c) for c in where))))
+    grown = later.select(
+        "doc_id", "text_key", "first", "last", "before", "after", F.col("head.before").alias("b2"), F.col("head.after").alias("a2"), F.col("head.doc_id").alias("of_doc_id")
+    ).mapInArrow(_grown, "doc_id long, text_key long, first long, last long, of_doc_id long")
+    inside = Window.partitionBy("doc_id", "text_key").orderBy("first", "last")
+    reach = F.max("last").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    runs = grown.withColumn("new", F.coalesce(F.col("first") > reach + 1, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return (
-        later.withColumn("run", run).groupBy("doc_id", "text_key", "run").agg(
-            F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_paragraphs"),
-            F.min(F.struct("no", "head.doc_id"))["doc_id"].alias("of_doc_id"),
+        runs.groupBy("doc_id", "text_key", "run").agg(
+            F.min("first").alias("first_word"), (F.max("last") - F.min("first") + 1).alias("n_words"), F.count("*").alias("n_paragraphs"),
+            F.sort_array(F.collect_set("of_doc_id")).alias("of_doc_ids"),
         )
         .where(F.col("n_words") >= min_words).drop("run")
     )
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words of the spans (first word, words) and the white space after them."""
+    at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    out, done = [], 0
+    for first, n in sorted(spans):
+        out.append(text[done : at[first]])
+        done = at[first + n]
+    return "".join([*out, text[done:]])
+
+
 def remove_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` whose texts have lost their repeated passages; all columns stay."""
     spans = repeated_passages(docs.select("doc_id", "text"), threshold, min_words)
-    gone = spans.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_gone"))
+    gone = spans.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_gone"))
     keyed = docs.withColumn("_k", text_key())
-    both = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_d"]) & (keyed["_k"] == gone["_t"]), "left")
-    rest = F.expr(
-        "array_join(transform(sequence(0, size(_gone)), i -> substring(text, "
-        "int(if(i = 0, 0, _gone[i - 1].stop)) + 1, int(if(i = size(_gone), length(text), _gone[i].start) - if(i = 0, 0, _gone[i - 1].stop)))), '')"
-    )
-    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    both = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_d"]) & (keyed["_k"] == gone["_t"]), "left").select("_gone", *docs.columns)
+    names, at = list(docs.columns), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at + 1).to_pylist()
+            for i, g in enumerate(b.column(0).to_pylist()):
+                if g:
+                    texts[i] = cut_words(texts[i], [(x["first_word"], x["n_words"]) for x in g])
+            columns = list(b.columns[1:])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.mapInArrow(run, docs.schema)
