@@ -5,6 +5,7 @@ from __future__ import annotations
 from rushes.llm.common import read
 from rushes.llm.context_tree import score_texts
 from rushes.llm.decontaminate import decontaminate
+from rushes.llm.html_wrapper import extract_pages
 from rushes.llm.line_dedup import line_dedup
 from rushes.llm.near_dedup import near_duplicates
 from rushes.llm.quality_classifier import classify
@@ -137,3 +138,10 @@ def op6_substring_dedup(spark, sf_dir):
 
 
 QUERIES["op6_substring_dedup"] = op6_substring_dedup
+
+
+def op4_html_extraction(spark, sf_dir):
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
+QUERIES["op4_html_extraction"] = op4_html_extraction

@@ -11,6 +11,8 @@ places.  Files ascend by doc_id.  They are Parquet, so that they live in whateve
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rushes.llm.common import text_key
-from rushes.llm.pieces import Cache
+from rushes.llm.words import LOWER
 from rushes.session import checkpoint_dir
 
 SEGMENT = 1 << 17
@@ -87,33 +89,67 @@ def unpack(segment: tuple[list[bytes], list[bytes], list[bytes]]) -> np.ndarray:
     return high
 
 
-_tokenizers: dict = {}
+_SPECIAL = "<|"
+_AFTER_LETTER = re.compile(r"(?<=[a-z])([.,;:!?])(?=[ \n]|$)")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        import os
+class WordEncoder:
+    """Whole texts encoded word by word, for a tokenizer that lower-cases, drops white space and ends each word alone.
 
+    Words between spaces don't depend on each other, so each distinct one is encoded once and kept, ``limit`` at most.
+    New words of letters go to the tokenizer many at a time; the ids that end a word tell them apart again.
+    """
+
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        _tokenizers[path] = t, Cache(lambda chunk: t.encode(chunk, add_special_tokens=False).ids)
-    return _tokenizers[path]
-
-
-def _chunks(text: str) -> list[str]:
-    """The model drops white space, and nothing in it reads across a space or line feed."""
-    return text.replace("\n", " ").split(" ")
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        letters = [w for w in new if w.isalpha()]
+        for w in new:
+            if not w.isalpha():
+                self.known[w] = self._one(w)
+        for i in range(0, len(letters), 2000):
+            part = letters[i : i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):  # a letter that lower-cases to something else
+                self.known.update((w, self._one(w)) for w in part)
+                continue
+            data, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+            self.known.update(zip(part, (data[x:y] for x, y in zip(at, at[1:]))))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = []
+        for t in texts:
+            if _SPECIAL in t:  # names of special tokens depend on case and may stand anywhere
+                cut.append(None)
+                continue
+            low = t.encode("utf-8", "replace").translate(_LOWER).decode()
+            cut.append(_AFTER_LETTER.sub(r" \1", low).replace("\n", " ").split(" "))
+        if len(self.known) > self.limit:
+            self.known = {}
+        known = self.known
+        self._learn([w for w in set().union(*(c for c in cut if c)) if w not in known])
+        return [np.frombuffer(self._one(t) if c is None else b"".join([known[w] for w in c]), np.int32) for t, c in zip(texts, cut)]
+
+
+_LOWER = bytes(LOWER.tolist())
+_encoders: dict[str, WordEncoder] = {}
 
 
 def _encoded(texts: list[str], path: str) -> list[np.ndarray]:
-    t, cache = _tokenizer(path)
-    cut = [_chunks(x) for x in texts]
-    new = [c for c in set().union(*cut) if c not in cache and c not in cache.old]
-    fresh = {c: np.array(e.ids, np.int32).tobytes() for c, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False))}
-    cache.old = {**cache.old, **fresh} if len(fresh) + len(cache.old) <= 2 * cache.limit else fresh
-    return [cache.ids(c) for c in cut]
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path].encode(texts)
 
 
 def _write(path: str, end: int):
