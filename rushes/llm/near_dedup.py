@@ -27,6 +27,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 DF_SLOTS = 1 << 18
+#: What the most frequent words weigh.  It keeps the weighted similarity near the plain one, so that a few new words don't
+#: part the copies of a text that makes up much of the corpus.
+IDF_FLOOR = 8.0
 MAX_BITS = 1 << 27
 
 _TABLE = 1 << 16
@@ -101,7 +104,7 @@ def _count_words(batches):
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """1 + ln((1 + documents) / (1 + document frequency)) by slot: ``DF_SLOTS`` numbers, counted over all documents."""
+    """IDF_FLOOR + ln((1 + documents) / (1 + document frequency)) by slot: ``DF_SLOTS`` numbers, counted over all documents."""
     rows = docs.select("text").mapInArrow(_count_words, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df")).collect()
     df, n = np.zeros(DF_SLOTS), 0
     for r in rows:
@@ -109,7 +112,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             n = r["df"]
         else:
             df[r["slot"]] = r["df"]
-    return (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
+    return (IDF_FLOOR + np.log((1 + n) / (1 + df))).astype(np.float32)
 
 
 def _bands(idf, rows: int, bands: int):
