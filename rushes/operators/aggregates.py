@@ -83,7 +83,7 @@ def keyframe_stats(
     Fewer than two keyframes give (false, null), a mean of zero (false, 0).
     """
     order = list(order or [t])
-    df = slice_series(keyframes, keys, t, **slicing)
+    df = slice_series(keyframes, keys, order, **slicing)
     stepped = ordered_scan(df, keys, order, nxt={"_next": t})
     gaps = stepped.withColumn("_gap", F.col("_next") - F.col(t))
     mean = gaps.groupBy(*keys).agg(F.avg("_gap").alias("_mean"), F.count(F.lit(1)).alias("n_keyframes"))
@@ -310,7 +310,7 @@ def run_series_report(
     peak of the later half with that of the first ``n // 2`` readings and is flagged above ``growth_limit``
     percent when there are at least ``min_runs`` readings.
     """
-    df = slice_series(runs, keys, order[0], **slicing)
+    df = slice_series(runs, keys, order, **slicing)
     counts = ((F.col("success")) & (F.col("peak_memory_mb") > 0)).cast("long")
     df = ordered_scan(df, keys, order, cum={"_nth": counts}, total={"_n": counts})
     ok = F.col("success")

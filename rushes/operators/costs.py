@@ -102,5 +102,5 @@ def remaining_cost(runs: DataFrame, forecasts: DataFrame, **slicing) -> DataFram
 
 def number_files(files: DataFrame, keys: Sequence[str] = ("batch_id",), order: Sequence[str] = ("file_id",), **slicing) -> DataFrame:
     """``file_no`` from 1 in request order."""
-    df = slice_series(files, keys, order[0], **slicing)
+    df = slice_series(files, keys, order, **slicing)
     return ordered_scan(df, keys, order, position="_no").withColumn("file_no", F.col("_no") + 1).drop("_no")

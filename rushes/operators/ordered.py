@@ -1,10 +1,10 @@
 """Ordered work inside a series (a file, a batch, a recording) that stays parallel when one series is huge.
 
 ``partitionBy(file)`` puts a whole file in one task.  That is right for ordinary files and wrong for one
-that holds a third of the table, so a series above ``rows_per_slice`` rows is cut into time slices first:
+that holds a third of the table, so a series above ``rows_per_slice`` rows is cut into slices first:
 windows run per slice, one summary row per slice is scanned in order, and its result is carried back into
-the slice.  The summary has at most ``2 * rows / rows_per_slice`` rows, which bounds the broadcast.
-When no series is that large, the plan is an ordinary window.
+the slice.  Slices are cut by rank in the whole order, so bursts, equal times and text orders give slices of
+about equal rows.  When no series is that large, the plan is an ordinary window.
 """
 
 from __future__ import annotations
@@ -14,40 +14,53 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rushes.session import checkpoint_dir
+
 SLICE = "_slice"
 # Slice number of a series that was not cut.
 WHOLE = -1
 ROWS_PER_SLICE = 1_000_000
+# Sampled rows from which the bounds of one slice are drawn.
+SAMPLES_PER_SLICE = 100
+# Bounds up to this number are broadcast; beyond it the join is left to adaptive execution.
+BROADCAST_BOUNDS = 1_000_000
 
 
 def slice_series(
-    df: DataFrame, keys: Sequence[str], t: str, rows_per_slice: int | None = ROWS_PER_SLICE
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """Add ``_slice`` when some series has more than ``rows_per_slice`` rows; otherwise return ``df`` as it is.
 
-    ``None`` skips the check, for series that are short by nature.
+    ``None`` skips the check, for series that are short by nature.  ``order`` may be of any sortable types; rows
+    that are equal in all of it stay in one slice.
 
-    The slice number depends only on exact aggregates (count, min, max), so a recomputed task assigns
-    the same slices.
+    The bounds of the slices are drawn from a sample of the long series, chosen by hash and kept in the
+    checkpoint folder, so a recomputed task assigns the same slices.
     """
     if SLICE in df.columns or rows_per_slice is None:
         return df
-    long_series = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(t).cast("double").alias("_lo"), F.max(t).cast("double").alias("_hi"))
-        .filter(F.col("_n") > rows_per_slice)
-        .withColumn("_k", F.ceil(F.col("_n") / F.lit(rows_per_slice)).cast("int"))
-        .select(*keys, "_lo", "_hi", "_k")
-    )
+    order = [order] if isinstance(order, str) else list(order)
+    long_series = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slice).select(*keys)
     if long_series.isEmpty():
         return df
-    share = (F.col(t).cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    number = F.least(F.floor(share * F.col("_k")), F.col("_k") - 1)
-    # At most rows / rows_per_slice series qualify, so the broadcast cannot grow past that.
+    checkpoint_dir(df.sparkSession)
+    step = max(1, rows_per_slice // SAMPLES_PER_SLICE)
+    at = F.struct(*[F.col(c) for c in order])
+    sampled = df.select(*keys, *[c for c in order if c not in keys]).join(long_series, list(keys), "left_semi")
+    sampled = sampled.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(step)) == 0)
+    # A sample of a series is a fixed share of it; it is ranked by slices of its own size.
+    ranked = sampled.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    bounds = (
+        ranked.filter(F.col("_r") % max(1, rows_per_slice // step) == 0).groupBy(*keys)
+        .agg(F.sort_array(F.collect_set(at)).alias("_bounds")).checkpoint()
+    )
+    total = bounds.agg(F.sum(F.size("_bounds"))).first()[0] or 0
+    few = F.broadcast(bounds) if total <= BROADCAST_BOUNDS else bounds
+    number = F.size(F.filter("_bounds", lambda b: b < at))
     return (
-        df.join(F.broadcast(long_series), list(keys), "left")
-        .withColumn(SLICE, F.coalesce(number, F.lit(WHOLE)).cast("int"))
-        .drop("_lo", "_hi", "_k")
+        df.join(few, list(keys), "left")
+        .withColumn(SLICE, F.when(F.col("_bounds").isNull(), F.lit(WHOLE)).otherwise(number).cast("int"))
+        .select(*df.columns, SLICE)
     )
 
 
@@ -71,7 +84,7 @@ def ordered_scan(
 ) -> DataFrame:
     """Lag, lead, running sum, previous/next non-null value, series total and row position per series.
 
-    ``order`` must be unique within a series and start with the column the slices were cut on.
+    ``order`` must be unique within a series and be the order the slices were cut on, or begin with it.
     ``prev``/``nxt`` map a new column to the column read one row earlier/later; ``cum`` maps a new
     column to an expression summed up to and including the row; ``ffill``/``bfill`` take the nearest
     non-null value strictly before/after the row; ``total`` sums an expression over the whole series;
@@ -131,7 +144,8 @@ def ordered_scan(
     carried |= {n: F.first(f"_c_{n}", ignorenulls=True).over(s_after) for n in bfill}
     summary = summary.select(*cols, *[c.alias(f"_k_{n}") for n, c in carried.items()])
 
-    joined = local.join(F.broadcast(summary), cols, "left")
+    # Both sides are dealt by series and slice already, so the carried rows join without another shuffle.
+    joined = local.join(summary, cols, "left")
     fixed = {n: F.coalesce(F.col(n), F.col(f"_k_{n}"))["v"] for n in [*prev, *nxt]}
     fixed |= {n: F.col(n) + F.coalesce(F.col(f"_k_{n}"), F.lit(0)) for n in cum}
     fixed |= {n: F.coalesce(F.col(n), F.col(f"_k_{n}")) for n in [*ffill, *bfill]}

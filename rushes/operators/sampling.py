@@ -178,7 +178,7 @@ def limit_per_file(
     df: DataFrame, n: int = 10_000, keys: Sequence[str] = ("file_id",), order: Sequence[str] = ("t", "idx"), **slicing
 ) -> DataFrame:
     """The first ``n`` rows of every series."""
-    df = slice_series(df, keys, order[0], **slicing)
+    df = slice_series(df, keys, order, **slicing)
     return ordered_scan(df, keys, order, position="_pos").filter(F.col("_pos") < n).drop("_pos")
 
 

@@ -26,7 +26,7 @@ def run_segments(
     Columns: keys, ``seg`` (0, 1, ...), ``start``, ``end``, label, value (plain mean), ``n_rows``, ``value_sum``.
     """
     t = order[0]
-    df = slice_series(df, keys, t, **slicing)
+    df = slice_series(df, keys, order, **slicing)
     stepped = ordered_scan(df, keys, order, prev={"_before": label}, nxt={"_next_t": t}, position="_pos")
     changed = (F.col("_pos") > 0) & ~F.col("_before").eqNullSafe(F.col(label))
     numbered = ordered_scan(stepped, keys, order, cum={"seg": changed.cast("long")})
@@ -198,7 +198,7 @@ def drop_consecutive(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], **slicing
 ) -> DataFrame:
     """Drop a row whose ``cols`` all equal those of the row before it (filter invalid rows first)."""
-    df = slice_series(df, keys, order[0], **slicing)
+    df = slice_series(df, keys, order, **slicing)
     packed = df.withColumn("_cols", F.struct(*cols))
     stepped = ordered_scan(packed, keys, order, prev={"_was": "_cols"}, position="_pos")
     kept = stepped.filter((F.col("_pos") == 0) | ~F.col("_was").eqNullSafe(F.col("_cols")))
@@ -215,7 +215,7 @@ def continuity_groups(
     **slicing,
 ) -> DataFrame:
     """Number recordings: a clip continues the one before it when it starts within ``tol`` of its end."""
-    df = slice_series(df, keys, order[0], **slicing)
+    df = slice_series(df, keys, order, **slicing)
     with_end = df.withColumn("_stop", F.col(start) + F.col(duration))
     stepped = ordered_scan(with_end, keys, order, prev={"_prev_stop": "_stop"})
     opens = F.col("_prev_stop").isNotNull() & (F.abs(F.col(start) - F.col("_prev_stop")) >= tol)
@@ -225,7 +225,7 @@ def continuity_groups(
 def successive_gap(df: DataFrame, keys: Sequence[str], order: Sequence[str], **slicing) -> DataFrame:
     """Time to the next row of the series; the last row has none and is left out."""
     t = order[0]
-    df = slice_series(df, keys, t, **slicing)
+    df = slice_series(df, keys, order, **slicing)
     stepped = ordered_scan(df, keys, order, nxt={"_next": t})
     return stepped.filter(F.col("_next").isNotNull()).withColumn("gap", F.col("_next") - F.col(t)).drop("_next")
 
@@ -237,7 +237,7 @@ def rolling_last_n(
 
     A series cut into slices is regrouped into blocks of rows that overlap by ``n - 1``.
     """
-    df = slice_series(df, keys, order[0], **slicing)
+    df = slice_series(df, keys, order, **slicing)
     if SLICE not in df.columns:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
         return df.withColumn("rolling_mean", F.avg(value).over(w))
@@ -267,7 +267,7 @@ def batch_rows(
     """
     t = order[0]
     step = max(1, k - 1) if overlap else k
-    df = slice_series(df, keys, t, **slicing)
+    df = slice_series(df, keys, order, **slicing)
     rows = ordered_scan(df, keys, order, total={"_n": F.lit(1).cast("long")}, position="_i")
     # Row i is in every batch b with b * step <= i < b * step + k.
     first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (k - 1)) / F.lit(step)))
@@ -288,13 +288,13 @@ def previous_text(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, name: str = "previous", **slicing
 ) -> DataFrame:
     """The last non-null ``col`` strictly before each row."""
-    df = slice_series(df, keys, order[0], **slicing)
+    df = slice_series(df, keys, order, **slicing)
     return ordered_scan(df, keys, order, ffill={name: col})
 
 
 def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], **slicing) -> DataFrame:
     """``file_index`` from 0 and ``is_continuation``."""
-    df = slice_series(df, keys, order[0], **slicing)
+    df = slice_series(df, keys, order, **slicing)
     out = ordered_scan(df, keys, order, position="file_index")
     return out.withColumn("is_continuation", F.col("file_index") > 0)
 

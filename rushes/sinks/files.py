@@ -21,7 +21,7 @@ def nest(
     value grows without bound and nothing is left out.
     """
     fields = [c for c in rows.columns if c not in keys]
-    df = slice_series(rows, keys, order[0], **slicing)
+    df = slice_series(rows, keys, order, **slicing)
     numbered = ordered_scan(df, keys, order, position="_pos")
     part = F.floor(F.col("_pos") / part_rows).alias("part")
     grouped = numbered.groupBy(*keys, part).agg(

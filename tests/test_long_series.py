@@ -132,3 +132,27 @@ def test_run_series(series):
         F.col("file_id").alias("series"), "idx", (F.col("label") != "b").alias("success"), F.col("intensity").alias("duration"),
         F.col("idx").alias("memory_mb"), (F.col("idx") * 3 % 11).alias("peak_memory_mb"))
     same(lambda d, s: aggregates.run_series_report(d, **s), runs, 6)
+
+
+def sizes(df, order, n):
+    cut = slice_series(df, ["file_id"], order, rows_per_slice=n)
+    return [r["count"] for r in cut.groupBy("file_id", SLICE).count().collect()]
+
+
+def test_slices_hold_under_bursts_ties_and_text(spark):
+    burst = spark.range(20_000).select(
+        F.lit("f").alias("file_id"), F.when(F.col("id") < 19_800, F.col("id") / 1e6).otherwise(F.col("id").cast("double")).alias("t"), F.col("id").alias("idx")
+    )
+    equal = burst.withColumn("t", F.lit(1.0))
+    text = burst.withColumn("name", F.concat(F.lit("clip/"), F.sha2(F.col("idx").cast("string"), 256)))
+    for df, order in ((burst, ["t", "idx"]), (equal, ["t", "idx"]), (text, ["name"])):
+        found = sizes(df, order, 1000)
+        assert sum(found) == 20_000 and max(found) <= 2000
+
+
+def test_text_order_numbers_files(spark):
+    from rushes.operators.costs import number_files
+
+    files = spark.createDataFrame([("b", f"clip/{i:03d}.mov") for i in range(50)], "batch string, file_id string")
+    got = number_files(files, ["batch"], ["file_id"], rows_per_slice=10).orderBy("file_id").collect()
+    assert [r.file_no for r in got] == list(range(1, 51))
