@@ -213,10 +213,13 @@ def unit_rate(seconds: Column | str, units: Column | str) -> Column:
     return F.when(u > 0, s / u).otherwise(s)
 
 
-def status_counts(df: DataFrame, keys: Sequence[str] = ("batch_id", "extractor")) -> DataFrame:
-    """Status matrix: one column per status, counted with conditional sums (one shuffle, fixed columns)."""
-    names = ["pending", "active", "completed", "failed", "skipped"]
-    return df.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in names])
+STATUSES = ("pending", "active", "completed", "failed", "skipped")
+
+
+def status_counts(df: DataFrame, keys: Sequence[str] = ("batch_id", "extractor"), names: Sequence[str] = STATUSES) -> DataFrame:
+    """Status matrix: one column per status in ``names``, and ``other`` for all further ones and null (one shuffle)."""
+    known = F.coalesce(F.col("status").isin(list(names)), F.lit(False))
+    return df.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in names], F.count_if(~known).alias("other"))
 
 
 def prefilter_report(frames: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:

@@ -16,6 +16,10 @@ def _default_rate(stage: Column) -> Column:
     return F.coalesce(F.try_element_at(known, stage), F.lit(1.0))
 
 
+# Rates by stage and bucket that are broadcast.
+BROADCAST_RATES = 100_000
+
+
 def forecast(files: DataFrame, rates: DataFrame) -> DataFrame:
     """Predicted seconds per file and stage.
 
@@ -38,12 +42,11 @@ def forecast(files: DataFrame, rates: DataFrame) -> DataFrame:
         F.coalesce(F.when(stamps > 0, stamps), F.lit(5)).alias("_stamps"),
         F.explode("stages").alias("extractor"),
     )
-    # Stages and buckets come from fixed lists, so there are at most 12 x 7 rates to ship; a shuffle on these
-    # few keys would put all files of a stage in one task.
-    buckets = [name for _, name in tables.RESOLUTION_BUCKETS] + ["8k+", "unknown"]
-    known = rates.filter(F.col("extractor").isin(list(tables.DEFAULT_RATES)) & F.col("bucket").isin(buckets))
-    known = known.groupBy("extractor", "bucket").agg(F.first("rate").alias("rate"))
-    joined = per_stage.join(F.broadcast(known), ["extractor", "bucket"], "left")
+    # Several rates of one stage and bucket count by their mean.  Few rates are shipped, since a shuffle on these
+    # keys would put all files of a stage in one task; beyond the limit adaptive execution splits such keys.
+    known = rates.groupBy("extractor", "bucket").agg(F.avg("rate").alias("rate"))
+    few = known.limit(BROADCAST_RATES + 1).count() <= BROADCAST_RATES
+    joined = per_stage.join(F.broadcast(known) if few else known, ["extractor", "bucket"], "left")
     rate = F.coalesce("rate", _default_rate(F.col("extractor")))
     units = (
         F.when(F.col("extractor").isin("vad", "transcript"), F.col("duration") / 60.0)

@@ -175,11 +175,16 @@ def sort_by_time(df: DataFrame, keys: Sequence[str] = ("file_id",), order: Seque
 
 
 def limit_per_file(
-    df: DataFrame, n: int = 10_000, keys: Sequence[str] = ("file_id",), order: Sequence[str] = ("t", "idx"), **slicing
+    df: DataFrame, n: int, keys: Sequence[str] = ("file_id",), order: Sequence[str] = ("t", "idx"), **slicing
 ) -> DataFrame:
     """The first ``n`` rows of every series."""
     df = slice_series(df, keys, order, **slicing)
-    return ordered_scan(df, keys, order, position="_pos").filter(F.col("_pos") < n).drop("_pos")
+    # A rank is pruned to n rows in each task before the shuffle; the cut series first drop to n rows a slice.
+    local = Window.partitionBy(*parts(df, keys)).orderBy(*order)
+    first = df.withColumn("_rank", F.row_number().over(local)).filter(F.col("_rank") <= n).drop("_rank")
+    if SLICE not in df.columns:
+        return first
+    return ordered_scan(first, keys, order, position="_pos").filter(F.col("_pos") < n).drop("_pos")
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

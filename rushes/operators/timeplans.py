@@ -56,7 +56,8 @@ def adaptive_plan(
     still = F.when(d < 10, F.array(d / 2)).otherwise(F.array(d * 0.15, d * 0.5, d * 0.85))
     few = F.least(F.lit(5), F.greatest(F.lit(1), (d / 10).cast("int")))
     calm = F.when(few == 1, F.array(d / 2)).otherwise(uniform_times(d, few))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: F.lit(0.1) + i * 2.0)
+    # Every two seconds of the whole file; beyond ``cap`` samples are thinned evenly below.
+    grid = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(d / 2)).cast("int")), lambda i: F.lit(0.1) + i * 2.0)
     settled = F.when(
         F.col("is_stable"), F.when(F.col("mean_intensity") < 1.0, still).otherwise(calm)
     ).when(F.col("n_segments") == 0, F.filter(grid, lambda x: x < d - 0.1))

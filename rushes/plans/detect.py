@@ -397,11 +397,11 @@ def split_reusable(spark, sf_dir):
 
 @query("in_window", "WITH " + OBS + ", " + FILES + """, windows AS (
   SELECT file_id, i AS "window", i * 30.0 AS "start", least((i + 1) * 30.0, duration) AS "end"
-  FROM files, range(0, 3) r(i) WHERE i * 30.0 < duration)
+  FROM (SELECT *, unnest(range(0, ceil(duration / 30)::BIGINT + 1)) AS i FROM files) WHERE i * 30.0 < duration)
 SELECT o.file_id, idx, "window" FROM obs o JOIN windows w ON o.file_id = w.file_id AND t >= "start" AND t < "end" """)
 def in_window(spark, sf_dir):
     files = durations(spark, sf_dir)
-    windows = files.select("file_id", "duration", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("window"))
+    windows = files.select("file_id", "duration", F.explode(F.expr("sequence(0L, cast(ceil(duration / 30) as bigint))")).alias("window"))
     windows = windows.filter(F.col("window") * 30.0 < F.col("duration")).select(
         "file_id", "window", (F.col("window") * 30.0).alias("start"),
         F.least((F.col("window") + 1) * 30.0, "duration").alias("end"),

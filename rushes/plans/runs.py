@@ -212,12 +212,13 @@ def statuses(spark, sf_dir):
 
 
 @query("status_counts", """
-SELECT o_custkey AS batch_id, o_orderpriority AS extractor, count(*) FILTER (o_orderkey % 5 = 0)::BIGINT AS pending,
-       count(*) FILTER (o_orderkey % 5 = 1)::BIGINT AS active, count(*) FILTER (o_orderkey % 5 = 2)::BIGINT AS completed,
-       count(*) FILTER (o_orderkey % 5 = 3)::BIGINT AS failed, count(*) FILTER (o_orderkey % 5 = 4)::BIGINT AS skipped
-FROM orders GROUP BY ALL""")
+SELECT o_custkey AS batch_id, o_orderpriority AS extractor, count(*) FILTER (k = 0)::BIGINT AS pending,
+       count(*) FILTER (k = 1)::BIGINT AS active, count(*) FILTER (k = 2)::BIGINT AS completed,
+       count(*) FILTER (k = 3)::BIGINT AS failed, count(*) FILTER (k = 4)::BIGINT AS skipped, count(*) FILTER (k = -1)::BIGINT AS other
+FROM (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE o_orderkey % 5 END AS k FROM orders) GROUP BY ALL""")
 def status_counts(spark, sf_dir):
-    return aggregates.status_counts(statuses(spark, sf_dir))
+    rows = statuses(spark, sf_dir)
+    return aggregates.status_counts(rows.withColumn("status", F.when(F.col("file_id") % 7 == 0, "queued").otherwise(F.col("status"))))
 
 
 @query("drop_expired", """
@@ -405,7 +406,7 @@ def log_lines(spark, sf_dir):
 
 
 @query("tail_log", """
-SELECT event_id AS line_no, 'run ERROR ' || props AS line FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 1000)
+SELECT event_id AS line_no, 'run ERROR ' || props AS line FROM events
 WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100""")
 def tail_log_query(spark, sf_dir):
     return tail_log(log_lines(spark, sf_dir), 100, "error")

@@ -190,9 +190,9 @@ def choose_language(spark, sf_dir):
 @query("query_gate", """
 SELECT doc_id, CASE WHEN length(trim(w)) >= 3 THEN lang END AS source_lang,
        coalesce(CASE WHEN length(trim(w)) >= 3 THEN lang END <> 'en', false) AS needs_translation
-FROM (SELECT doc_id, lang, split_part(text, ' ', 1) AS w FROM documents)""")
+FROM (SELECT doc_id, lang, text AS w FROM documents)""")
 def query_gate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.split_part("text", F.lit(" "), F.lit(1)).alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("w"))
     return docs.select("doc_id", media.query_gate("w", "lang").alias("g")).select("doc_id", "g.*")
 
 

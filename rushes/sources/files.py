@@ -141,10 +141,10 @@ def keyframe_times(lines: DataFrame) -> DataFrame:
     return lines.select("file_id", t.alias("t")).filter(F.col("t").isNotNull())
 
 
-def scan_pcm(spark: SparkSession, path: str, frame_ms: int = 30, max_s: float = 120.0) -> DataFrame:
+def scan_pcm(spark: SparkSession, path: str, frame_ms: int = 30, max_s: float | None = None) -> DataFrame:
     """Frames of mono 16-bit WAV files: ``file_id, i, samples, error``.
 
-    The trailing partial frame is dropped and at most ``max_s`` seconds are read.  A file that is no mono
+    The trailing partial frame is dropped; ``max_s`` may limit the seconds that are read.  A file that is no mono
     16-bit WAV is one row with ``error``.
     """
     files = spark.read.format("binaryFile").load(path)
@@ -158,14 +158,14 @@ def scan_pcm(spark: SparkSession, path: str, frame_ms: int = 30, max_s: float =
     return files.mapInPandas(frames, "file_id string, i long, samples array<smallint>, error string")
 
 
-def _wav_frames(file_id: str, content: bytes, frame_ms: int, max_s: float) -> pd.DataFrame:
+def _wav_frames(file_id: str, content: bytes, frame_ms: int, max_s: float | None) -> pd.DataFrame:
     try:
         with wave.open(io.BytesIO(content), "rb") as wav:
             if wav.getnchannels() != 1 or wav.getsampwidth() != 2:
                 raise ValueError("not mono 16-bit audio")
             size = int(wav.getframerate() * frame_ms / 1000)
-            most = int(max_s * 1000 / frame_ms)
-            samples = np.frombuffer(wav.readframes(size * most), dtype="<i2")
+            most = wav.getnframes() if max_s is None else size * int(max_s * 1000 / frame_ms)
+            samples = np.frombuffer(wav.readframes(most), dtype="<i2")
     except (ValueError, EOFError, wave.Error) as e:
         return pd.DataFrame({"file_id": [file_id], "i": [None], "samples": [None], "error": [str(e)]})
     n = len(samples) // size if size else 0
@@ -174,10 +174,7 @@ def _wav_frames(file_id: str, content: bytes, frame_ms: int, max_s: float) -> pd
 
 
 def tail_log(lines: DataFrame, n: int = 100, level: str | None = None, order: str = "line_no", text: str = "line") -> DataFrame:
-    """The last ``n`` (at most 1000) lines, or of the last ``10 n`` lines those of one level."""
-    n = min(n, 1000)
-    if level is None:
-        return lines.orderBy(F.desc(order)).limit(n)
-    recent = lines.orderBy(F.desc(order)).limit(n * 10)
-    matching = recent.filter(F.col(text).contains(f" {level.upper()} "))
-    return matching.orderBy(F.desc(order)).limit(n)
+    """The last ``n`` lines, of one level if it is given."""
+    if level is not None:
+        lines = lines.filter(F.col(text).contains(f" {level.upper()} "))
+    return lines.orderBy(F.desc(order)).limit(n)

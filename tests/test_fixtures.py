@@ -340,3 +340,22 @@ def test_plugins(spark):
 
     register_language_detector("toy", detect)
     assert {r.id for r in gate_queries(df, "toy").filter("needs_translation").collect()} == {3}
+
+
+def test_forecast_uses_every_rate(spark):
+    files = spark.createDataFrame([("b", "f", 60.0, "1080p", ["color_grade"])], "batch_id string, file_id string, duration double, bucket string, stages array<string>")
+    rates = spark.createDataFrame([("color_grade", "1080p", 7.0), ("color_grade", "1080p", 8.0)], "extractor string, bucket string, rate double")
+    assert [r.seconds for r in costs.forecast(files, rates).collect()] == [7.5]
+
+
+def test_status_counts_keep_other_names(spark):
+    rows = spark.createDataFrame([("b", "e", "queued"), ("b", "e", "completed"), ("b", "e", None)], "batch_id string, extractor string, status string")
+    got = aggregates.status_counts(rows).first()
+    assert (got.completed, got.other) == (1, 2)
+
+
+def test_plan_reaches_the_end_of_a_file_without_segments(spark):
+    summary = spark.createDataFrame([("f", 1000.0, False, 1.0, 0)], "file_id string, duration double, is_stable boolean, mean_intensity double, n_segments long")
+    segments = spark.createDataFrame([], "file_id string, start double, end double, intensity double")
+    times = sorted(r.t for r in timeplans.adaptive_plan(summary, segments).collect())
+    assert len(times) == 100 and times[-1] > 980

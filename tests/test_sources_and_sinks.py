@@ -122,7 +122,7 @@ def test_keyframes_and_log(spark, tmp_path):
     assert sorted(r.t for r in sources.scan_keyframes(spark, str(tmp_path)).collect()) == [0.5, 1.5]
     lines = spark.createDataFrame([(i, f"x {'ERROR' if i % 50 == 0 else 'INFO'} y") for i in range(200)], "line_no long, line string")
     assert sources.tail_log(lines, 5).count() == 5
-    assert [r.line_no for r in sources.tail_log(lines, 10, "error").collect()] == [150, 100]
+    assert [r.line_no for r in sources.tail_log(lines, 10, "error").collect()] == [150, 100, 50, 0]
 
 
 def test_pcm_frames(spark, tmp_path):
