@@ -305,17 +305,31 @@ def _first(block: Column, pattern: str, group: int = 1) -> Column:
 
 def block_time(block: Column | str) -> Column:
     """Start of a subtitle block in seconds, null without one."""
-    pattern = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})\s*-->"
-    h, m, s, ms = [_first(_c(block), pattern, g).try_cast("int") for g in (1, 2, 3, 4)]
+    return clock_seconds(block_clock(block))
+
+
+def block_clock(block: Column | str) -> Column:
+    """Start of a subtitle block as ``hh:mm:ss,mmm``, null without one."""
+    return _first(_c(block), r"(\d{2}:\d{2}:\d{2},\d{3})\s*-->")
+
+
+def clock_seconds(clock: Column | str) -> Column:
+    """Seconds of ``hh:mm:ss,mmm``."""
+    h, m, s, ms = [F.substring(_c(clock), at, n).try_cast("int") for at, n in ((1, 2), (4, 2), (7, 2), (10, 3))]
     return (h * 3600 + m * 60 + s + ms / 1000).cast("double")
 
 
 def telemetry_point(block: Column | str) -> Column:
     """Struct of the telemetry a drone writes into one subtitle block."""
+    return F.struct(*telemetry_columns(block))
+
+
+def telemetry_columns(block: Column | str) -> list[Column]:
+    """The telemetry of one subtitle block as columns, so that unused ones are never computed."""
     b = _c(block)
     shutter = _first(b, r"\[shutter:\s*1/([\d.]+)\]").try_cast("double")
     recorded = _first(b, r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)")
-    return F.struct(
+    return [
         parse_time(F.regexp_replace(recorded, r"\s+", "T")).alias("recorded_at"),
         _first(b, r"\[latitude:\s*([-\d.]+)\]").try_cast("double").alias("latitude"),
         _first(b, r"\[longitude:\s*([-\d.]+)\]").try_cast("double").alias("longitude"),
@@ -326,7 +340,7 @@ def telemetry_point(block: Column | str) -> Column:
         _first(b, r"\[fnum:\s*([\d.]+)\]").try_cast("double").alias("aperture"),
         _first(b, r"\[focal_len:\s*([\d.]+)\]").try_cast("double").alias("focal_length"),
         _first(b, r"\[color_md\s*:\s*(\w+)\]").alias("color_mode"),
-    )
+    ]
 
 
 def exposure_point(block: Column | str) -> Column:

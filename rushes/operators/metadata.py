@@ -65,9 +65,14 @@ def base_metadata(probe: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def srt_points(texts: DataFrame, text: str = "text") -> DataFrame:
     """``file_id, t`` and the telemetry of every subtitle block that has a time."""
+    return _timed_blocks(texts, text).select("file_id", tg.clock_seconds("_clock").alias("t"), *tg.telemetry_columns("_block"))
+
+
+def _timed_blocks(texts: DataFrame, text: str) -> DataFrame:
+    """Blocks with their times, spread evenly, since one text may hold very many."""
     blocks = texts.select("file_id", F.explode(tg.srt_blocks(text)).alias("_block"))
-    timed = blocks.select("file_id", tg.block_time("_block").alias("t"), tg.telemetry_point("_block").alias("_p"))
-    return timed.filter(F.col("t").isNotNull()).select("file_id", "t", "_p.*")
+    timed = blocks.withColumn("_clock", tg.block_clock("_block")).filter(F.col("_clock").isNotNull())
+    return timed.hint("rebalance")
 
 
 def has_position():
@@ -78,9 +83,8 @@ def has_position():
 
 def exposure_points(texts: DataFrame, text: str = "text") -> DataFrame:
     """``file_id, t, aperture, shutter, iso`` of blocks with an aperture or ISO; position 0, 0."""
-    blocks = texts.select("file_id", F.explode(tg.srt_blocks(text)).alias("_block"))
-    timed = blocks.select("file_id", tg.block_time("_block").alias("t"), tg.exposure_point("_block").alias("_p"))
-    return timed.filter(F.col("t").isNotNull()).select(
+    timed = _timed_blocks(texts, text).select("file_id", tg.clock_seconds("_clock").alias("t"), tg.exposure_point("_block").alias("_p"))
+    return timed.select(
         "file_id", "t", F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"), "_p.*"
     )
 
