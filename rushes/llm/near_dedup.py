@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rushes.llm.common import bit_set, components, text_key, written
+from rushes.llm.common import bit_set, components, rows_per_batch, text_key, written
 from rushes.llm.words import ALNUM, Words, grams, words
 
 SHINGLE = 5
@@ -31,6 +31,7 @@ DF_SLOTS = 1 << 18
 #: part the copies of a text that makes up much of the corpus.
 IDF_FLOOR = 8.0
 MAX_BITS = 1 << 27
+SETS_PER_BATCH = 100
 
 _TABLE = 1 << 16
 
@@ -190,21 +191,27 @@ def _count_shingles(batches):
 
 def _prefixes(order, threshold: float):
     def run(batches):
+        short = (1 - threshold) / (1 + threshold)
         for b in batches:
             offsets, h, weight = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy(), b.column(3).values.to_numpy()
-            frequency, who, what = order.value[slots(h.view(np.uint64))], [], []
+            frequency, parts = order.value[slots(h.view(np.uint64))], []
             for i in range(len(b)):
                 lo, hi = offsets[i], offsets[i + 1]
+                if hi == lo:
+                    continue
                 rank = np.lexsort((h[lo:hi], frequency[lo:hi]))
                 held = np.cumsum(weight[lo:hi][rank], dtype=np.float64)
-                n = int(np.searchsorted(held, (1 - threshold) * held[-1] * (1 + 1e-6), "right")) + 1 if hi > lo else 0
-                what.append(h[lo:hi][rank[:n]])
-                who.append(np.full(len(what[-1]), i))
-            who = pa.array(np.concatenate(who) if who else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(who), b.column(1).take(who), pa.array(np.concatenate(what) if what else np.zeros(0, np.int64))],
-                names=["text_id", "component", "shingle"],
-            )
+                total = held[-1]
+                before = np.concatenate([[0.0], held[:-1]])
+                n = int(np.searchsorted(before, (1 - threshold) * total * (1 + 1e-6), "right"))
+                parts.append((np.full(n, i), h[lo:hi][rank[:n]], total - before[:n], np.full(n, total), before[:n] <= short * total * (1 + 1e-6)))
+            if parts:
+                who, what, rest, total, first = (np.concatenate(x) for x in zip(*parts))
+                who = pa.array(who)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(who), b.column(1).take(who), pa.array(what), pa.array(rest), pa.array(total), pa.array(first)],
+                    names=["text_id", "component", "shingle", "rest", "total", "first"],
+                )
 
     return run
 
@@ -212,24 +219,34 @@ def _prefixes(order, threshold: float):
 def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b): all pairs of ``sets`` in different components that can reach the threshold.
 
-    In one order of all shingles, rare ones first, texts of the threshold's similarity share a shingle among the first
-    that hold the rest of the weight, 1 - threshold.  A text that differs from its group by more than that has no such
-    shingle in common with it, however large the group.
+    In one order of all shingles, rare ones first, two texts of the threshold t share a shingle among the first ones: those
+    before which the lighter text has at most (1 - t) / (1 + t) of its weight and the heavier one 1 - t.  What both have
+    from the first shared shingle on must be enough.  A text whose own shingles weigh more than that share has no partner
+    in its group, however large the group.
     """
     rows = sets.select("shingles").mapInArrow(_count_shingles, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(DF_SLOTS, np.int64)  # at most DF_SLOTS rows
     for r in rows:
         frequency[r["slot"]] = r["n"]
     order = sets.sparkSession.sparkContext.broadcast(frequency)
-    first = written(
-        sets.select("text_id", "component", "shingles", "weights").mapInArrow(_prefixes(order, threshold), "text_id binary, component binary, shingle long"), "prefixes"
+    firsts = written(
+        sets.select("text_id", "component", "shingles", "weights").mapInArrow(
+            _prefixes(order, threshold), "text_id binary, component binary, shingle long, rest double, total double, first boolean"
+        ),
+        "prefixes",
+    )
+    by_class = firsts.groupBy("shingle", "component").agg(F.count("*").alias("n"), F.max(F.col("first").cast("int")).alias("first"))
+    mixed = by_class.groupBy("shingle").agg(F.count("*").alias("classes"), F.max("first").alias("first"), F.max(F.struct("n", "component")).alias("top")).where("classes > 1 and first = 1")
+    held = written(firsts.join(mixed.select("shingle", F.col("top.component").alias("largest")), "shingle"), "mixed")
+    light = held.where("first").select("shingle", "largest", F.col("text_id").alias("a"), F.col("component").alias("ca"), F.col("rest").alias("ra"), F.col("total").alias("wa"))
+    heavy = held.select("shingle", F.col("text_id").alias("b"), F.col("component").alias("cb"), F.col("rest").alias("rb"), F.col("total").alias("wb"), "largest")
+    enough = (
+        (F.struct("wa", "a") < F.struct("wb", "b")) & (F.col("ca") != F.col("cb")) & (F.col("wa") >= threshold * F.col("wb") * (1 - 1e-6))
+        & (F.least("ra", "rb") >= threshold / (1 + threshold) * (F.col("wa") + F.col("wb")) * (1 - 1e-6))
     )
-    by_class = first.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-    mixed = by_class.groupBy("shingle").agg(F.count("*").alias("classes"), F.max(F.struct("n", "component")).alias("top")).where("classes > 1")
-    held = first.join(mixed.select("shingle", F.col("top.component").alias("largest")), "shingle")
-    one = held.where("component <> largest").select("shingle", F.col("text_id").alias("x"), F.col("component").alias("cx"))
-    two = held.select("shingle", F.col("text_id").alias("y"), F.col("component").alias("cy"))
-    return one.join(two, "shingle").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    small = light.where("ca <> largest").join(heavy.drop("largest"), "shingle").where(enough)
+    large = light.where("ca = largest").drop("largest").join(heavy.where("cb <> largest").drop("largest"), "shingle").where(enough)
+    return small.select("a", "b").unionByName(large.select("a", "b")).distinct()
 
 
 def stars(shared: DataFrame) -> DataFrame:
@@ -242,14 +259,18 @@ def stars(shared: DataFrame) -> DataFrame:
 
 def resolve(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): the links of ``threshold`` or more that join the classes, from stars and their open rests."""
+    spark = met.sparkSession
     starred = _measured(met.where("a <> b").select("a", "b").distinct(), sets)
-    joined = written(starred.where(F.col("similarity") >= threshold), "stars")
+    with rows_per_batch(spark, SETS_PER_BATCH):
+        joined = written(starred.where(F.col("similarity") >= threshold), "stars")
     classes = components(joined.select("a", "b"))
     placed = met.join(classes.withColumnRenamed("node", "b"), "b", "left").select("band", F.col("b").alias("text_id"), F.coalesce("component", "b").alias("component"))
     open_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
     unsettled = placed.join(open_bands, "band", "left_semi").select("text_id", "component").distinct()
-    more = _prefix_pairs(written(sets.join(unsettled, "text_id"), "unsettled"), threshold)
-    return joined.unionByName(_measured(more, sets).where(F.col("similarity") >= threshold))
+    with rows_per_batch(spark, SETS_PER_BATCH):
+        more = _prefix_pairs(written(sets.join(unsettled, "text_id"), "unsettled"), threshold)
+        rest = written(_measured(more, sets).where(F.col("similarity") >= threshold), "rest")
+    return joined.unionByName(rest)
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
