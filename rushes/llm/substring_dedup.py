@@ -3,7 +3,7 @@
 A paragraph here is a piece that copies keep whole wherever they are put: a line, cut after sentences of ``SHORT`` words
 or more; a sentence of ``LONG`` words or more is cut as well after each word whose hash is the least of the ``NEAR`` words
 to either side.  Pieces below ``SHORT`` words are not compared.  Each has ``BANDS`` bands of one MinHash of its five-word shingles: paragraphs with a Jaccard similarity of 0.8
-meet in one with 0.998.  Those that meet are verified by their exact similarity and clustered by components.
+meet in one with 0.992.  Those that meet are verified by their exact similarity and clustered by components.
 
 Paragraphs of a cluster after the first one are repeats.  A repeat grows word by word to both sides, by ``CONTEXT`` words
 at most, as long as the words are those around the first one, since a passage may begin or end inside a paragraph.
@@ -12,7 +12,7 @@ phrases.  A shared run of 51 words that holds a whole paragraph is thus always l
 
 Most paragraphs occur once.  A first pass counts band keys; a bitmap of fixed greatest size tells the second pass which
 keys are shared, so that only paragraphs that may be repeats are shuffled with their shingles.  A full bitmap lets more
-through and changes no result.
+through and changes no result.  Shingles of a paragraph are compared by 32 bits, the words around it by 8.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from rushes.llm.common import bit_set, components, text_key, written
 from rushes.llm.near_dedup import resolve, stars
 from rushes.llm.words import NONBLANK, Words, grams, mix, spread, words
 
-BANDS = 4
+BANDS = 3
 SHORT, LONG, NEAR = 8, 24, 7
 MIN_WORDS = 30
 CONTEXT = 24
@@ -86,17 +86,17 @@ def _keys(batches):
                 parts.append((own[keep], keys[keep]))
         own, keys = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64))
         own, at, n = np.unique(own, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([own, keys[at].reshape(-1)]).view(np.int64)), pa.array(np.concatenate([own, np.repeat(own, BANDS)]).view(np.int64)),
-                pa.array(np.concatenate([n, np.zeros(len(own) * BANDS, np.int64)])),
-            ],
-            names=["band", "own", "n"],
-        )
+        keys, m = np.unique(keys[at].reshape(-1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, keys]).view(np.int64)), pa.array(np.concatenate([n, m]))], names=["band", "n"])
+
+
+def _second(h: np.ndarray) -> np.ndarray:
+    """The other place of a key in the bitmap."""
+    return (h >> np.uint64(32)) | (h << np.uint64(32))
 
 
 _FOUND = (
-    "doc_id long, text_key long, first long, last long, before binary, after binary, text_id binary, bands array<long>, shingles array<long>"
+    "doc_id long, text_key long, first int, last int, before binary, after binary, text_id binary, bands array<long>, shingles array<int>"
 )
 
 
@@ -104,10 +104,12 @@ def _flagged(bitmap, bits: int):
     def run(batches):
         have, mask, sent = bitmap.value, np.uint64(bits - 1), set()
 
-        def shared(h):
-            slot = h & mask
+        def place(slot):
             return (have[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+        def shared(h):
+            return place(h & mask) & place(_second(h) & mask)
+
         for b in batches:
             ids, text_keys = b.column(0), b.column(1)
             for w in words(b.column(2), NONBLANK):
@@ -121,24 +123,24 @@ def _flagged(bitmap, bits: int):
                 at = np.flatnonzero((size >= SHORT) & (bands.any(1) | shared(own)))
                 if not len(at):
                     continue
-                short = np.maximum((w.hash >> np.uint64(48)).astype(np.uint16), 1)
+                short = np.maximum((w.hash >> np.uint64(56)).astype(np.uint8), 1)
                 top, total = np.searchsorted(w.doc, doc[at]), w.counts[doc[at]]
                 step = np.arange(1, CONTEXT + 1)
                 back, ahead = first[at][:, None] - step, last[at][:, None] + step
                 # nearest word first; zero beyond the text
-                before = np.where(back >= top[:, None], short[np.maximum(back, 0)], 0).astype(np.uint16)
-                after = np.where(ahead < (top + total)[:, None], short[np.minimum(ahead, len(short) - 1)], 0).astype(np.uint16)
+                before = np.where(back >= top[:, None], short[np.maximum(back, 0)], 0).astype(np.uint8)
+                after = np.where(ahead < (top + total)[:, None], short[np.minimum(ahead, len(short) - 1)], 0).astype(np.uint8)
                 name = [x.tobytes() for x in own[at]]
                 sets = []
                 for i, x in zip(at.tolist(), name):
-                    sets.append(None if x in sent else np.unique(g[first[i] : last[i] - 3]).view(np.int64))
+                    sets.append(None if x in sent else np.unique(g[first[i] : last[i] - 3].astype(np.uint32)).view(np.int32))
                     sent.add(x)
                 take = pa.array(doc[at].astype(np.int64) + w.first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(take), text_keys.take(take), pa.array(first[at] - top), pa.array(last[at] - top),
+                        ids.take(take), text_keys.take(take), pa.array((first[at] - top).astype(np.int32)), pa.array((last[at] - top).astype(np.int32)),
                         pa.array([x.tobytes() for x in before], pa.binary()), pa.array([x.tobytes() for x in after], pa.binary()), pa.array(name, pa.binary()),
-                        pa.array([keys[i][bands[i]].view(np.int64) for i in at], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())),
+                        pa.array([keys[i][bands[i]].view(np.int64) for i in at], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32())),
                     ],
                     names=["doc_id", "text_key", "first", "last", "before", "after", "text_id", "bands", "shingles"],
                 )
@@ -148,7 +150,7 @@ def _flagged(bitmap, bits: int):
 
 def _common(a: pa.Array, b: pa.Array) -> np.ndarray:
     """How many words from the nearest on are the same in two columns of contexts."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, CONTEXT) for c in (a, b))
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CONTEXT) for c in (a, b))
     other = (x != y) | (x == 0)
     return np.where(other.any(1), other.argmax(1), CONTEXT)
 
@@ -157,7 +159,7 @@ def _grown(batches):
     for b in batches:
         if len(b):
             left, right = _common(b.column(4), b.column(6)), _common(b.column(5), b.column(7))
-            first, last = (b.column(j).to_numpy() for j in (2, 3))
+            first, last = (b.column(j).to_numpy().astype(np.int64) for j in (2, 3))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(first - left), pa.array(last + right), b.column(8)], names=["doc_id", "text_key", "first", "last", "of_doc_id"]
             )
@@ -172,21 +174,23 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     doc_id and text are read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(_keys, "band long, own long, n long").groupBy("band").agg(
-        F.min("own").alias("least"), F.max("own").alias("most"), F.sum("n").alias("n")
-    )
-    shared = written(counted.where("least <> most or n > 1").select("band"), "shared-bands")
-    bits = min(MAX_BITS, 1 << max(15, (16 * shared.count()).bit_length()))
-    bitmap = spark.sparkContext.broadcast(bit_set(shared, "band", bits))
+    counted = docs.select("text").mapInArrow(_keys, "band long, n long").groupBy("band").agg(F.sum("n").alias("n"))
+    shared = written(counted.where("n > 1").select("band"), "shared-bands")
+    bits = min(MAX_BITS, 1 << max(15, (32 * shared.count()).bit_length()))
+    other = F.call_function("shiftrightunsigned", F.col("band"), F.lit(32)).bitwiseOR(F.call_function("shiftleft", F.col("band"), F.lit(32)))
+    bitmap = spark.sparkContext.broadcast(bit_set(shared.unionByName(shared.select(other.alias("band"))), "band", bits))
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
     found = written(rows.mapInArrow(_flagged(bitmap, bits), _FOUND), "paragraphs")
     distinct = found.where("shingles is not null").dropDuplicates(["text_id"])
-    sets = written(distinct.select("text_id", "bands", "shingles", F.expr("transform(shingles, x -> float(1))").alias("weights")), "paragraph-sets")
+    sets = written(
+        distinct.select("text_id", "bands", F.expr("transform(shingles, x -> shiftleft(bigint(x), 32))").alias("shingles"), F.expr("transform(shingles, x -> float(1))").alias("weights")),
+        "paragraph-sets",
+    )
     met = sets.select("text_id", F.explode("bands").alias("band"))
     sizes = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     linked = resolve(written(stars(written(met.join(sizes, "band"), "meetings")), "met"), sets.drop("bands"), threshold)
     classes = written(components(linked.select("a", "b")), "classes")
-    places = found.drop("bands", "shingles").dropDuplicates(["doc_id", "text_key", "first"])
+    places = found.drop("bands", "shingles")
     placed = written(
         places.join(classes.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("cluster", F.coalesce("component", "text_id")).drop("component", "text_id"), "placed"
     )
@@ -201,7 +205,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     runs = grown.withColumn("new", F.coalesce(F.col("first") > reach + 1, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         runs.groupBy("doc_id", "text_key", "run").agg(
-            F.min("first").alias("first_word"), (F.max("last") - F.min("first") + 1).alias("n_words"), F.count("*").alias("n_paragraphs"),
+            F.min("first").alias("first_word"), (F.max("last") - F.min("first") + 1).alias("n_words"), F.size(F.collect_set(F.struct("first", "last"))).cast("long").alias("n_paragraphs"),
             F.sort_array(F.collect_set("of_doc_id")).alias("of_doc_ids"),
         )
         .where(F.col("n_words") >= min_words).drop("run")
