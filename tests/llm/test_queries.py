@@ -330,6 +330,39 @@ def test_line_dedup_awkward(awkward, empty):
     assert 6 not in {r.doc_id for r in drop_repeated_lines(awkward).collect()}
 
 
+def brute_runs(rows, least=40):
+    """The lines left, blank ones apart, without all runs of ``least`` characters that stand further up or in an earlier text."""
+    seen, out = set(), []
+    for i, t in rows:
+        full, gone = [x for x in t.split("\n") if x.strip(" ")], set()
+        for a in range(len(full)):
+            for b in range(a + 1, len(full) + 1):
+                run = tuple(full[a:b])
+                if sum(map(len, run)) >= least:
+                    if run in seen:
+                        gone.update(range(a, b))
+                    seen.add(run)
+        out.append((i, [x for k, x in enumerate(full) if k not in gone]))
+    return out
+
+
+def test_whole_runs_brute(spark):
+    rng = np.random.default_rng(4)
+    pool = [c * n for c, n in zip("abcdefghijkl", (3, 60, 20, 7, 39, 40, 1, 25, 15, 90, 12, 30))] + ["", " "]
+    rows = [(i, "\n".join(pool[k] for k in rng.integers(0, 14, rng.integers(1, 15)))) for i in range(150)]
+    left = lambda out: sorted((i, [x for x in t.split("\n") if x.strip(" ")]) for i, t in out)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = left((r.doc_id, r.text) for r in line_dedup(frame, whole=True).collect())
+    assert got == brute_runs(rows) != left((i, t) for i, _, t in brute_lines(rows))
+
+
+def test_copy_with_short_last_line_leaves_the_pipeline(spark):
+    text = "x" * 60 + "\n" + "y" * 20
+    rows = [(i, text, "en", "s", len(text), 1, 2, 3, 4, "x") for i in (1, 2)]
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    assert [r.doc_id for r in stage(spark, spark.createDataFrame(rows, AWKWARD), SF).collect()] == [1]
+
+
 # --- 9 token files ------------------------------------------------------------------------------------------------------
 def test_codes_round_trip():
     rng = np.random.default_rng(2)
