@@ -1,8 +1,9 @@
 """Repeated passages: paragraphs by MinHash banding, verified, clustered, and removed but for their first place.
 
 A paragraph here is a piece that copies keep whole wherever they are put: a line, cut after sentences of ``SHORT`` words
-or more; a sentence of ``LONG`` words or more is cut as well after each word whose hash is the least of the ``NEAR`` words
-to either side.  Pieces below ``SHORT`` words are not compared.  Each has ``BANDS`` bands of one MinHash of its five-word shingles: paragraphs with a Jaccard similarity of 0.8
+or more; lines below ``SHORT`` words that follow each other count as one.  Where that leaves ``LONG`` words or more without
+a cut, be it one sentence or many short ones, they are cut as well after each word whose hash is the least of the ``NEAR``
+words to either side in its text.  Pieces below ``SHORT`` words are not compared.  Each has ``BANDS`` bands of one MinHash of its five-word shingles: paragraphs with a Jaccard similarity of 0.8
 meet in one with 0.992.  Those that meet are verified by their exact similarity and clustered by components.
 
 Paragraphs of a cluster after the first one are repeats.  A repeat grows word by word to both sides, by ``CONTEXT`` words
@@ -45,18 +46,22 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     feeds = np.concatenate([[0], np.cumsum(w.data == 10, dtype=np.int32)])
-    line = np.ones(n, bool)
-    line[:-1] = (feeds[w.start[1:]] > feeds[w.end[:-1]]) | (w.doc[1:] != w.doc[:-1])
-    last = w.data[w.end - 1]
-    stop = line | _STOPS[last]
-    ends = np.flatnonzero(stop)
-    sizes = np.diff(ends, prepend=-1)
-    around = np.pad(w.hash, NEAR, constant_values=np.uint64(0xFFFFFFFFFFFFFFFF))
-    least = around[: len(around) - 2 * NEAR].copy()
-    for j in range(1, 2 * NEAR + 1):
-        np.minimum(least, around[j : j + n], out=least)
-    stop |= (w.hash == least) & (np.repeat(sizes, sizes) >= LONG)
-    ends = np.flatnonzero(stop)
+    over, line = np.ones(n, bool), np.ones(n, bool)
+    over[:-1] = w.doc[1:] != w.doc[:-1]
+    line[:-1] = (feeds[w.start[1:]] > feeds[w.end[:-1]]) | over[:-1]
+    feed = np.flatnonzero(line)
+    short = np.diff(feed, prepend=-1) < SHORT
+    line[feed[:-1][short[:-1] & short[1:] & ~over[feed[:-1]]]] = False
+    ends = np.flatnonzero(line | _STOPS[w.data[w.end - 1]])
+    stop = np.zeros(n, bool)
+    stop[ends] = line[ends] | (np.diff(ends, prepend=-1) >= SHORT)
+    sizes = np.diff(np.flatnonzero(stop), prepend=-1)
+    least = np.repeat(sizes, sizes) >= LONG
+    for j in range(1, min(NEAR, n - 1) + 1):
+        near, a, b = w.doc[j:] == w.doc[:-j], w.hash[:-j], w.hash[j:]
+        least[j:] &= ~(near & (a < b))
+        least[:-j] &= ~(near & (b < a))
+    ends = np.flatnonzero(stop | least)
     cut = ends[line[ends] | (np.diff(ends, prepend=-1) >= SHORT)]
     return np.concatenate([[0], cut[:-1] + 1]), cut
 

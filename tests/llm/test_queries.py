@@ -218,6 +218,38 @@ def test_passages_are_found_and_cut(spark, texts):
     assert cut_words("a b c d", [(1, 2)]) == "a d"
 
 
+@pytest.mark.parametrize("ends", [". ", "\n"])
+def test_passages_of_short_sentences_or_lines(spark, ends):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(3, 9)))
+
+    def units(least):
+        out = []
+        while sum(map(len, out)) < least:
+            out.append([word() for _ in range(rng.integers(2, 8))])
+        return out
+
+    shared, rows = [units(51) for _ in range(40)], []
+    for i in range(80):
+        us = units(300)
+        at = int(rng.integers(5, len(us) - 5))
+        rows.append((i, ends.join(" ".join(u) for u in [*us[:at], *shared[i % 40], *us[at:]])))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.of_doc_ids == [r.doc_id - 40] for r in got) and len({r.doc_id for r in got}) >= 36
+
+
+def test_pieces_do_not_depend_on_the_neighbour_in_the_batch():
+    import pyarrow as pa
+
+    from rushes.llm.substring_dedup import paragraphs
+    from rushes.llm.words import NONBLANK, words
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 10**6, rng.integers(1, 90))) for _ in range(60)]
+    sizes = lambda ts: [int(x) for w in words(pa.array(ts), NONBLANK) for x in np.subtract(*paragraphs(w)[::-1]) + 1]
+    assert sizes(texts) == [x for t in texts for x in sizes([t])]
+
+
 def test_passages_awkward(awkward, empty):
     got = {(r.doc_id, *r.of_doc_ids) for r in repeated_passages(awkward).collect()}
     assert (6, 5) in {x[:2] for x in got} and {x[0] for x in got} <= {5, 6, 8, 9}
