@@ -295,6 +295,34 @@ def test_large_group_of_near_copies(spark):
                 assert got[a] == got[b]
 
 
+def test_links_from_the_threshold_on(spark):
+    rng, rows = np.random.default_rng(12), []
+    for i in range(150):
+        ws = [f"w{x}" for x in (rng.random(150) ** 3 * 3000).astype(int)]
+        other = list(ws)
+        for j in rng.choice(150, rng.integers(1, 6), replace=False):
+            other[j] = f"n{rng.integers(1 << 40)}"
+        rows += [(i, " ".join(ws)), (i + 150, " ".join(other))]
+    df = collections.Counter(x for _, t in rows for x in set(t.split()))
+    idf = {x: 8 + math.log((1 + len(rows)) / (1 + n)) for x, n in df.items()}
+
+    def weights(t):
+        ws = t.split()
+        return {g: n * sum(idf[x] for x in g) / 5 for g, n in collections.Counter(zip(*(ws[j:] for j in range(5)))).items()}
+
+    sets = {i: weights(t) for i, t in rows}
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = 0
+    for i in range(150):
+        a, b = sets[i], sets[i + 150]
+        j = sum(min(a.get(g, 0), b.get(g, 0)) for g in a | b) / sum(max(a.get(g, 0), b.get(g, 0)) for g in a | b)
+        near += 0.8 <= j < 0.85
+        assert got[i] == i
+        if abs(j - 0.8) > 1e-4:  # words that share a slot count together in the operator
+            assert got[i + 150] == (i if j >= 0.8 else i + 150)
+    assert near >= 10
+
+
 def test_near_awkward(awkward, empty):
     got = {(r.doc_id, r.class_id, r.class_size) for r in near_duplicates(awkward).collect()}
     assert {(5, 5, 2), (6, 5, 2), (1, 1, 2), (2, 1, 2), (4, 4, 2), (None, None, 1)} <= got
