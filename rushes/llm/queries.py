@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rushes.llm.common import read
 from rushes.llm.context_tree import score_texts
 from rushes.llm.decontaminate import decontaminate
+from rushes.llm.hard_negatives import hard_negatives
 from rushes.llm.html_wrapper import extract_pages
 from rushes.llm.line_dedup import line_dedup
 from rushes.llm.near_dedup import near_duplicates
@@ -13,6 +16,7 @@ from rushes.llm.quality_rules import BOILERPLATE, SENTENCE_END, SEPARATORS, SYMB
 from rushes.llm.sentencepiece_fst import encode
 from rushes.llm.substring_dedup import repeated_passages
 from rushes.llm.token_files import token_documents
+from rushes.llm.topk_search import exact_top_k
 
 QUERIES, SQL = {}, {}
 
@@ -145,3 +149,35 @@ def op4_html_extraction(spark, sf_dir):
 
 
 QUERIES["op4_html_extraction"] = op4_html_extraction
+
+
+def op11_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+QUERIES["op11_hard_negatives"] = op11_hard_negatives
+_WHOLE = "SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+SQL["op11_hard_negatives"] = f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({_WHOLE}) WHERE label IS NOT NULL),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+"""
+
+
+def op12_topk_search(spark, sf_dir):
+    return exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op12_topk_search"] = op12_topk_search
+SQL["op12_topk_search"] = f"""
+WITH e AS ({_WHOLE})
+SELECT q.vec_id AS query_id, row_number() OVER w::INTEGER AS rank, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) QUALIFY row_number() OVER w <= 5
+"""
