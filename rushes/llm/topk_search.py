@@ -20,27 +20,28 @@ _ARRAYS = 16
 
 
 def postings(candidates: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
-    """Positions and weights of each component; no positions where every candidate has it."""
+    """Positions and weights of each component; a list that holds over a quarter of the candidates is stored without positions."""
     out = []
     for column in candidates.T:
         at = np.flatnonzero(column)
-        out.append((None, np.ascontiguousarray(column)) if len(at) == len(column) else (at, column[at]))
+        out.append((None, np.ascontiguousarray(column)) if 4 * len(at) > len(column) else (at, column[at]))
     return out
 
 
 def accumulate(queries: np.ndarray, lists: list, scores: np.ndarray) -> None:
     """Add every query's inner products into its row of ``scores``."""
+    part = np.empty_like(scores)
     for weights, (at, values) in zip(queries.T, lists, strict=True):
         rows = np.flatnonzero(weights)
         if not len(rows) or not len(values):
             continue
-        part = weights[rows, None] * values[None, :]
-        if at is not None:
-            scores[rows[:, None], at[None, :]] += part
-        elif len(rows) == len(scores):
-            scores += part
+        if at is None and 2 * len(rows) > len(scores):
+            scores += np.multiply(weights[:, None], values[None, :], out=part)
+        elif at is None:
+            scores[rows] += weights[rows, None] * values[None, :]
         else:
-            scores[rows] += part
+            for i in rows:
+                scores[i][at] += weights[i] * values
 
 
 def _cell(k: int):
