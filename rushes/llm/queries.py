@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rushes.llm.common import read
 from rushes.llm.context_tree import score_texts
+from rushes.llm.conversation_repair import repair
 from rushes.llm.decontaminate import decontaminate
 from rushes.llm.hard_negatives import hard_negatives
 from rushes.llm.html_wrapper import extract_pages
@@ -181,3 +182,76 @@ SELECT q.vec_id AS query_id, row_number() OVER w::INTEGER AS rank, c.vec_id AS v
 FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
 WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) QUALIFY row_number() OVER w <= 5
 """
+
+
+def damaged(conversations):
+    """The rows left after the damage that the query repairs, by a checksum of conversation and turn; nulls count as a space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")), F.lit(20))
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    twice = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), twice.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark, sf_dir):
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair(damaged(conversations)).withColumnRenamed("conv_id", "_c")
+    every = conversations.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    zeros = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
+QUERIES["op13_conversation_repair"] = op13_conversation_repair
+
+
+def _add(state, cost, edits):
+    return f"lpad((left({state}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({state}, 11) || '{edits}'"
+
+
+def _kept(state, role):
+    """A row that is kept as, or made, a user or assistant row."""
+    return f"CASE WHEN NOT gone THEN CASE WHEN c = '{role}' THEN {_add(state, 'more', 'K')} ELSE {_add(state, 'more + 1', 'R')} END END"
+
+
+#: A state is its cost in ten digits, then its edits, so that the least string is the cheapest and then the ASCII-least.
+SQL["op13_conversation_repair"] = rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+  src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_prepend(4294967295,
+      list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM conversations, tab),
+  dam AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+      CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM src WHERE kind <> 0),
+  num AS (SELECT *, left(role, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS p,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+      NOT regexp_matches(text, '[^ 	-]') AS blank, regexp_matches(text, '[^.!? 	-][ 	-]*\z') AS cut FROM dam),
+  flt AS (SELECT *, blank OR again AS gone, CASE WHEN cut AND NOT again THEN 5 ELSE 0 END AS more, lag(c) OVER (PARTITION BY conv_id ORDER BY p) || c AS pair FROM num),
+  st AS (SELECT DISTINCT conv_id, 0::BIGINT AS p, '0000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM flt
+    UNION ALL SELECT conv_id, p, {_add('s0', 2, 'D')},
+      least({_add('s1', 2, 'D')}, CASE WHEN NOT gone AND c = 's' THEN {_add('s0', 'more', 'K')} END),
+      least({_add('e2', 2, 'D')}, {_kept('s0', 'u')}, {_kept('s1', 'u')}, {_kept('e3', 'u')}), least({_add('e3', 2, 'D')}, {_kept('e2', 'a')})
+    FROM (SELECT flt.conv_id, flt.p, c, gone, more, s0, s1, least(s2, {_add('s0', 5, 'I')}, {_add('s1', 5, 'I')}, {_add('s3', 5, 'I')}) AS e2,
+        least(s3, {_add('s2', 5, 'I')}, {_add('s0', 10, 'II')}, {_add('s1', 10, 'II')}) AS e3
+      FROM st JOIN flt ON flt.conv_id IS NOT DISTINCT FROM st.conv_id AND flt.p = st.p + 1)),
+  fin AS (SELECT conv_id, least(s0, s3, {_add('s2', 5, 'I')}, {_add('s1', 10, 'II')}, {_add('s0', 10, 'II')}) AS best FROM st
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1),
+  ch AS (SELECT conv_id, unnest(string_split(substr(best, 11), '')) AS e, generate_subscripts(string_split(substr(best, 11), ''), 1) AS i FROM fin),
+  own AS (SELECT *, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM ch),
+  got AS (SELECT o.conv_id, o.i, o.e, CASE WHEN o.e <> 'I' THEN f.role END AS role, CASE WHEN o.e <> 'I' THEN f.text ELSE '' END AS text, f.c,
+      row_number() OVER (PARTITION BY o.conv_id ORDER BY o.i) - 1 AS k
+    FROM own o LEFT JOIN flt f ON f.conv_id IS NOT DISTINCT FROM o.conv_id AND f.p = o.p WHERE o.e <> 'D'),
+  lead AS (SELECT *, max(CASE WHEN k = 0 AND e = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS s FROM got),
+  rep AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (k - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i)) AS digest
+    FROM lead GROUP BY conv_id),
+  cnt AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+      count(*) FILTER (cut AND NOT again) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 10)::BIGINT, 0) AS cost, coalesce(substr(best, 11), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
