@@ -1,22 +1,30 @@
 """Sub-word models as weighted transducers, and their encoding as the tropical shortest path.
 
-The model file holds pieces with scores.  Three machines are compiled from it:
+The model file holds pieces with scores.  Four machines are compiled from it, as arrays of arcs:
 
-* the normaliser: a space becomes the visible space, one of which is put before the text;
-* the pieces: a trie from characters to piece ids, an arc of a piece weighing its negative score;
-* byte fallback: a character outside the trie becomes its bytes.
+* the normaliser: a space or visible space becomes the space mark, one of which is put before the text;
+* the pieces: a trie whose arcs (state, character, next state) lead to states that may give a piece, at a weight;
+* byte fallback: a character that is no piece becomes its bytes;
+* the acceptor of neighbours: one state for each last piece, whose arcs weigh what the next piece costs after it.
 
-An input is a chain of characters; composed with them it is a lattice of positions and pieces.  For a unigram model
-the shortest path is the encoding.  For a model of ranked merges the lattice is composed with one more acceptor, over
-pairs of pieces: a pair weighs nothing if its characters, merged by rank, give that pair again, and infinity if not.  A
-sequence of pieces all of whose neighbours agree is what the merges give, so exactly one path has a finite weight.
+Composed with an input the first three give a lattice of arcs (start, end, piece, weight), and with the acceptor its paths
+have the weights that the shortest path minimises, position by position, for many inputs at once.  In a unigram model a
+piece weighs its negative score and every neighbour nothing.  In a model of ranked merges pieces weigh nothing, and a pair
+weighs nothing if merging its characters by rank gives the pair again, else infinity; a sequence whose neighbours all agree
+is what the merges give, so every position has exactly one path of finite weight.
+
+Whether a pair agrees is read off the merges of its two pieces, from the last back to the first: at every moment the pieces
+that then touched must not have merged before either was used up.  That needs pieces whose own merges rise in rank, which
+is checked for every piece; pairs with others are merged outright.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from rushes.llm.words import text_bytes
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -97,125 +105,280 @@ class Model:
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and merge models are supported")
         self.dummy = dummy
-        self.fallback = [byte_ids.get(b, self.unknown) for b in range(256)]
+        self.fallback = np.array([byte_ids.get(b, self.unknown) for b in range(256)], np.int32)
+        self.is_byte = np.zeros(len(self.texts), bool)
+        self.is_byte[self.fallback] = True
+        self._compile()
+
+    # --- the machines -----------------------------------------------------------------------------------------------
+    def _compile(self) -> None:
         self.longest = max(map(len, self.ids), default=1)
-        self.reach: dict[str, int] = {}  # the longest piece by its first two characters
-        for p in self.ids:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
-        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        chars = set("".join(self.ids))
-        alone = "".join(c for c in map(chr, range(128)) if c != " " and c not in chars)
-        # A run of spaces with what follows; no piece has a space after another character, nor a character that stands alone.
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        stop = re.escape(alone)
-        self.cut = re.compile(f" +[^ {stop}]*|[^ {stop}]+|[{stop}]+" if alone else " +[^ ]*|[^ ]+") if not crossing else re.compile("(?s).+")
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-
-    # --- normaliser -------------------------------------------------------------------------------------------------
-    def chunks(self, text: str) -> list[str]:
-        """The normalised text, its spaces still plain, cut where no piece can lie across.  A visible space is a space."""
-        return self.cut.findall((" " if self.dummy else "") + text.replace(SPACE, " ")) if text else []
-
-    # --- merges, for the acceptor of pairs ---------------------------------------------------------------------------
-    def _merged(self, text: str) -> list[str]:
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                j = self.ids.get(parts[i] + parts[i + 1])
-                if j is not None and (best is None or self.scores[j] > best):
-                    best, at = self.scores[j], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def agrees(self, left: int, right: int) -> bool:
-        """Whether two neighbouring pieces have a finite weight."""
-        got = self.pairs.get((left, right))
-        if got is None:
-            a, b = self.texts[left], self.texts[right]
-            if len(self.pairs) >= 1_000_000:
-                self.pairs.clear()
-            got = self.pairs[left, right] = a[-1] + b[0] not in self.inner or self._merged(a + b) == [a, b]
-        return got
-
-    def stands(self, piece: int) -> bool:
-        """Whether merging the characters of a piece gives that piece."""
-        got = self.whole.get(piece)
-        if got is None:
-            got = self.whole[piece] = self._merged(self.texts[piece]) == [self.texts[piece]]
-        return got
-
-    # --- shortest paths ----------------------------------------------------------------------------------------------
-    def _path_of_pairs(self, s: str) -> list[int]:
-        """The one path of finite weight, found depth first, longest pieces first; dead ends are remembered."""
-        n, dead = len(s), set()
-        stack: list[tuple[int, int, int]] = []  # (start, piece or -1 for a character outside the trie, end)
-        i, length, ids, reach = 0, self.longest, self.ids.get, self.reach.get
-        while i < n:
-            last = stack[-1][1] if stack else -1
-            step = None
-            for size in range(min(length, n - i, reach(s[i : i + 2], 1)), 0, -1):
-                piece = ids(s[i : i + size])
-                if piece is None:
-                    if size == 1:
-                        step = (i, -1, i + 1)
-                    continue
-                if (piece, i + size) in dead or not self.stands(piece):
-                    continue
-                if last >= 0 and not self.agrees(last, piece):
-                    continue
-                step = (i, piece, i + size)
-                break
-            if step:
-                stack.append(step)
-                i, length = step[2], self.longest
-                continue
-            start, piece, end = stack.pop()
-            dead.add((piece, end))
-            i, length = start, end - start - 1
-        out: list[int] = []
-        for start, piece, _ in stack:
-            out += [piece] if piece >= 0 else self._bytes(s[start])
+        chars = sorted(set("".join(self.ids)) | {SPACE})
+        if any(c not in self.ids for c in chars if c != SPACE):
+            raise ValueError("a piece has a character that is no piece")
+        self.label = np.full(0x110000, -1, np.int32)
+        self.label[[ord(c) for c in chars]] = np.arange(len(chars))
+        self.n_labels = len(chars)
+        arcs: dict[tuple[int, int], int] = {}
+        gives = [-1]
+        for text, piece in self.ids.items():
+            state = 0
+            for c in text:
+                key = state, int(self.label[ord(c)])
+                if key not in arcs:
+                    arcs[key] = len(gives)
+                    gives.append(-1)
+                state = arcs[key]
+            gives[state] = piece
+        self.arc_state, self.arc_label = (np.array([k[i] for k in arcs], np.int64) for i in (0, 1))
+        self.arc_next, self.gives = np.array(list(arcs.values()), np.int32), np.array(gives, np.int32)
+        self.arcs = Table(self.arc_state * self.n_labels + self.arc_label, self.arc_next)
+        self.cost = np.zeros(len(self.texts)) if self.kind == BPE else -np.array(self.scores)
+        self.lost = max(0.0, -min(self.scores, default=0.0)) + 10.0  # a character that is no piece weighs more than any piece
+        inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.inner = Table(np.array([self.label[ord(x[0])] * self.n_labels + self.label[ord(x[1])] for x in inner], np.int64), np.ones(len(inner), np.int32))
+        # Where a text may be cut on its bytes: around ASCII characters of no piece, and before spaces that follow other characters.
+        self.alone = np.array([chr(b) not in self.ids and chr(b) != " " for b in range(128)] + [False] * 128)
+        self.cut_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        if self.kind == BPE:
+            self._compile_pairs()
+
+    def _compile_pairs(self) -> None:
+        n = len(self.texts)
+        by_score = sorted(self.ids.values(), key=lambda i: -self.scores[i])
+        self.rank, rank = np.full(n + 1, -1, np.int64), {}
+        for r, i in enumerate(by_score):  # characters are there from the start
+            rank[i] = r if not r or self.scores[i] != self.scores[by_score[r - 1]] else rank[by_score[r - 1]]
+            self.rank[i] = -1 if len(self.texts[i]) == 1 else rank[i]
+        self.part = np.full((2, n + 1), -1, np.int64)
+        self.stands = np.zeros(n + 1, bool)  # merging the characters of the piece gives it
+        self.plain = np.zeros(n + 1, bool)  # and the merges rise in rank
+        self.first, self.last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        keys, ranks = [], []
+        for text, i in self.ids.items():
+            self.first[i], self.last[i] = self.label[ord(text[0])], self.label[ord(text[-1])]
+            parts, done = list(text), []
+            while len(parts) > 1 and (step := self._next_merge(parts)):
+                at, piece = step
+                done.append(rank[piece])
+                self.part[:, i] = self.ids[parts[at]], self.ids[parts[at + 1]]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.stands[i] = parts == [text]
+            self.plain[i] = self.stands[i] and all(x <= y for x, y in zip(done, done[1:]))
+            for k in range(1, len(text)):
+                a, b = self.ids.get(text[:k]), self.ids.get(text[k:])
+                if a is not None and b is not None:
+                    keys.append(a * n + b)
+                    ranks.append(rank[i])
+        self.merged = Table(np.array(keys, np.int64), np.array(ranks, np.int32))
+        self.odd: dict[tuple[int, int], bool] = {}
+
+    def _next_merge(self, parts: list[str]) -> tuple[int, int] | None:
+        best = None
+        for at in range(len(parts) - 1):
+            piece = self.ids.get(parts[at] + parts[at + 1])
+            if piece is not None and (best is None or self.scores[piece] > self.scores[best[1]]):
+                best = at, piece
+        return best
+
+    def _merges_to(self, left: int, right: int) -> bool:
+        """The definition of agreement, for pieces whose merges don't rise in rank."""
+        if (left, right) not in self.odd:
+            parts = list(self.texts[left] + self.texts[right])
+            while len(parts) > 1 and (step := self._next_merge(parts)):
+                parts[step[0] : step[0] + 2] = [parts[step[0]] + parts[step[0] + 1]]
+            if len(self.odd) > 1_000_000:
+                self.odd.clear()
+            self.odd[left, right] = parts == [self.texts[left], self.texts[right]]
+        return self.odd[left, right]
+
+    def agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which arcs of the acceptor, from the state of ``left`` by ``right``, weigh nothing; negative pieces have no merges."""
+        if self.kind != BPE:
+            return np.ones(len(left), bool)
+        out = self.stands[right] | (right < 0)
+        n, never = len(self.texts), np.iinfo(np.int64).max
+        at = np.flatnonzero((left >= 0) & (right >= 0))
+        at = at[self.inner.get(self.last[left[at]] * self.n_labels + self.first[right[at]]) >= 0]
+        odd = at[~(self.plain[left[at]] & self.plain[right[at]])]
+        for i in odd.tolist():
+            out[i] = self._merges_to(int(left[i]), int(right[i]))
+        at = np.setdiff1d(at, odd, assume_unique=True) if len(odd) else at
+        x, y = left[at].astype(np.int64), right[at].astype(np.int64)
+        used_x, used_y = np.full(len(at), never), np.full(len(at), never)  # the rank at which each is merged with what it doesn't touch
+        while len(at):
+            r = self.merged.get(x * n + y)
+            clash = (r >= 0) & (r < used_x) & (r <= used_y)
+            out[at[clash]] = False
+            back_x = self.rank[x] > self.rank[y]
+            used_x, used_y = np.where(back_x, self.rank[x], used_x), np.where(back_x, used_y, self.rank[y])
+            whole = np.where(back_x, self.rank[x], self.rank[y]) < 0
+            x, y = np.where(back_x, self.part[1, x], x), np.where(back_x, y, self.part[0, y])
+            go = ~clash & ~whole
+            at, x, y, used_x, used_y = at[go], x[go], y[go], used_x[go], used_y[go]
         return out
 
-    def _path_of_scores(self, s: str) -> list[int]:
-        """Tropical shortest path over positions; a character outside the trie weighs more than any piece."""
-        n = len(s)
-        lost = max((-x for x in self.scores), default=0.0) + 10.0
-        cost, back = [0.0] + [float("inf")] * n, [(-1, 0)] * (n + 1)
-        for i in range(n):
-            if self.ids.get(s[i]) is None and cost[i] + lost < cost[i + 1]:
-                cost[i + 1], back[i + 1] = cost[i] + lost, (-1, i)
-            for size in range(1, min(self.longest, n - i) + 1):
-                piece = self.ids.get(s[i : i + size])
-                if piece is not None and cost[i] - self.scores[piece] < cost[i + size]:
-                    cost[i + size], back[i + size] = cost[i] - self.scores[piece], (piece, i)
-        steps, i = [], n
-        while i:
-            piece, i = back[i]
-            steps.append([piece] if piece >= 0 else self._bytes(s[i]))
-        return [x for step in reversed(steps) for x in step]
-
-    def _bytes(self, char: str) -> list[int]:
-        return [self.fallback[b] for b in char.encode("utf-8", "replace")]
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        s = chunk.replace(" ", SPACE)
-        path = self._path_of_pairs if self.kind == BPE else self._path_of_scores
-        if len(s) <= 64:
-            return path(s)
-        out, a = [], 0  # cut a long chunk again wherever no piece has the two characters next to each other
-        for b in range(1, len(s) + 1):
-            if b == len(s) or s[b - 1 : b + 1] not in self.inner:
-                out += path(s[a:b])
-                a = b
+    # --- composition and shortest paths -----------------------------------------------------------------------------
+    def _lattice(self, labels: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """For each length, the piece that an arc of that length gives from each position, -1 for none."""
+        state, at = np.zeros(len(labels), np.int64), np.arange(len(labels))
+        limit, out = np.repeat(ends, np.diff(ends, prepend=0)), [np.zeros(0, np.int32)]
+        for size in range(1, self.longest + 1):
+            found = np.full(len(labels), -1, np.int32)
+            at = at[at + size <= limit[at]]
+            label = labels[at + size - 1]
+            at, label = at[label >= 0], label[label >= 0]
+            nxt = self.arcs.get(state[at] * self.n_labels + label)
+            at, nxt = at[nxt >= 0], nxt[nxt >= 0]
+            state[at] = nxt
+            found[at] = self.gives[nxt]
+            out.append(found)
+            if not len(at):
+                break
         return out
 
+    def lattice(self, text: str) -> list[tuple[int, int, int, float]]:
+        """The arcs of the composed machines for one text: start, end, piece (-1 for byte fallback), weight."""
+        codes = _codes(self.normal(text))
+        labels = self.label[codes]
+        arcs = self._lattice(labels, np.array([len(codes)]))
+        out = [(i, i + size, int(p), float(self.cost[p])) for size, found in enumerate(arcs) if size for i, p in enumerate(found.tolist()) if p >= 0]
+        single = arcs[1] if len(arcs) > 1 else np.full(len(codes), -1)
+        return sorted(out + [(i, i + 1, -1, self.lost) for i in np.flatnonzero(single < 0).tolist()])
+
+    def _shortest(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the cheapest paths of many short inputs, one after the other, and the number of ids of each."""
+        labels, starts = self.label[codes], np.concatenate([[0], ends[:-1]])
+        arcs = self._lattice(labels, ends)
+        single = arcs[1] if len(arcs) > 1 else np.full(len(codes), -1, np.int32)
+        cost, piece, size_of = np.full(len(codes), np.inf), np.full(len(codes), -1, np.int32), np.ones(len(codes), np.int32)
+        sizes = ends - starts
+        by_size = np.argsort(-sizes, kind="stable")
+        starts_by, sizes_by = starts[by_size], sizes[by_size]
+        merges = self.kind == BPE
+        for p in range(1, int(sizes.max(initial=0)) + 1):
+            first = starts_by[: np.searchsorted(-sizes_by, -p, "right")]
+            end = first + p - 1
+            open_ = np.arange(len(end))
+            for size in range(min(len(arcs) - 1, p), 0, -1):
+                found = arcs[size][end[open_] - size + 1]
+                some = np.flatnonzero(found >= 0)
+                if not len(some):
+                    continue
+                who, found = open_[some], found[some]
+                before = end[who] - size
+                held = np.zeros(len(who)) if size == p else cost[before]
+                left = np.full(len(who), -1) if size == p else piece[before]
+                fits = self.agree(left, found)
+                new = held + self.cost[found]
+                fits &= new < cost[end[who]]
+                won = who[fits]
+                cost[end[won]], piece[end[won]], size_of[end[won]] = new[fits], found[fits], size
+                if merges:  # no second path has a finite weight
+                    open_ = np.setdiff1d(open_, won, assume_unique=True)
+                    if not len(open_):
+                        break
+            lost = end[single[end] < 0]
+            new = (np.zeros(len(lost)) if p == 1 else cost[lost - 1]) + self.lost
+            less = new < cost[lost]
+            cost[lost[less]], piece[lost[less]], size_of[lost[less]] = new[less], -1, 1
+        on_path, now, first = np.zeros(len(codes), bool), ends - 1, starts
+        while len(now):
+            on_path[now] = True
+            now = now - size_of[now]
+            now, first = now[now >= first], first[now >= first]
+        return self._spelt(codes, piece, on_path, ends)
+
+    def _spelt(self, codes, piece, on_path, ends):
+        at = np.flatnonzero(on_path)
+        ids, n = piece[at], np.ones(len(at), np.int64)
+        lost = np.flatnonzero(ids < 0)
+        kinds, which = np.unique(codes[at[lost]], return_inverse=True)
+        spelt = [self.fallback[list(chr(c).encode())] for c in kinds.tolist()]
+        n[lost] = np.array([len(x) for x in spelt], np.int64)[which] if len(lost) else n[lost]
+        out = np.repeat(ids, n)
+        if len(lost):
+            first = (np.cumsum(n) - n)[lost]
+            flat, begin = np.concatenate(spelt), np.cumsum([0, *map(len, spelt)])[which]
+            step = np.arange(n[lost].sum()) - np.repeat(np.cumsum(n[lost]) - n[lost], n[lost])
+            out[np.repeat(first, n[lost]) + step] = flat[np.repeat(begin, n[lost]) + step]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return out.astype(np.int32), np.diff(total[np.searchsorted(at, ends, "left")], prepend=0)
+
+    def normal(self, text: str) -> str:
+        """What the normaliser gives for a text."""
+        return ((SPACE if self.dummy else "") + text.replace(" ", SPACE)) if text else ""
+
+    def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, the number of ids of each text, and whether they spell it.
+
+        Texts are cut where no piece can lie across, and each distinct cut of the column is encoded once.
+        """
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        marked = pc.match_substring(column, SPACE)
+        plain = pc.replace_substring(column, SPACE, " ") if pc.any(marked).as_py() else column
+        if self.dummy:
+            plain = pc.if_else(pc.equal(plain, ""), plain, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), plain, pa.scalar("", pa.large_string())))
+        data, offsets = text_bytes(plain)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        cut = np.zeros(len(data) + 1, bool)
+        if len(data):
+            alone, space = self.alone[data], data == 32
+            cut[1:-1] = alone[1:] | alone[:-1]
+            if self.cut_spaces:
+                cut[1:-1] |= space[1:] & ~space[:-1]
+        cut[offsets] = True
+        at = np.flatnonzero(cut)
+        chunks = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        ids, sizes, spelt = self._encode_chunks(chunks.dictionary)
+        code = chunks.indices.to_numpy().astype(np.int64)
+        of_text = np.searchsorted(at, offsets)
+        n = sizes[code]
+        begin = (np.cumsum(sizes) - sizes)[code]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+        wrong = np.concatenate([[0], np.cumsum(~spelt[code])])[of_text]
+        return out, np.diff(total[of_text]), (np.diff(wrong) == 0) & ~marked.to_numpy(zero_copy_only=False)
+
+    def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text_data, offsets = text_bytes(chunks)
+        text_data = text_data[offsets[0] : offsets[-1]]
+        codes = _codes(text_data.tobytes().decode().replace(" ", SPACE))
+        chars = np.concatenate([[0], np.cumsum((text_data & 0xC0) != 0x80)])[offsets - offsets[0]]
+        # Cut again wherever no piece has the two characters next to each other.
+        label = self.label[codes].astype(np.int64)
+        cut = np.ones(len(codes) + 1, bool)
+        if len(codes) > 1:
+            cut[1:-1] = (label[1:] < 0) | (label[:-1] < 0) | (self.inner.get(label[:-1] * self.n_labels + label[1:]) < 0)
+        cut[chars] = True
+        ends = np.flatnonzero(cut)[1:]
+        sizes = np.diff(ends, prepend=0)
+        # Inputs of like length together, in groups of bounded size.
+        order = np.argsort(sizes, kind="stable")
+        group = np.cumsum(sizes[order]) // _GROUP
+        made, counts = [np.zeros(0, np.int32)], np.zeros(len(ends), np.int64)
+        for g in np.unique(group):
+            own = order[group == g]
+            span = np.repeat(ends[own] - sizes[own], sizes[own]) + np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+            ids, counts[own] = self._shortest(codes[span], np.cumsum(sizes[own]))
+            made.append(ids)
+        made, begin = np.concatenate(made), np.zeros(len(ends), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        ids = made[np.repeat(begin - total[:-1], counts) + np.arange(total[-1])]
+        n = np.diff(total[np.searchsorted(ends, chars[1:], "right")], prepend=0)
+        spelt = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        size = np.array([len(x) for x in self.bytes_of], np.int64)[ids]
+        length = np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])])
+        same = length == np.diff(offsets)
+        if spelt != text_data.tobytes():
+            where, a, b = np.flatnonzero(same), np.cumsum(length) - length, offsets - offsets[0]
+            raw = text_data.tobytes()
+            same[where] = [spelt[a[i] : a[i] + length[i]] == raw[b[i] : b[i + 1]] for i in where.tolist()]
+        return ids, n, same
+
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(text) for i in self.encode_chunk(c)]
+        return self.encode_all(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids) -> str:
         """The text of the ids, less the space that the normaliser put before it."""
@@ -223,23 +386,41 @@ class Model:
         return out[1:] if self.dummy and out.startswith(" ") else out
 
 
-class Cache(dict):
-    """Encoded chunks as bytes of 32-bit ids, in two generations of at most ``limit`` short chunks each."""
+#: Characters that share one pass over the positions.
+_GROUP = 1 << 19
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
 
-    def __init__(self, encode, limit: int = 100_000):
-        super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        got = self.old.get(chunk)
-        if got is None:
-            got = np.array(self.encode(chunk), np.int32).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = got
-        return got
+class Table:
+    """Whole numbers by key, looked up many at a time; -1 for keys that aren't there."""
 
-    def ids(self, chunks: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), np.int32)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot, rest = self._slot(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[slot[rest]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last stays
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.values[slot[won]] = values[won]
+            rest = np.setdiff1d(rest, won, assume_unique=True)
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], np.int32(-1))
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.values[slot[rest[hit]]]
+            rest = rest[~hit & (there >= 0)]
+        return out

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from rushes.llm.pieces import Cache, Model
+from rushes.llm.pieces import Model
 
-_models: dict[str, tuple[Model, Cache]] = {}
+_models: dict[str, Model] = {}
 
 
-def compiled(path: str) -> tuple[Model, Cache]:
-    """The model of a file and its cache, once in each Python process."""
+#: Bytes of text that are encoded together, so that each distinct word of them is composed once.
+TOGETHER = 8 << 20
+
+
+def compiled(path: str) -> Model:
+    """The machines of a model file, compiled once in each Python process."""
     if path not in _models:
         with open(path, "rb") as f:
-            model = Model(f.read())
-        _models[path] = model, Cache(model.encode_chunk)
+            _models[path] = Model(f.read())
     return _models[path]
 
 
@@ -40,24 +44,18 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text") -> Dat
     rest = [c for c in docs.columns if c != text]
 
     def run(batches):
-        m, cache = compiled(path)
-        is_byte = np.zeros(len(m.texts), bool)
-        is_byte[m.fallback] = True
+        m = compiled(path)
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                b = whole.slice(at, 256)
-                ids, exact, n_bytes = [], [], []
-                for t in b.column(0).to_pylist():
-                    found = cache.ids(m.chunks(t or ""))
-                    ids.append(found)
-                    n_bytes.append(int(is_byte[found].sum()))
-                    exact.append(m.decode(found.tolist()) == (t or ""))
-                sizes = np.array([len(x) for x in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            bytes_ = pc.fill_null(pc.binary_length(whole.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = np.cumsum(bytes_) // TOGETHER
+            for at in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
+                b = whole.slice(at, int(np.searchsorted(part, part[at], "right")) - at)
+                ids, sizes, exact = m.encode_all(b.column(0))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                spelt = np.concatenate([[0], np.cumsum(m.is_byte[ids])])[ends]
+                listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[1:], listed, pa.array(sizes), pa.array(n_bytes, pa.int64()), pa.array(exact, pa.bool_())],
-                    names=[*rest, "ids", "n_tokens", "n_bytes", "exact"],
+                    [*b.columns[1:], listed, pa.array(sizes), pa.array(np.diff(spelt)), pa.array(exact)], names=[*rest, "ids", "n_tokens", "n_bytes", "exact"]
                 )
 
     schema = StructType([*docs.select(*rest).schema.fields, StructField("ids", ArrayType(IntegerType()))])
@@ -71,7 +69,7 @@ def decode(tokens: DataFrame, model: str | None = None, ids: str = "ids") -> Dat
     rest = [c for c in tokens.columns if c != ids]
 
     def run(batches):
-        m, _ = compiled(path)
+        m = compiled(path)
         for b in batches:
             texts = [None if x is None else m.decode(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], names=[*rest, "text"])
