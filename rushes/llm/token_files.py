@@ -12,21 +12,23 @@ places.  Files ascend by doc_id.  They are Parquet, so that they live in whateve
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rushes.llm.common import text_key
-from rushes.llm.words import LOWER
+from rushes.llm.words import LOWER, text_bytes
 from rushes.session import checkpoint_dir
 
 SEGMENT = 1 << 17
+#: Bytes of text that are encoded together, so that each distinct word of them is looked up once.
+TOGETHER = 8 << 20
 BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
@@ -90,14 +92,14 @@ def unpack(segment: tuple[list[bytes], list[bytes], list[bytes]]) -> np.ndarray:
 
 
 _SPECIAL = "<|"
-_AFTER_LETTER = re.compile(r"(?<=[a-z])([.,;:!?])(?=[ \n]|$)")
 
 
 class WordEncoder:
     """Whole texts encoded word by word, for a tokenizer that lower-cases, drops white space and ends each word alone.
 
     Words between spaces don't depend on each other, so each distinct one is encoded once and kept, ``limit`` at most.
-    New words of letters go to the tokenizer many at a time; the ids that end a word tell them apart again.
+    New words of letters go to the tokenizer many at a time; the ids that end a word tell them apart again.  Whether the
+    tokenizer is of that kind is tried on loading; texts of any other are handed to it whole.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -108,45 +110,86 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.by_words = self._works_by_words()
 
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+    def _works_by_words(self) -> bool:
+        """Whether words on their own give what they give in texts, on texts that would tell."""
+        tried = ["Some WORDS, and more.", "a b\nc  d", "it's can't 12 3.5 x_y", "Ünïcode É ß ﬁ", "end. next! \"quoted\" (so)", "tab\tand\r\nline", "word", " word"]
+        try:
+            return self.ends.any() and all(self._by_words(pa.array([t]))[0].tolist() == self._one(t).tolist() for t in tried)
+        except ValueError:
+            return False
+
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def _learn(self, new: list[str]) -> None:
-        letters = [w for w in new if w.isalpha()]
-        for w in new:
-            if not w.isalpha():
-                self.known[w] = self._one(w)
-        for i in range(0, len(letters), 2000):
-            part = letters[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
+        letters, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        for i in range(0, len(others), 2000):
+            made = self.tokenizer.encode_batch_fast(others[i : i + 2000], add_special_tokens=False)
+            self.known.update((w, np.array(x.ids, np.int32).tobytes()) for w, x in zip(others[i : i + 2000], made))
+        parts = [letters[i : i + 2000] for i in range(0, len(letters), 2000)]
+        for part in parts:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):  # a letter that lower-cases to something else
-                self.known.update((w, self._one(w)) for w in part)
+                self.known.update((w, self._one(w).tobytes()) for w in part)
                 continue
             data, at = ids.tobytes(), [0, *(4 * stops).tolist()]
             self.known.update(zip(part, (data[x:y] for x, y in zip(at, at[1:]))))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = []
-        for t in texts:
-            if _SPECIAL in t:  # names of special tokens depend on case and may stand anywhere
-                cut.append(None)
-                continue
-            low = t.encode("utf-8", "replace").translate(_LOWER).decode()
-            cut.append(_AFTER_LETTER.sub(r" \1", low).replace("\n", " ").split(" "))
+    def _by_words(self, column: pa.Array) -> list[np.ndarray]:
+        data, offsets = text_bytes(column)
+        data, offsets = LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
+        cut = np.zeros(len(data) + 1, bool)
+        if len(data):
+            apart = _APART[data]
+            cut[1:-1] = apart[1:] & ~apart[:-1]
+            stop = np.append(apart[1:], True) & _STOP[data]
+            stop[offsets[1:][offsets[1:] > 0] - 1] |= _STOP[data[offsets[1:][offsets[1:] > 0] - 1]]
+            at = np.flatnonzero(stop)
+            at = at[at > 0]
+            cut[at[_LETTER[data[at - 1]]]] = True
+        cut[offsets] = True
+        at = np.flatnonzero(cut)
+        words = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
         if len(self.known) > self.limit:
             self.known = {}
-        known = self.known
-        self._learn([w for w in set().union(*(c for c in cut if c)) if w not in known])
-        return [np.frombuffer(self._one(t) if c is None else b"".join([known[w] for w in c]), np.int32) for t, c in zip(texts, cut)]
+        self.known.setdefault("", b"")
+        names = [w.lstrip(" \n") for w in distinct]
+        self._learn([w for w in dict.fromkeys(names) if w not in self.known])
+        spelt = [self.known[w] for w in names]
+        sizes = np.array([len(x) for x in spelt], np.int64) >> 2
+        ids, code = np.frombuffer(b"".join(spelt), np.int32), words.indices.to_numpy().astype(np.int64)
+        n = sizes[code]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[code] - total[:-1], n) + np.arange(total[-1])]
+        return np.split(out, total[np.searchsorted(at, offsets[1:-1])]) if len(offsets) > 1 else []
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of every text; null counts as empty."""
+        column = pc.fill_null(column, "")
+        # Names of special tokens depend on case and may stand anywhere.
+        whole = pc.match_substring(column, _SPECIAL).to_numpy(zero_copy_only=False) | (not self.by_words)
+        out = self._by_words(pc.if_else(pa.array(whole), "", column) if whole.any() else column) if self.by_words else [None] * len(column)
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self._one(column[i].as_py())
+        return out
+
+
+def _table(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
 
 
-_LOWER = bytes(LOWER.tolist())
+#: What stands between words; what a word may lose at its end; letters before which it does.
+_APART, _STOP, _LETTER = _table(" \n"), _table(".,;:!?"), _table("abcdefghijklmnopqrstuvwxyz")
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _encoded(texts: list[str], path: str) -> list[np.ndarray]:
+def _encoded(texts: pa.Array, path: str) -> list[np.ndarray]:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path].encode(texts)
@@ -174,10 +217,10 @@ def _write(path: str, end: int):
             return row
 
         for whole in batches:
-            for i in range(0, len(whole), 256):
-                b = whole.slice(i, 256)
-                texts = [x or "" for x in b.column(2).to_pylist()]
-                for d, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _encoded(texts, path)):
+            bytes_ = np.cumsum(pc.fill_null(pc.binary_length(whole.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+            for i in np.flatnonzero(np.diff(bytes_, prepend=-1)).tolist():
+                b = whole.slice(i, int(np.searchsorted(bytes_, bytes_[i], "right")) - i)
+                for d, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _encoded(b.column(2), path)):
                     docs.append(d)
                     keys.append(k)
                     ids.append(np.append(x, np.int32(end)))
