@@ -33,7 +33,42 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # Shuffle files of finished jobs go with the driver's garbage, which a driver that only plans seldom collects.
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once everything that reads them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Rows of two numbers that may be broadcast: at most 32 MB.
+FEW = 1 << 20
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table that ``written`` made, to be broadcast if it has at most ``FEW`` rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _keyed_by(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    named = few(keys).select(F.col("doc_id").alias("_key_doc"), F.col("text_key").alias("_key_text"))
+    return docs.join(named, docs["doc_id"].cast("long").eqNullSafe(named["_key_doc"]) & text_key(docs["text"]).eqNullSafe(named["_key_text"]), how)
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` less the rows of ``keys`` (doc_id, text_key); keeps all its columns, whatever their names, and shuffles no text for few keys."""
+    return _keyed_by(docs, keys, "left_anti")
+
+
+def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keys`` (doc_id, text_key) names."""
+    return _keyed_by(docs, keys, "left_semi")
 
 
 @contextmanager

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rushes.llm.common import bit_set, text_key, written
+from rushes.llm.common import bit_set, text_key, without, written
 from rushes.llm.words import ALNUM, LOWER, grams, words
 
 MAX_BITS = 1 << 27
@@ -191,8 +191,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5) -> DataFrame:
-    """``docs`` without the documents that share a window with the benchmark; all columns stay as they are."""
+    """``docs`` without the documents that share a window with the benchmark; all columns stay as they are, whatever their names.
+
+    Documents without words stay, and so do all if the benchmark is empty; repeated rows go or stay together.  An empty
+    table stays empty.
+    """
     bad = decontaminate(docs.select("doc_id", "text"), benchmark, n, k).where("contaminated").select("doc_id", "text_key").distinct()
-    bad = bad.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"))
-    keyed = docs.withColumn("_k", text_key())
-    return keyed.join(bad, keyed["_k"].eqNullSafe(bad["_t"]) & keyed["doc_id"].eqNullSafe(bad["_d"]), "left_anti").drop("_k")
+    return without(docs, written(bad, "contaminated"))

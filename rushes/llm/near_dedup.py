@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rushes.llm.common import bit_set, components, rows_per_batch, text_key, written
+from rushes.llm.common import bit_set, components, discard, only, rows_per_batch, text_key, without, written
 from rushes.llm.words import ALNUM, Words, grams, words
 
 SHINGLE = 5
@@ -238,6 +238,7 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     by_class = firsts.groupBy("shingle", "component").agg(F.count("*").alias("n"), F.max(F.col("first").cast("int")).alias("first"))
     mixed = by_class.groupBy("shingle").agg(F.count("*").alias("classes"), F.max("first").alias("first"), F.max(F.struct("n", "component")).alias("top")).where("classes > 1 and first = 1")
     held = written(firsts.join(mixed.select("shingle", F.col("top.component").alias("largest")), "shingle"), "mixed")
+    discard(firsts)
     light = held.where("first").select("shingle", "largest", F.col("text_id").alias("a"), F.col("component").alias("ca"), F.col("rest").alias("ra"), F.col("total").alias("wa"))
     heavy = held.select("shingle", F.col("text_id").alias("b"), F.col("component").alias("cb"), F.col("rest").alias("rb"), F.col("total").alias("wb"), "largest")
     enough = (
@@ -246,7 +247,9 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     )
     small = light.where("ca <> largest").join(heavy.drop("largest"), "shingle").where(enough)
     large = light.where("ca = largest").drop("largest").join(heavy.where("cb <> largest").drop("largest"), "shingle").where(enough)
-    return small.select("a", "b").unionByName(large.select("a", "b")).distinct()
+    pairs = written(small.select("a", "b").unionByName(large.select("a", "b")).distinct(), "pairs")
+    discard(held)
+    return pairs
 
 
 def stars(shared: DataFrame) -> DataFrame:
@@ -268,8 +271,10 @@ def resolve(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     open_bands = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
     unsettled = placed.join(open_bands, "band", "left_semi").select("text_id", "component").distinct()
     with rows_per_batch(spark, SETS_PER_BATCH):
-        more = _prefix_pairs(written(sets.join(unsettled, "text_id"), "unsettled"), threshold)
-        rest = written(_measured(more, sets).where(F.col("similarity") >= threshold), "rest")
+        unsettled = written(sets.join(unsettled, "text_id"), "unsettled")
+        more = _prefix_pairs(unsettled, threshold)
+        rest = written(_measured(more, unsettled).where(F.col("similarity") >= threshold), "rest")
+        discard(unsettled, more)
     return joined.unionByName(rest)
 
 
@@ -281,7 +286,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, row
     banded = written(texts.mapInArrow(_bands(idf, rows, bands), "text_id binary, band long").distinct(), "bands")
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(banded.join(sizes, "band"), "shared")
+    discard(banded)
     met = written(stars(shared), "met")
+    discard(shared)
     nodes = met.select(F.xxhash64("b").alias("slot")).distinct()
     bits = min(MAX_BITS, 1 << max(15, (16 * nodes.count()).bit_length()))
     wanted = spark.sparkContext.broadcast(bit_set(nodes, "slot", bits))
@@ -289,7 +296,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, row
     sets = written(
         keyed.mapInArrow(_sets(idf, wanted, bits), "text_id binary, shingles array<long>, weights array<float>").dropDuplicates(["text_id"]), "sets"
     )
-    return resolve(met, sets, threshold)
+    found = resolve(met, sets, threshold)
+    discard(met, sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -313,8 +322,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class; its columns stay as they are."""
-    gone = near_duplicates(docs.select("doc_id", "text"), threshold).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
-    keyed = docs.withColumn("_k", text_key())
-    rest = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_d"]) & (keyed["_k"] == gone["_t"]), "left_anti")
-    return rest.dropDuplicates(["doc_id", "_k"]).drop("_k")
+    """``docs`` with one row of each class; all columns stay as they are, whatever their names.
+
+    Null and empty texts are one class.  Of rows that repeat both doc_id and text one stays.  An empty table stays empty.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), threshold).groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    touched = written(found.where("not kept or n > 1"), "touched")
+    repeated = written(touched.where("kept"), "repeated")
+    key = next(f"_text_{i}" for i in range(len(docs.columns) + 1) if f"_text_{i}" not in docs.columns)
+    once = only(docs, repeated).withColumn(key, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", key]).drop(key)
+    return without(docs, touched).unionByName(once)
