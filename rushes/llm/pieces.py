@@ -387,7 +387,7 @@ class Model:
 
 
 #: Characters that share one pass over the positions.
-_GROUP = 1 << 19
+_GROUP = 1 << 17
 
 
 def _codes(text: str) -> np.ndarray:

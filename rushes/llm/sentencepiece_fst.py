@@ -15,7 +15,7 @@ _models: dict[str, Model] = {}
 
 
 #: Bytes of text that are encoded together, so that each distinct word of them is composed once.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 
 
 def compiled(path: str) -> Model:
