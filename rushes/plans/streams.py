@@ -75,14 +75,17 @@ def stream_first_seen(spark, sf_dir):
     return streams.run_to_table(seen, "first_seen")
 
 
-@query("stream_sample", "WITH RECURSIVE " + OBS + """, ordered AS (
+SAMPLED = "WITH RECURSIVE " + OBS + """, ordered AS (
   SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY t, idx) AS rn FROM obs
 ), walk AS (
   SELECT file_id, t, idx, rn, t AS last, true AS keep FROM ordered WHERE rn = 1
   UNION ALL
   SELECT o.file_id, o.t, o.idx, o.rn, CASE WHEN o.t - w.last >= 1.0 THEN o.t ELSE w.last END, o.t - w.last >= 1.0
   FROM walk w JOIN ordered o ON o.file_id = w.file_id AND o.rn = w.rn + 1)
-SELECT file_id, idx FROM walk WHERE keep""")
+SELECT file_id, idx FROM walk WHERE keep"""
+
+
+@query("stream_sample", SAMPLED)
 def stream_sample(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     rows = stream_of(spark, sf_dir, "events").select(
@@ -91,6 +94,20 @@ def stream_sample(spark, sf_dir):
     return streams.run_to_table(streams.stream_sample(rows, 1.0, ttl=None), "sample").select("file_id", "idx")
 
 
+@query("stream_sample_ordered", SAMPLED)
+def stream_sample_ordered(spark, sf_dir):
+    """The same rows in six micro-batches that are dealt without regard to time, so that the timers put them in order."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    t = micros_since(F.col("ts"), "2024-01-01").cast("double") / 3.6e10
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("file_id"), t.alias("t"), F.col("event_id").alias("idx"), F.col("ts").cast("timestamp").alias("at"))
+    ahead = spark.range(1).select(
+        F.lit(-1).cast("long").alias("file_id"), F.lit(0.0).alias("t"), F.lit(-1).cast("long").alias("idx"), F.timestamp_seconds(F.lit(4102444800)).alias("at"))
+    parts = [rows.where(F.col("idx") * 7 % 6 == i) for i in range(6)]
+    sampled = streams.stream_sample(arriving([*parts, ahead], "events"), 1.0, at="at", watermark="3650 days")
+    return streams.run_to_table(sampled, "sample_ordered").select("file_id", "idx")
+
+
 @query("stream_face_scan")
 def stream_face_scan(spark, sf_dir):
     """Events as faces with an embedding from a table of vectors; a file's duration comes from the batch side."""
@@ -119,23 +136,60 @@ def stream_enrich(spark, sf_dir):
     return streams.run_to_table(joined.select("idx", "extractor", "owner"), "enrich")
 
 
-@query("stream_assign", "WITH " + TALK + """
-SELECT s.file_id, s.idx, max_by(t.speaker, {'o': least(s."end", t."end") - greatest(s."start", t."start"), 'i': -t.idx}) AS speaker,
-       (max(least(s."end", t."end") - greatest(s."start", t."start")) * 1000000)::BIGINT AS overlap_us
-FROM segs s JOIN turns t ON s.file_id = t.file_id AND t."start" < s."end" AND t."end" > s."start" GROUP BY ALL""")
+def arriving(parts, name):
+    """A stream over tables that arrive one after the other, each as one file and as a micro-batch of its own."""
+    import uuid
+
+    from rushes.session import checkpoint_dir
+
+    spark = parts[0].sparkSession
+    base = f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{base}/{i:03d}")
+    return streams.read_files(spark, f"{base}/*", parts[0].schema, maxFilesPerTrigger="1")
+
+
+def _quarters(df):
+    """Four tables by rising file, and a last one with a row of file -1 far ahead, which lets the watermark pass all others.
+
+    It must reach the watermark: what filters it out comes after the stream, as Spark moves filters below watermarks.
+    """
+    top = df.agg(F.max("file_id")).first()[0] or 0
+    quarter = (F.col("file_id") * 4 / F.lit(top + 1)).cast("int")
+    ahead = {"file_id": F.lit(-1), "start": F.timestamp_seconds(F.lit(4102444800)), "end": F.timestamp_seconds(F.lit(4102444801))}
+    empty = [ahead.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return [*(df.where(quarter == i) for i in range(4)), df.sparkSession.range(1).select(*empty)]
+
+
+SHOWS = """segs AS (
+  SELECT conv_id AS file_id, turn AS idx, conv_id * 3600 + turn * 5 AS "start", conv_id * 3600 + turn * 5 + 5 AS "end" FROM conversations
+), turns AS (
+  SELECT conv_id AS file_id, turn AS idx, conv_id * 3600 + turn * 5 - length(text) % 7 AS "start",
+         conv_id * 3600 + turn * 5 + 1 + length(text) % 11 + CASE WHEN conv_id % 4 = 1 AND turn = 0 THEN 7200 ELSE 0 END AS "end", role AS speaker
+  FROM conversations WHERE conv_id % 5 <> 2 AND (conv_id + turn) % 3 <> 0)"""
+
+
+@query("stream_assign", "WITH " + SHOWS + """, ranked AS (
+  SELECT s.file_id, s.idx, t.speaker, least(s."end", t."end") - greatest(s."start", t."start") AS overlap, row_number() OVER (
+    PARTITION BY s.file_id, s.idx ORDER BY least(s."end", t."end") - greatest(s."start", t."start") DESC, t.idx) AS r
+  FROM segs s JOIN turns t ON s.file_id = t.file_id AND t."start" < s."end" AND t."end" > s."start")
+SELECT s.file_id, s.idx, r.speaker, (r.overlap * 1000000)::BIGINT AS overlap_us
+FROM segs s LEFT JOIN ranked r ON r.file_id = s.file_id AND r.idx = s.idx AND r.r = 1""")
 def stream_assign(spark, sf_dir):
-    conv = stream_of(spark, sf_dir, "conversations")
+    """Five micro-batches; some turns last over two hours, and some segments have no turn."""
+    conv = table(spark, sf_dir, "conversations")
+    base, n = F.col("conv_id") * 3600 + F.col("turn") * 5, F.length("text")
 
     def at(seconds):
-        return F.timestamp_micros(((seconds + 100.0) * 1000000).cast("long"))
-
-    start, n = F.col("turn") * 5.0, F.length("text")
-    segs = conv.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("idx"), at(start).alias("start"), at(start + 5.0).alias("end"))
-    turns = stream_of(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("file_id"), F.col("turn").alias("idx"), at(start - n % 7).alias("start"),
-        at(start + 1 + n % 11).alias("end"), F.col("role").alias("speaker"))
-    pairs = streams.run_to_table(streams.stream_assign(segs, turns), "assign")
-    return streams.pick_assignments(pairs)
+        return F.timestamp_seconds(seconds + 86400)
+
+    long = F.when((F.col("conv_id") % 4 == 1) & (F.col("turn") == 0), 7200).otherwise(0)
+    segs = conv.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("idx"), at(base).alias("start"), at(base + 5).alias("end"))
+    turns = conv.where("conv_id % 5 <> 2 and (conv_id + turn) % 3 <> 0").select(
+        F.col("conv_id").alias("file_id"), F.col("turn").alias("idx"), at(base - n % 7).alias("start"),
+        at(base + 1 + n % 11 + long).alias("end"), F.col("role").alias("speaker"))
+    found = streams.stream_assign(arriving(_quarters(segs), "segs"), arriving(_quarters(turns), "turns"), watermark="4 hours")
+    return streams.pick_assignments(streams.run_to_table(found, "assign").where("file_id >= 0"))
 
 
 @query("stream_ingest", """

@@ -28,6 +28,11 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
     """Process everything available now into Parquet under the shared folder and return it as a batch table."""
+    return run_and_count(stream, name, mode, path)[0]
+
+
+def run_and_count(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> tuple[DataFrame, int]:
+    """As ``run_to_table``, with the number of rows that came too late for the watermark."""
     spark = stream.sparkSession
     base = path or f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
     query = (
@@ -39,7 +44,12 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str |
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    return spark.read.schema(stream.schema).parquet(f"{base}/table"), late_rows(query)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the stateful operators of a query dropped as late, over the progress that it still holds."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def stream_ingest(
@@ -130,15 +140,83 @@ class _GreedySampler(StatefulProcessor):
         pass
 
 
+class _OrderedSampler(StatefulProcessor):
+    """Greedy sampling by event time: rows wait in typed list state until the watermark has passed them."""
+
+    def __init__(self, columns: list[str], types: T.StructType, t: str, order: list[str], interval: float):
+        self.columns, self.types, self.t, self.order, self.interval = columns, types, t, order, interval
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t double")
+        self.waiting = handle.getListState("waiting", self.types)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = 0
+        for pdf in rows:  # frame by frame: no batch of a key is held whole
+            if not len(pdf):
+                continue
+            latest = max(latest, int(pdf[_EVENT_US].max()))
+            self.waiting.appendList([tuple(_plain(v) for v in row) for row in pdf[self.columns].itertuples(index=False, name=None)])
+        if latest:
+            self.handle.registerTimer(latest // 1000 + 1)
+        yield pd.DataFrame(columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns)
+        ready = held[held[_EVENT_US] <= passed].sort_values(self.order)
+        if len(ready):
+            rest = held[held[_EVENT_US] > passed]
+            if len(rest):
+                self.waiting.put([tuple(_plain(v) for v in row) for row in rest.itertuples(index=False, name=None)])
+            else:
+                self.waiting.clear()
+            last = self.last.get()[0] if self.last.exists() else None
+            keep = []
+            for t in ready[self.t]:
+                keep.append(last is None or t - last >= self.interval)
+                last = float(t) if keep[-1] else last
+            self.last.update((last,))
+            ready = ready[keep]
+        yield ready
+
+    def close(self) -> None:
+        pass
+
+
+_EVENT_US = "event_us"
+
+
+def _plain(v):
+    return None if v is None or v is pd.NaT or isinstance(v, float) and v != v else v.item() if hasattr(v, "item") else v
+
+
 def stream_sample(
     rows: DataFrame, interval: float = 1.0, ttl: float | None = 3600.0, keys: Sequence[str] = ("file_id",),
-    order: Sequence[str] = ("t", "idx"),
+    order: Sequence[str] = ("t", "idx"), at: str | None = None, watermark: str = "1 minute",
 ) -> DataFrame:
-    """Greedy sampling over arriving rows, in time order inside a micro-batch.
+    """Greedy sampling over arriving rows.
+
+    With ``at``, a timestamp that rises with the order, rows may come in any order within ``watermark``: each waits until
+    the watermark has passed it, and later ones are dropped and counted in the query's progress (``late_rows``).  The
+    result is that of the batch operator over the rows that weren't late.  The state of a file is its last kept time and
+    the rows that wait, as typed columns; ``at`` itself isn't returned.  Without ``at``, rows are taken in time order inside
+    a micro-batch only, and ``ttl`` seconds after its last change a file is forgotten; that needs a query that keeps
+    running, so pass ``ttl=None`` with ``availableNow``.
 
-    The state is one number per file.  Needs the RocksDB state store (``ROCKSDB``).  ``ttl`` seconds after its
-    last change a file is forgotten; that needs a query that keeps running, so pass ``ttl=None`` with ``availableNow``.
+    Needs the RocksDB state store (``ROCKSDB``).
     """
+    if at is not None:
+        timed = rows.withColumn(_EVENT_US, F.unix_micros(at)).withWatermark(at, watermark)
+        out = [c for c in rows.columns if c != at]
+        columns = [*out, _EVENT_US]
+        schema = timed.select(*columns).schema
+        sampled = timed.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=_OrderedSampler(columns, schema, order[0], list(order), interval),
+            outputStructType=schema, outputMode="Append", timeMode="EventTime",
+        )
+        return sampled.drop(_EVENT_US)
     ttl_ms = int(ttl * 1000) if ttl else None
     return rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_GreedySampler(order[0], list(order), interval, ttl_ms),
@@ -210,30 +288,43 @@ def stream_enrich(stream: DataFrame, static: DataFrame, keys: Sequence[str], fie
     return joined.withColumns(merged).drop(*[f"_s_{f}" for f in fields])
 
 
+def _in_buckets(rows: DataFrame, start: str, end: str, bucket: str, watermark: str) -> DataFrame:
+    """A copy of each interval for every bucket of time that it touches, with ``_from`` and ``_to``, its part of the bucket."""
+    first, step = F.window(F.col(start), bucket)["start"], F.expr(f"INTERVAL {bucket}")
+    # An interval that ends on a bucket's edge doesn't touch the next one; an empty one keeps its own.
+    last = F.greatest(F.col(start), F.col(end) - F.expr("INTERVAL 1 MICROSECOND"))
+    spread = rows.withColumn("_first", first).withColumn("bucket", F.explode(F.sequence(F.col("_first"), last, step))).drop("_first")
+    clipped = {"_from": F.greatest(F.col(start), F.col("bucket")), "_to": F.least(F.col(end), F.col("bucket") + step)}
+    return spread.withColumns(clipped).withWatermark("bucket", watermark)
+
+
 def stream_assign(
-    segs: DataFrame, turns: DataFrame, bound: str = "1 hour", watermark: str = "1 hour",
+    segs: DataFrame, turns: DataFrame, bucket: str = "10 minutes", watermark: str = "1 hour",
     keys: Sequence[str] = ("file_id",),
 ) -> DataFrame:
-    """Overlapping pairs of two streams of segments and turns, as they become complete.
-
-    Both have ``idx``, ``start`` and ``end`` timestamps, turns also ``speaker``.  ``bound`` is the longest turn
-    or segment, which lets old rows be forgotten.  Reduce the pairs with ``pick_assignments``.
+    """Overlaps of two streams of segments and turns, and segments without any, as they become complete.
+
+    Both have ``idx``, ``start`` and ``end`` timestamps, turns also ``speaker``.  Either may be of any length: they meet in
+    every ``bucket`` of time that both touch, so state is dropped by the bucket and a busy file is spread over its buckets.
+    Rows: the keys, ``idx``, ``r_idx``, ``speaker``, ``overlap_us`` inside one bucket; a bucket in which a segment
+    meets no turn gives a row with nulls once the watermark has passed it.  The watermark is the lesser of both streams' latest
+    buckets less ``watermark``.  What comes behind it meets nothing any more: a late segment gives nulls at once, a late turn
+    nothing.  Reduce the rows with ``pick_assignments``.
     """
-    a = segs.withWatermark("start", watermark).alias("a")
-    b = turns.select(
-        *[F.col(k).alias(f"r_{k}") for k in keys], F.col("idx").alias("r_idx"), F.col("start").alias("r_start"),
-        F.col("end").alias("r_end"), "speaker",
-    ).withWatermark("r_start", watermark).alias("b")
-    limit = F.expr(f"INTERVAL {bound}")
-    on = (F.col("r_start") < F.col("end")) & (F.col("r_end") > F.col("start"))
-    on = on & (F.col("r_start") >= F.col("start") - limit) & (F.col("r_start") <= F.col("start") + limit)
+    a = _in_buckets(segs.select(*keys, "idx", "start", "end"), "start", "end", bucket, watermark)
+    b = _in_buckets(turns.select(*keys, "idx", "start", "end", "speaker"), "start", "end", bucket, watermark)
+    b = b.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("idx").alias("r_idx"), "speaker", F.col("_from").alias("r_from"),
+                 F.col("_to").alias("r_to"), F.col("bucket").alias("r_bucket"))
+    on = (F.col("bucket") == F.col("r_bucket")) & (F.col("r_from") < F.col("_to")) & (F.col("r_to") > F.col("_from"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"r_{k}"))
-    overlap = F.unix_micros(F.least("end", "r_end")) - F.unix_micros(F.greatest("start", "r_start"))
-    return a.join(b, on, "inner").select(*keys, "idx", "r_idx", "speaker", overlap.alias("overlap_us"))
+    overlap = F.unix_micros(F.least("_to", "r_to")) - F.unix_micros(F.greatest("_from", "r_from"))
+    overlap = F.when(F.col("r_idx").isNotNull(), overlap)
+    return a.join(b, on, "leftOuter").select(*keys, "idx", "r_idx", "speaker", overlap.alias("overlap_us"))
 
 
-def pick_assignments(pairs: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """Per segment the speaker of the longest overlap, the earliest turn on a tie."""
-    rank = F.struct("overlap_us", -F.col("r_idx"))
+def pick_assignments(overlaps: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """Per segment the speaker of the longest overlap, the earliest turn on a tie, nulls where no turn overlaps."""
+    pairs = overlaps.groupBy(*keys, "idx", "r_idx").agg(F.first("speaker").alias("speaker"), F.sum("overlap_us").alias("overlap_us"))
+    rank = F.when(F.col("r_idx").isNotNull(), F.struct("overlap_us", (-F.col("r_idx")).alias("i")))
     return pairs.groupBy(*keys, "idx").agg(F.max_by("speaker", rank).alias("speaker"), F.max("overlap_us").alias("overlap_us"))

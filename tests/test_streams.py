@@ -44,3 +44,51 @@ def test_late_rows_are_dropped(spark, tmp_path):
     metrics = streams.stream_run_metrics(stream, "10 minutes", "1 hour")
     out = streams.run_to_table(metrics, "m", path=str(tmp_path / "out")).orderBy("window_start").collect()
     assert [r.n_runs for r in out] == [2, 2]
+
+
+AHEAD = 4102444800
+
+
+def arrive(spark, path, batches, schema):
+    """One file for each batch; times are seconds of a day after the first, since Spark takes the first moment as late."""
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema)
+        times = {c: F.timestamp_seconds(F.col(c) + 86400) for c in df.columns if c in ("start", "end", "at")}
+        df.withColumns(times).coalesce(1).write.parquet(f"{path}/{n:03d}")
+    shape = df.withColumns(times).schema
+    return streams.read_files(spark, f"{path}/*", shape, maxFilesPerTrigger="1")
+
+
+def test_assign_keeps_unmatched_segments_and_long_turns(spark, tmp_path):
+    # Segment 9 comes after the watermark has passed it, when the turn that it would meet is forgotten.
+    segs = [
+        [("a", 0, 100, 110), ("b", 0, 100, 110)], [("a", 1, 20_000, 20_005), ("a", 2, 30_000, 30_000)],
+        [("a", 3, 40_000, 47_300), ("a", 9, 95, 99)], [("-", None, AHEAD, AHEAD + 1)],
+    ]
+    turns = [
+        [("a", 0, 90, 30_500, "long"), ("a", 1, 105, 110, "short")], [("a", 2, 20_001, 20_004, "inside")],
+        [("a", 3, 40_000, 43_000, "first"), ("a", 4, 43_000, 47_300, "second")], [("-", None, AHEAD, AHEAD + 1, None)],
+    ]
+    left = arrive(spark, tmp_path / "segs", segs, "file_id string, idx long, start long, end long")
+    right = arrive(spark, tmp_path / "turns", turns, "file_id string, idx long, start long, end long, speaker string")
+    found = streams.run_to_table(streams.stream_assign(left, right, watermark="1 hour"), "a", path=str(tmp_path / "out"))
+    got = {(r.file_id, r.idx): (r.speaker, r.overlap_us) for r in streams.pick_assignments(found).where("file_id <> '-'").collect()}
+    million = 1_000_000
+    assert got == {
+        ("a", 0): ("long", 10 * million), ("b", 0): (None, None), ("a", 1): ("long", 5 * million), ("a", 2): (None, None),
+        ("a", 3): ("second", 4300 * million), ("a", 9): (None, None),
+    }
+
+
+def test_ordered_sampling_waits_for_the_watermark(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    rows = [("f", i * 0.4, i, 1000 + 10 * i) for i in range(40)] + [("g", i * 0.7, i, 1000 + 10 * i) for i in range(20)]
+    mixed = [[r for r in rows if r[2] * 5 % 3 == n] for n in range(3)]
+    batches = [*mixed, [("-", 0.0, 0, 5000)], [("f", 0.0, 99, 900)], [("-", 0.0, 1, AHEAD)]]
+    stream = arrive(spark, tmp_path / "in", batches, "file_id string, t double, idx long, at long")
+    sampled = streams.stream_sample(stream, 1.0, at="at", watermark="10 minutes")
+    out, late = streams.run_and_count(sampled, "s", path=str(tmp_path / "out"))
+    plain = spark.createDataFrame([r[:3] for r in rows], "file_id string, t double, idx long")
+    want = sampling.sample_every(plain, interval=1.0)
+    assert sorted(map(tuple, out.where("file_id <> '-'").collect())) == sorted(map(tuple, want.collect()))
+    assert late == 1
