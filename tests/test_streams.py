@@ -63,11 +63,11 @@ def test_assign_keeps_unmatched_segments_and_long_turns(spark, tmp_path):
     # Segment 9 comes after the watermark has passed it, when the turn that it would meet is forgotten.
     segs = [
         [("a", 0, 100, 110), ("b", 0, 100, 110)], [("a", 1, 20_000, 20_005), ("a", 2, 30_000, 30_000)],
-        [("a", 3, 40_000, 47_300), ("a", 9, 95, 99)], [("-", None, AHEAD, AHEAD + 1)],
+        [("a", 3, 40_000, 47_300)], [("a", 9, 95, 99)], [("-", None, AHEAD, AHEAD + 1)],
     ]
     turns = [
         [("a", 0, 90, 30_500, "long"), ("a", 1, 105, 110, "short")], [("a", 2, 20_001, 20_004, "inside")],
-        [("a", 3, 40_000, 43_000, "first"), ("a", 4, 43_000, 47_300, "second")], [("-", None, AHEAD, AHEAD + 1, None)],
+        [("a", 3, 40_000, 43_000, "first"), ("a", 4, 43_000, 47_300, "second")], [("z", 0, 47_000, 47_010, "other")], [("-", None, AHEAD, AHEAD + 1, None)],
     ]
     left = arrive(spark, tmp_path / "segs", segs, "file_id string, idx long, start long, end long")
     right = arrive(spark, tmp_path / "turns", turns, "file_id string, idx long, start long, end long, speaker string")
