@@ -307,9 +307,9 @@ def stream_assign(
     Both have ``idx``, ``start`` and ``end`` timestamps, turns also ``speaker``.  Either may be of any length: they meet in
     every ``bucket`` of time that both touch, so state is dropped by the bucket and a busy file is spread over its buckets.
     Rows: the keys, ``idx``, ``r_idx``, ``speaker``, ``overlap_us`` inside one bucket; a bucket in which a segment
-    meets no turn gives a row with nulls once the watermark has passed it.  The watermark is the lesser of both streams' latest
-    buckets less ``watermark``.  What comes behind it meets nothing any more: a late segment gives nulls at once, a late turn
-    nothing.  Reduce the rows with ``pick_assignments``.
+    meets no turn gives a row with nulls once the watermark has passed it.  Rows behind the watermark, which is the lesser of
+    both streams' latest bucket less ``watermark``, are dropped and counted in the query's progress (``late_rows``).
+    Reduce the rows with ``pick_assignments``.
     """
     a = _in_buckets(segs.select(*keys, "idx", "start", "end"), "start", "end", bucket, watermark)
     b = _in_buckets(turns.select(*keys, "idx", "start", "end", "speaker"), "start", "end", bucket, watermark)
