@@ -9,6 +9,8 @@ run in parallel.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -195,67 +197,106 @@ def track_persons(
 PLAN = "window long, start double, end double, mode string, n_faces long, n_new long, all_known boolean"
 
 
-class _Scan:
-    """Window by window scan of one file: dense until the faces stay the same, then single probes."""
+def _steps(dense: float, sparse: float) -> tuple[float, int, int]:
+    """The largest step of which both kinds of window are whole multiples, and how many steps each takes."""
+    a, b = Fraction(str(dense)), Fraction(str(sparse))
+    unit = Fraction(gcd(a.numerator * b.denominator, b.numerator * a.denominator), a.denominator * b.denominator)
+    return float(unit), int(a / unit), int(b / unit)
 
-    def __init__(self, duration: float, dense: float, sparse: float, tol: float, emb: float, settle: int):
-        self.duration, self.dense, self.sparse, self.tol, self.emb, self.settle = duration, dense, sparse, tol, emb, settle
-        self.now, self.quiet, self.probing, self.number = 0.0, 0, False, 0
+
+class FaceScan:
+    """The state of one file's scan: where the next window starts, in steps, and who is known."""
+
+    def __init__(self, duration: float, dense: float, sparse: float, emb: float, settle: int):
+        self.duration, self.sparse, self.emb, self.settle = duration, sparse, emb, settle
+        self.unit, self.dense_steps, self.sparse_steps = _steps(dense, sparse)
+        self.at, self.quiet, self.probing, self.number = 0, 0, False, 0
         self.known: list[np.ndarray] = []
-        self.pending: list[tuple] = []
-
-    def _faces(self, low: float, high: float, closed: bool) -> list[np.ndarray | None]:
-        """Best face per person among the detections of a window."""
-        people = _People(5.0, 0.2, 0.5)
-        best: dict[int, tuple] = {}
-        for t, here, confidence, embedding in self.pending:
-            if t < low or t > high or (t == high and not closed):
-                continue
-            person = people.place(t, here, embedding)
-            if person not in best or confidence > best[person][0]:
-                best[person] = (confidence, embedding)
-        return [e for _, e in best.values()]
-
-    def _window(self) -> tuple:
-        step = self.sparse if self.probing else self.dense
-        end = min(self.now + step, self.duration)
-        if self.probing:
-            middle = self.now + self.sparse / 2
-            faces = self._faces(middle - self.tol, middle + self.tol, True)
-        else:
-            faces = self._faces(self.now, end, False)
+
+    @property
+    def start(self) -> float:
+        return self.at * self.unit
+
+    @property
+    def end(self) -> float:
+        return min((self.at + (self.sparse_steps if self.probing else self.dense_steps)) * self.unit, self.duration)
+
+    @property
+    def over(self) -> bool:
+        return self.start >= self.duration
+
+    def sees(self, tol: float) -> tuple[float, float, bool]:
+        """The times that the next window looks at, and whether the last one counts."""
+        if not self.probing:
+            return self.start, self.end, False
+        middle = self.start + self.sparse / 2
+        return middle - tol, middle + tol, True
+
+    def close(self, faces: list) -> tuple:
+        """Take the window with the embeddings of its ``faces``, one for each person; go on to the next one."""
         fresh = []
         for e in faces:
             if e is None or not len(e):
                 continue
             v = np.asarray(e, dtype="float64")
             v = v / np.linalg.norm(v)
-            if not any(1.0 - float(k @ v) < self.emb for k in self.known):
+            if not self.known or not (1.0 - np.stack(self.known) @ v < self.emb).any():
                 fresh.append(v)
-        row = (self.number, self.now, end, "sparse" if self.probing else "dense", len(faces), len(fresh), not fresh)
-        if faces:
-            if fresh:
-                self.known += fresh
-                self.quiet, self.probing = 0, False
-            elif self.known:
-                self.quiet += 1
-                self.probing = self.probing or self.quiet >= self.settle
-        elif not self.known:
+        row = (self.number, self.start, self.end, "sparse" if self.probing else "dense", len(faces), len(fresh), not fresh)
+        self.at, self.number = self.at + (self.sparse_steps if self.probing else self.dense_steps), self.number + 1
+        if fresh:
+            self.known += fresh
+            self.quiet, self.probing = 0, False
+        elif bool(faces) == bool(self.known):
             self.quiet += 1
             self.probing = self.probing or self.quiet >= self.settle
-        self.now, self.number = end, self.number + 1
-        self.pending = [p for p in self.pending if p[0] >= end - self.tol]
         return row
 
-    def advance(self, until: float) -> list[tuple]:
-        """Close every window that no detection from ``until`` on can still fall into."""
-        rows = []
-        while self.now < self.duration:
-            step = self.sparse if self.probing else self.dense
-            if min(self.now + step, self.duration) + self.tol >= until:
-                break
-            rows.append(self._window())
-        return rows
+
+def best_of_window(rows, gap: float, iou: float, same: float) -> list:
+    """The embedding of the best face of each person among ``rows`` (t, box, confidence, embedding), in order."""
+    people = _People(gap, iou, same)
+    best: dict[int, tuple] = {}
+    for t, here, confidence, embedding in rows:
+        person = people.place(t, here, embedding)
+        if person not in best or confidence > best[person][0]:
+            best[person] = (confidence, embedding)
+    return [e for _, e in best.values()]
+
+
+def scan_windows(
+    det: DataFrame, dense: float, sparse: float, tol: float, gap: float, iou: float, same: float, keys: Sequence[str]
+) -> DataFrame:
+    """``keys, step, mode, faces``: what each window that a scan may come to would see, one embedding per person.
+
+    A window's start is a whole number of steps, whatever came before it, so all possible windows of a file are worked out
+    side by side: a detection falls into a few dense ones and at most one or two probes.
+    """
+    unit, dense_steps, _ = _steps(dense, sparse)
+    step = F.col("_step")
+    last = F.floor(F.col("t") / unit)
+    # One step more on either side, against rounding; the windows' own bounds decide.
+    dense_in = F.transform(F.sequence(last - dense_steps, last + 1), lambda k: F.struct(k.alias("_step"), F.lit("dense").alias("mode")))
+    low = F.floor((F.col("t") - sparse / 2 - tol) / unit)
+    high = F.ceil((F.col("t") - sparse / 2 + tol) / unit)
+    sparse_in = F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("_step"), F.lit("sparse").alias("mode")))
+    rows = _flat(det).select(*keys, "duration", "t", "idx", "confidence", "_x", "_y", "_w", "_h", "embedding", F.explode(F.concat(dense_in, sparse_in)).alias("_in"))
+    rows = rows.select("*", "_in.*").drop("_in").where((step >= 0) & (step * unit < F.col("duration")))
+    middle = step * unit + sparse / 2
+    seen = F.when(F.col("mode") == "dense", (F.col("t") >= step * unit) & (F.col("t") < F.least((step + dense_steps) * unit, F.col("duration")))).otherwise(
+        (F.col("t") >= middle - tol) & (F.col("t") <= middle + tol)
+    )
+
+    def make():
+        people = _People(gap, iou, same)
+        return lambda t, x, y, w, h, e: people.place(t, (x, y, w, h), e)
+
+    window = [*keys, "_step", "mode"]
+    placed = apply_state(rows.where(seen).drop("duration"), window, ["t", "idx"], make, ["t", "_x", "_y", "_w", "_h", "embedding"], "person", T.LongType())
+    best = F.max_by("embedding", F.struct("confidence", (-F.col("t")).alias("a"), (-F.col("idx")).alias("b")))
+    people = placed.groupBy(*window, "person").agg(best.alias("e"))
+    # As many as there are people in one window.
+    return people.groupBy(*window).agg(F.transform(F.sort_array(F.collect_list(F.struct("person", "e"))), lambda p: p["e"]).alias("faces"))
 
 
 def plan_face_scan(
@@ -268,37 +309,52 @@ def plan_face_scan(
     emb: float = 0.5,
     settle: int = 2,
     keys: Sequence[str] = ("file_id",),
+    gap: float = 5.0,
+    iou: float = 0.2,
+    same: float = 0.5,
 ) -> DataFrame:
     """Scan plan of files longer than ``min_duration``: one row per window with its mode and what it found.
 
     A dense window sees the detections in ``[start, end)``; a sparse one those within ``tol`` of its single
     probe at ``start + sparse / 2``.  After ``settle`` windows without a new face the scan turns sparse; a new
-    face turns it dense.  Windows without any face count only while nobody is known.
+    face turns it dense.  Windows without any face count only while nobody is known.  ``emb`` says who is known from
+    earlier windows; ``gap``, ``iou`` and ``same`` say who is one person inside a window.
+
+    Detections are worked on by window (``scan_windows``), so a long file is spread over all tasks; what walks through a file
+    in order is one small row per window that has faces.
     """
     keys = list(keys)
     long_files = files.filter(F.col("duration") > min_duration).select(*keys, "duration")
-    rows = _flat(det).select(*keys, "t", "idx", "confidence", "_x", "_y", "_w", "_h", "embedding")
-    joined = long_files.join(rows, keys, "left")
-    placed = joined.repartition(*keys).sortWithinPartitions(*keys, "t", "idx")
+    seen = scan_windows(det.join(long_files, keys), dense, sparse, tol, gap, iou, same, keys)
+    joined = long_files.join(seen, keys, "left").select(*keys, "duration", "_step", "mode", "faces")
+    placed = joined.repartition(*keys).sortWithinPartitions(*keys, "_step")
     fields = [f for f in placed.schema.fields if f.name in keys]
     schema = T.StructType([*fields, *T.StructType.fromDDL(PLAN).fields])
     columns = [*keys, *[f.name for f in T.StructType.fromDDL(PLAN).fields]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, scan = None, None
+        current, scan, ahead = None, None, {}
+
+        def walk(upto: float) -> list[tuple]:
+            """Close all windows that start before step ``upto``."""
+            out = []
+            while not scan.over and scan.at < upto:
+                out.append((*current, *scan.close(ahead.get((scan.at, "sparse" if scan.probing else "dense"), []))))
+            for key in [k for k in ahead if k[0] < scan.at]:
+                del ahead[key]
+            return out
+
         for pdf in frames:
             out = []
-            for key, row in zip(zip(*[pdf[k] for k in keys]), pdf.drop(columns=keys).itertuples(index=False, name=None)):
-                duration, t, _, confidence, x, y, w, h, embedding = row
+            for key, (duration, step, mode, faces) in zip(zip(*[pdf[k] for k in keys]), pdf[["duration", "_step", "mode", "faces"]].itertuples(index=False, name=None)):
                 if key != current:
-                    if scan is not None:
-                        out += [(*current, *r) for r in scan.advance(np.inf)]
-                    current, scan = key, _Scan(duration, dense, sparse, tol, emb, settle)
-                if t is not None and not np.isnan(t):
-                    out += [(*key, *r) for r in scan.advance(t)]
-                    scan.pending.append((t, (x, y, w, h), confidence, embedding))
+                    out += walk(np.inf) if scan is not None else []
+                    current, scan, ahead = key, FaceScan(duration, dense, sparse, emb, settle), {}
+                if mode is not None:
+                    out += walk(step)
+                    ahead[int(step), mode] = list(faces)
             yield pd.DataFrame(out, columns=columns)
         if scan is not None:
-            yield pd.DataFrame([(*current, *r) for r in scan.advance(np.inf)], columns=columns)
+            yield pd.DataFrame(walk(np.inf), columns=columns)
 
     return placed.mapInPandas(run, schema)

@@ -184,7 +184,49 @@ def face_summary(spark, sf_dir):
     return aggregates.face_summary(best_faces(spark, sf_dir))
 
 
-@query("plan_face_scan")
+# All windows that a scan may come to, each with the best face of every person in it; then the scan itself.
+FACE_SCAN = "WITH RECURSIVE " + DETS + """, """ + FILES + """, long AS (SELECT * FROM files WHERE duration > 60), faces AS MATERIALIZED (
+  SELECT d.*, e.embedding::DOUBLE[] AS v, l.duration FROM dets d JOIN embeddings e ON e.vec_id = d.idx % (SELECT count(*) FROM embeddings)
+    JOIN long l ON l.file_id = d.file_id
+), steps AS (SELECT *, unnest(range(greatest(0, floor(t / 10)::BIGINT - 3), floor(t / 10)::BIGINT + 2)) AS step FROM faces
+), looks AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY file_id, step, mode ORDER BY t, idx) AS rn FROM (
+    SELECT *, 'dense' AS mode FROM steps WHERE t >= step * 10 AND t < least(step * 10 + 30, duration)
+    UNION ALL SELECT *, 'sparse' FROM steps WHERE t >= step * 10 + 5.0::DOUBLE - 0.35::DOUBLE AND t <= step * 10 + 5.0::DOUBLE + 0.35::DOUBLE)
+  WHERE step * 10 < duration
+), hints AS MATERIALIZED (
+  SELECT a.file_id, a.step, a.mode, a.rn, coalesce(list(b.rn) FILTER (a.t - b.t <= 5 AND """ + IOU.format(a="a", b="b") + """ >= 0.2), []) AS near,
+         coalesce(list({'d': 1 - list_cosine_similarity(a.v, b.v), 'r': b.rn}) FILTER (1 - list_cosine_similarity(a.v, b.v) < 0.5), []) AS alike
+  FROM looks a LEFT JOIN looks b ON a.file_id = b.file_id AND a.step = b.step AND a.mode = b.mode AND b.rn < a.rn GROUP BY ALL
+), walk AS (
+  SELECT file_id, step, mode, rn, idx, t, confidence, v, [0::BIGINT] AS persons, 0::BIGINT AS person FROM looks WHERE rn = 1
+  UNION ALL
+  SELECT file_id, step, mode, rn, idx, t, confidence, v, list_append(persons, p), p FROM (
+    SELECT f.file_id, f.step, f.mode, f.rn, f.idx, f.t, f.confidence, f.v, k.persons,
+           coalesce(list_min(list_transform(g.near, lambda r: k.persons[r])),
+                    list_sort(list_transform(g.alike, lambda s: {'d': s.d, 'p': k.persons[s.r]}))[1].p, list_max(k.persons) + 1) AS p
+    FROM walk k JOIN looks f ON f.file_id = k.file_id AND f.step = k.step AND f.mode = k.mode AND f.rn = k.rn + 1
+         JOIN hints g ON g.file_id = f.file_id AND g.step = f.step AND g.mode = f.mode AND g.rn = f.rn)
+), seen AS MATERIALIZED (
+  SELECT file_id, step, mode, list(v ORDER BY person) AS faces FROM (
+    SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY file_id, step, mode, person ORDER BY confidence DESC, t, idx) = 1) GROUP BY ALL
+), scan AS (
+  SELECT file_id, duration, 0::BIGINT AS number, 0::BIGINT AS step, 'dense' AS mode, 0::BIGINT AS quiet, []::DOUBLE[][] AS known, NULL::BIGINT AS start_step,
+         NULL::VARCHAR AS was, NULL::BIGINT AS n_faces, NULL::BIGINT AS n_new FROM long
+  UNION ALL
+  SELECT file_id, duration, number + 1, step + CASE mode WHEN 'dense' THEN 3 ELSE 1 END,
+         CASE WHEN len(fresh) > 0 THEN 'dense' WHEN counts AND quiet + 1 >= 2 THEN 'sparse' ELSE mode END,
+         CASE WHEN len(fresh) > 0 THEN 0 WHEN counts THEN quiet + 1 ELSE quiet END, list_concat(known, fresh), step, mode, len(faces), len(fresh)
+  FROM (SELECT *, (len(faces) > 0) = (len(known) > 0) AS counts,
+               list_filter(faces, lambda v: len(list_filter(known, lambda n: 1 - list_cosine_similarity(n, v) < 0.8)) = 0) AS fresh
+        FROM (SELECT s.*, coalesce(w.faces, []) AS faces FROM scan s LEFT JOIN seen w ON w.file_id = s.file_id AND w.step = s.step AND w.mode = s.mode
+              WHERE s.step * 10 < s.duration)))
+SELECT file_id, number - 1 AS "window", start_step * 10.0::DOUBLE AS "start",
+       least(start_step * 10.0::DOUBLE + CASE was WHEN 'dense' THEN 30 ELSE 10 END, duration) AS "end", was AS mode, n_faces, n_new, n_new = 0 AS all_known
+FROM scan WHERE number > 0"""
+
+
+@query("plan_face_scan", FACE_SCAN)
 def plan_face_scan(spark, sf_dir):
     return tracking.plan_face_scan(durations(spark, sf_dir), faces(spark, sf_dir), emb=0.8)
 

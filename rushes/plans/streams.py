@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rushes.plans.bindings import OBS, micros_since, table
+from rushes.plans.detect import FACE_SCAN
 from rushes.plans.registry import query
 from rushes.plans.text import LINES, TALK
 from rushes.streaming import streams
@@ -108,7 +109,7 @@ def stream_sample_ordered(spark, sf_dir):
     return streams.run_to_table(sampled, "sample_ordered").select("file_id", "idx")
 
 
-@query("stream_face_scan")
+@query("stream_face_scan", FACE_SCAN)
 def stream_face_scan(spark, sf_dir):
     """Events as faces with an embedding from a table of vectors; a file's duration comes from the batch side."""
     from rushes.functions.media import box

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import pickle
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from rushes.operators.tracking import PLAN, _Scan
+from rushes.operators.tracking import PLAN, FaceScan, best_of_window
 from rushes.session import checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -227,26 +227,51 @@ def stream_sample(
 
 
 class _FaceScanner(StatefulProcessor):
-    """The scan of one file, kept between micro-batches as one pickled value."""
+    """The scan of one file between micro-batches, in typed columns: where it stands, who is known, and what waits."""
 
-    def __init__(self, make, columns: list[str], keys: list[str], whole_files: bool, ttl_ms: int | None):
-        self.make, self.columns, self.keys, self.whole_files, self.ttl_ms = make, columns, keys, whole_files, ttl_ms
+    def __init__(self, make, tol: float, inside: tuple[float, float, float], columns: list[str], whole_files: bool, ttl_ms: int | None):
+        self.make, self.tol, self.inside, self.columns, self.whole_files, self.ttl_ms = make, tol, inside, columns, whole_files, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scan = handle.getValueState("scan", "scan binary", self.ttl_ms)
+        self.scan = handle.getValueState("scan", "duration double, at long, quiet int, probing boolean, number long", self.ttl_ms)
+        self.known = handle.getListState("known", "v array<double>", self.ttl_ms)
+        self.waiting = handle.getListState("waiting", "t double, idx long, x long, y long, w long, h long, confidence double, embedding array<double>", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t", "idx"])
-        scan = pickle.loads(self.scan.get()[0]) if self.scan.exists() else self.make(float(pdf["duration"].iloc[0]))
-        out = []
-        for t, confidence, box, embedding in zip(*[pdf[c] for c in ("t", "confidence", "bbox", "embedding")]):
-            out += scan.advance(t)
-            here = (box["x"], box["y"], box["width"], box["height"])
-            scan.pending.append((t, here, confidence, embedding))
-        if self.whole_files:
-            out += scan.advance(float("inf"))
-        self.scan.update((pickle.dumps(scan),))
-        yield pd.DataFrame([(*key, *row) for row in out], columns=self.columns)
+        scan, waiting = None, list(self.waiting.get()) if self.waiting.exists() else []
+        latest = -float("inf")
+        for pdf in rows:
+            for t, idx, confidence, box, embedding, duration in zip(*[pdf[c] for c in ("t", "idx", "confidence", "bbox", "embedding", "duration")]):
+                scan = scan or self._scan(float(duration))
+                vector = None if embedding is None else [float(x) for x in embedding]
+                waiting.append((float(t), int(idx), *(int(box[c]) for c in ("x", "y", "width", "height")), float(confidence), vector))
+                latest = max(latest, float(t))
+        if scan is None:
+            return
+        waiting.sort(key=lambda r: r[:2])
+        out, knew = [], len(scan.known)
+        while not scan.over and (self.whole_files or scan.end + self.tol < latest):
+            low, high, closed = scan.sees(self.tol)
+            seen = [(r[0], r[2:6], r[6], r[7]) for r in waiting if low <= r[0] and (r[0] <= high if closed else r[0] < high)]
+            out.append((*key, *scan.close(best_of_window(seen, *self.inside))))
+            waiting = [r for r in waiting if r[0] >= scan.start - self.tol]
+        self.scan.update((scan.duration, scan.at, scan.quiet, scan.probing, scan.number))
+        if len(scan.known) > knew:
+            self.known.appendList([(v.tolist(),) for v in scan.known[knew:]])
+        if waiting:
+            self.waiting.put(waiting)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def _scan(self, duration: float) -> FaceScan:
+        if not self.scan.exists():
+            return self.make(duration)
+        duration, at, quiet, probing, number = self.scan.get()
+        scan = self.make(duration)
+        scan.at, scan.quiet, scan.probing, scan.number = at, quiet, probing, number
+        scan.known = [np.array(v[0]) for v in self.known.get()] if self.known.exists() else []
+        return scan
 
     def close(self) -> None:
         pass
@@ -255,12 +280,13 @@ class _FaceScanner(StatefulProcessor):
 def stream_face_scan(
     det: DataFrame, dense: float = 30.0, sparse: float = 10.0, min_duration: float = 60.0, tol: float = 0.35,
     emb: float = 0.5, settle: int = 2, keys: Sequence[str] = ("file_id",), whole_files: bool = False,
-    ttl: float | None = 3600.0,
+    ttl: float | None = 3600.0, gap: float = 5.0, iou: float = 0.2, same: float = 0.5,
 ) -> DataFrame:
     """Streaming twin of ``plan_face_scan``; detections carry their file's ``duration`` and come in time order.
 
     A window is reported once a detection shows that it is over, or with the batch when ``whole_files`` says
-    that a file's detections all come in one micro-batch.
+    that a file's detections all come in one micro-batch.  The state of a file is where its scan stands, one vector for each
+    known person, and the detections of the windows that are open.
     """
     keys = list(keys)
     rows = det.filter(F.col("duration") > min_duration)
@@ -268,11 +294,11 @@ def stream_face_scan(
     schema = T.StructType([*fields, *T.StructType.fromDDL(PLAN).fields])
     ttl_ms = int(ttl * 1000) if ttl else None
 
-    def make(duration: float) -> _Scan:
-        return _Scan(duration, dense, sparse, tol, emb, settle)
+    def make(duration: float) -> FaceScan:
+        return FaceScan(duration, dense, sparse, emb, settle)
 
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_FaceScanner(make, schema.names, keys, whole_files, ttl_ms),
+        statefulProcessor=_FaceScanner(make, tol, (gap, iou, same), schema.names, whole_files, ttl_ms),
         outputStructType=schema,
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
