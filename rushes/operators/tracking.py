@@ -8,6 +8,8 @@ run in parallel.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from fractions import Fraction
 from math import gcd
@@ -18,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rushes.operators.ordered import SLICE, drop_slice, ordered_scan, slice_series
+from rushes.operators.ordered import ROWS_PER_SLICE, SLICE, drop_slice, ordered_scan, slice_series
+from rushes.session import checkpoint_dir
 
 Box = tuple[int, int, int, int]
 
@@ -181,19 +184,193 @@ def track_persons(
     emb: float = 0.5,
     keys: Sequence[str] = ("file_id",),
     order: Sequence[str] = ("t", "idx"),
+    rows_per_slice: int | None = ROWS_PER_SLICE,
+    seconds: float = 600.0,
 ) -> DataFrame:
-    """Add ``person``: a recent overlapping box decides, else the nearest embedding below ``emb``, else a new person."""
+    """Add ``person``: a recent overlapping box decides, else the nearest embedding below ``emb``, else a new person.
+
+    ``order`` names the detections of a file.  Where some file has more than ``rows_per_slice`` of them, files are cut into
+    slices of ``seconds`` that are worked on side by side, see ``_sliced_persons``; the rows are the same.
+    """
+    cols = df.columns
+    keys, order = list(keys), list(order)
+    if rows_per_slice is not None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
+        if not sizes.isEmpty():
+            return _sliced_persons(df, gap, iou, emb, keys, order, max(seconds, gap)).select(*cols, "person")
 
     def make():
         people = _People(gap, iou, emb)
         return lambda t, x, y, w, h, e: people.place(t, (x, y, w, h), e)
 
-    cols = df.columns
     inputs = [order[0], "_x", "_y", "_w", "_h", "embedding"]
     tracked = apply_state(_flat(df), keys, order, make, inputs, "person", T.LongType())
     return tracked.select(*cols, "person")
 
 
+class _LiveBoxes:
+    """Recent boxes in a grid, each with the node that it belongs to."""
+
+    CELL = 64
+
+    def __init__(self, gap: float, iou: float):
+        self.gap, self.iou = gap, iou
+        self.live: deque = deque()
+        self.grid: dict[tuple[int, int], dict[int, tuple]] = {}
+        self.number = 0
+
+    def _cells(self, box: Box):
+        c = self.CELL
+        return [(i, j) for i in range(box[0] // c, (box[0] + box[2]) // c + 1) for j in range(box[1] // c, (box[1] + box[3]) // c + 1)]
+
+    def nodes(self, t: float, box: Box) -> list:
+        """The nodes of the recent boxes that overlap, each once."""
+        while self.live and t - self.live[0][0] > self.gap:
+            _, number, cells = self.live.popleft()
+            for cell in cells:
+                del self.grid[cell][number]
+                if not self.grid[cell]:
+                    del self.grid[cell]
+        met = {}
+        for cell in self._cells(box):
+            met.update(self.grid.get(cell, ()))
+        return list(dict.fromkeys(node for other, node in met.values() if _iou(box, other) >= self.iou))
+
+    def add(self, t: float, box: Box, node) -> None:
+        cells = self._cells(box)
+        for cell in cells:
+            self.grid.setdefault(cell, {})[self.number] = (box, node)
+        self.live.append((t, self.number, cells))
+        self.number += 1
+
+
+_NODE = "struct<t:double,idx:long>"
+
+
+def _sliced_persons(df: DataFrame, gap: float, iou: float, emb: float, keys: list[str], order: list[str], seconds: float) -> DataFrame:
+    """Person tracking with the work of a file spread over slices of time.
+
+    Which person a detection is depends on all before it, but most of that doesn't depend on who they are.  Each slice,
+    which also sees the last ``gap`` seconds before it, groups its detections into nodes: one that overlaps boxes of a
+    single node belongs to it; one that overlaps none is the root of a node, and one that overlaps several a junction that
+    remembers them.  Boxes from before the slice stand for themselves.  For the roots, the nearest of all earlier embeddings
+    is searched in blocks of two slices' vectors.  What is left to do in order is one short row for each root, junction and
+    detection at the end of a slice: a root is the least person of its nearest embeddings or a new one, a junction the
+    least person of its nodes.
+    """
+    t, idx = order[0], order[1]
+    checkpoint_dir(df.sparkSession)
+    own = F.floor(F.col(t) / seconds).cast("long")
+    into_next = F.when((own + 1) * seconds - F.col(t) <= gap, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = _flat(df).withColumns({"_own": own, "_slice": F.explode(into_next)})
+    placed = spread.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice", *order)
+    schema = T.StructType([*placed.schema.fields, *T.StructType.fromDDL(f"_node {_NODE}, _kind string, _nodes array<{_NODE}>").fields])
+
+    def group(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, boxes = None, None
+        for pdf in frames:
+            found, keep = [], []
+            columns = [*keys, "_slice", "_own", t, idx, "_x", "_y", "_w", "_h"]
+            for row in zip(*[pdf[c] for c in columns]):
+                key, (own_slice, at, number, *box) = row[: len(keys) + 1], row[len(keys) + 1 :]
+                if key != current:
+                    current, boxes = key, _LiveBoxes(gap, iou)
+                name, box = (float(at), int(number)), tuple(int(v) for v in box)
+                before = own_slice != key[-1]
+                nodes = [] if before else boxes.nodes(at, box)
+                node = nodes[0] if len(nodes) == 1 else name
+                boxes.add(at, box, node)
+                keep.append(not before)
+                if not before:
+                    found.append((node, "member" if len(nodes) == 1 else "junction" if nodes else "root", nodes if len(nodes) > 1 else None))
+            out = pdf[keep]
+            node, kind, nodes = zip(*found) if found else ((), (), ())
+            named = lambda x: {"t": x[0], "idx": x[1]}
+            yield out.assign(
+                _node=pd.Series([named(x) for x in node], index=out.index, dtype=object), _kind=pd.Series(kind, index=out.index, dtype=object),
+                _nodes=pd.Series([x and [named(y) for y in x] for x in nodes], index=out.index, dtype=object),
+            )
+
+    grouped = placed.mapInPandas(group, schema).checkpoint()
+    name = F.struct(F.col(t).cast("double").alias("t"), F.col(idx).cast("long").alias("idx"))
+    nearest = _nearest_earlier(grouped.withColumn("_name", name), emb, keys)
+    # Members that the next slice may name as boxes before it, and all that starts a node.
+    tail = (F.col("_own") + 1) * seconds - F.col(t) <= gap
+    nodes = grouped.where((F.col("_kind") != "member") | tail).select(*keys, name.alias("_name"), "_node", "_kind", "_nodes")
+    nodes = nodes.join(nearest, [*keys, "_name"], "left").select(*keys, "_name", "_node", "_kind", "_nodes", "_nearest")
+    walked = nodes.repartition(*keys).sortWithinPartitions(*keys, "_name")
+    out_schema = T.StructType([*walked.select(*keys, "_name").schema.fields, T.StructField("person", T.LongType())])
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, person_of, count = None, {}, 0
+        for pdf in frames:
+            out = []
+            for key, (name, node, kind, nodes, near) in zip(zip(*[pdf[k] for k in keys]), zip(*[pdf[c] for c in ("_name", "_node", "_kind", "_nodes", "_nearest")])):
+                if key != current:
+                    current, person_of, count = key, {}, 0
+                here = (name["t"], name["idx"])
+                if kind == "member":
+                    person = person_of[node["t"], node["idx"]]
+                elif kind == "junction":
+                    person = min(person_of[x["t"], x["idx"]] for x in nodes)
+                elif near is not None and len(near):
+                    least = min(x["d"] for x in near)
+                    person = min(person_of[y["t"], y["idx"]] for x in near if x["d"] == least for y in x["nodes"])
+                else:
+                    person, count = count, count + 1
+                person_of[here] = person
+                out.append((*key, name, person))
+            yield pd.DataFrame(out, columns=[*keys, "_name", "person"])
+
+    persons = walked.mapInPandas(walk, out_schema).withColumnRenamed("_name", "_node")
+    return grouped.join(persons, [*keys, "_node"])
+
+
+def _nearest_earlier(grouped: DataFrame, emb: float, keys: list[str], together: int = 8) -> DataFrame:
+    """For every root: ``_nearest``, an entry for each slice with the least distance below ``emb`` to an earlier embedding and its nodes."""
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    vectors = grouped.where(usable).select(*keys, "_own", "_name", "_node", "_kind", F.col("embedding").cast("array<double>").alias("v"))
+    last = vectors.where("_kind = 'root'").groupBy(*keys).agg(F.floor(F.max("_own") / together).alias("_last"))
+    # Roots of ``together`` slices meet one slice of earlier vectors at a time.
+    block = F.floor(F.col("_own") / together)
+    first = vectors.groupBy(*keys).agg(F.min("_own").alias("_first"))
+    roots = vectors.where("_kind = 'root'").join(first, keys).select(
+        *keys, "_name", "v", block.alias("_block"), F.explode(F.sequence("_first", "_own")).alias("_slice"))
+    there = vectors.join(last, keys).where(block <= F.col("_last")).select(
+        *keys, "_name", "_node", "v", F.col("_own").alias("_slice"), F.explode(F.sequence(block, F.col("_last"))).alias("_block"))
+    schema = T.StructType([*vectors.select(*keys, "_name").schema.fields, *T.StructType.fromDDL(f"d double, nodes array<{_NODE}>").fields])
+    cell = [*keys, "_slice", "_block"]
+
+    def unit(column) -> np.ndarray:
+        m = np.stack([np.asarray(v, dtype="float64") for v in column])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.assign(_k=[(x["t"], x["idx"]) for x in right["_of_name"]]).sort_values("_k")
+            m, order_of = unit(right["_ofv"]), right["_k"].tolist()
+            for name, q in zip(left["_name"], unit(left["v"])):
+                n = bisect_left(order_of, (name["t"], name["idx"]))
+                rough = 1.0 - m[:n] @ q
+                if not n or np.isnan(q).any() or not (least := np.nanmin(rough, initial=np.inf)) < emb + 1e-9:
+                    continue
+                # Equal vectors get equal distances whatever their place in the block.
+                at = np.flatnonzero(rough <= least + 1e-9)
+                exact = 1.0 - (m[at] * q).sum(axis=1)
+                least = exact.min()
+                if least < emb:
+                    nodes = {(x["t"], x["idx"]) for x in right["_of_node"].iloc[at[exact == least]]}
+                    out.append((*key[: len(keys)], name, least, [{"t": a, "idx": b} for a, b in nodes]))
+        return pd.DataFrame(out, columns=schema.names)
+
+    # Under other names, as both sides come from one table.
+    there = there.select(*[F.col(c).alias(f"_of{c}") for c in there.columns])
+    found = roots.groupBy(*cell).cogroup(there.groupBy(*[f"_of{c}" for c in cell])).applyInPandas(search, schema)
+    return found.groupBy(*keys, "_name").agg(F.collect_list(F.struct("d", "nodes")).alias("_nearest"))  # one entry for each slice
+
+
 PLAN = "window long, start double, end double, mode string, n_faces long, n_new long, all_known boolean"
 
 

@@ -156,3 +156,28 @@ def test_text_order_numbers_files(spark):
     files = spark.createDataFrame([("b", f"clip/{i:03d}.mov") for i in range(50)], "batch string, file_id string")
     got = number_files(files, ["batch"], ["file_id"], rows_per_slice=10).orderBy("file_id").collect()
     assert [r.file_no for r in got] == list(range(1, 51))
+
+
+def test_persons_of_a_long_file(spark):
+    from rushes.operators import tracking
+    from rushes.plans.bindings import faces
+
+    det = faces(spark, "/root/testdata/sf0.001")
+    for emb in (0.5, 0.8):
+        whole = tracking.track_persons(det, emb=emb, rows_per_slice=None).select("file_id", "idx", "person").collect()
+        sliced = tracking.track_persons(det, emb=emb, rows_per_slice=10, seconds=7.0).select("file_id", "idx", "person").collect()
+        assert sorted(map(tuple, whole)) == sorted(map(tuple, sliced)) and whole
+
+
+def test_live_boxes_find_what_all_pairs_find():
+    import random
+
+    from rushes.operators.tracking import _iou, _LiveBoxes
+
+    rng, live, seen = random.Random(3), _LiveBoxes(2.0, 0.2), []
+    for n in range(400):
+        t, box = n * 0.1, (rng.randint(-50, 400), rng.randint(-50, 300), rng.randint(0, 150), rng.randint(0, 150))
+        want = {m for at, other, m in seen if t - at <= 2.0 and _iou(box, other) >= 0.2}
+        assert set(live.nodes(t, box)) == want
+        live.add(t, box, n)
+        seen.append((t, box, n))
