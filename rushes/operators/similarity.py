@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
+#: What the scores of one product may take, whatever the number of vectors on either side.
+SCORE_BYTES = 32 * 1024 * 1024
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -74,11 +76,14 @@ def nearest_of(
     )
 
     def best(ids: pd.Series, m: np.ndarray, other: np.ndarray, other_ids: np.ndarray) -> pd.DataFrame:
-        scores = m @ other.T
-        scores = np.where(np.isnan(scores), -np.inf, scores)
-        at = scores.argmax(axis=1)
-        top = scores[np.arange(len(ids)), at]
-        out = pd.DataFrame({"big_id": ids.to_numpy(), "small_id": other_ids[at], "similarity": top})
+        at, top = np.zeros(len(m), "int64"), np.full(len(m), -np.inf)
+        step = max(1, SCORE_BYTES // (8 * max(1, len(other))))
+        for i in range(0, len(m) if len(other) else 0, step):
+            scores = m[i : i + step] @ other.T
+            scores[np.isnan(scores)] = -np.inf
+            at[i : i + step] = scores.argmax(axis=1)
+            top[i : i + step] = scores.max(axis=1)
+        out = pd.DataFrame({"big_id": ids.to_numpy(), "small_id": other_ids[at] if len(other) else other_ids[:0], "similarity": top})
         return out[np.isfinite(top)]
 
     if _small_is_broadcastable(s, broadcast_bytes):
@@ -108,6 +113,76 @@ def nearest_of(
     return partial.groupBy("big_id").agg(winner.alias("w")).select("big_id", "w.*").toDF(big_id, small_id, "similarity")
 
 
+class TopK:
+    """The ``k`` best vectors of each query so far, as arrays; products are made in tiles of at most ``budget`` bytes.
+
+    The vectors of a batch are dealt to the nearest of some pivots among them.  By the triangle inequality no vector of a
+    pivot's block is nearer to a query than the pivot less the block's radius, so a block is skipped for every query whose
+    k-th best is better than that.  The result is that of all products; ``products`` of ``pairs`` were made.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, budget: int = SCORE_BYTES, pivots: int = 32):
+        self.queries, self.k, self.budget, self.pivots = np.nan_to_num(queries, nan=0.0), k, budget, pivots
+        self.valid = ~np.isnan(queries).any(axis=1) if len(queries) else np.zeros(0, bool)
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids: np.ndarray | None = None
+        self.products = self.pairs = 0
+
+    def _blocks(self, m: np.ndarray):
+        """Row numbers of each block, in order, and for each query the highest score that it can hold."""
+        n = min(self.pivots, len(m) // 64)
+        if n < 2 or len(self.queries) < 4 * n:
+            yield np.arange(len(m)), np.full(len(self.queries), np.inf)
+            return
+        pivots = m[np.linspace(0, len(m) - 1, n).astype("int64")]
+        nearest = np.empty(len(m), "int64")
+        step = max(1, self.budget // (8 * n))
+        for i in range(0, len(m), step):
+            nearest[i : i + step] = (m[i : i + step] @ pivots.T).argmax(axis=1)
+        for p in range(n):
+            rows = np.flatnonzero(nearest == p)
+            if len(rows):
+                radius = np.sqrt(((m[rows] - pivots[p]) ** 2).sum(axis=1).max())
+                away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (self.queries @ pivots[p])))
+                yield rows, 1.0 - np.maximum(0.0, away - radius) ** 2 / 2 + 1e-9
+
+    def add(self, ids: np.ndarray, m: np.ndarray) -> None:
+        there = ~np.isnan(m).any(axis=1)
+        ids, m = ids[there], m[there]
+        if ids.dtype == object:
+            ids = ids.astype(str)
+        self.ids = np.zeros(self.scores.shape, ids.dtype) if self.ids is None else self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype))
+        for rows, highest in self._blocks(m):
+            open_ = np.flatnonzero(self.valid & (highest >= self.scores[:, -1]))
+            self.pairs += len(rows) * len(self.queries)
+            self.products += len(rows) * len(open_)
+            step = max(1, self.budget // (8 * len(rows)))
+            for i in range(0, len(open_), step):
+                self._merge(open_[i : i + step], ids[rows], m[rows])
+
+    def _merge(self, who: np.ndarray, ids: np.ndarray, m: np.ndarray) -> None:
+        scores = self.queries[who] @ m.T
+        bar = self.scores[who, -1]
+        if m.shape[0] > self.k:
+            bar = np.maximum(bar, np.partition(scores, m.shape[0] - self.k, axis=1)[:, m.shape[0] - self.k])
+        query, row = np.nonzero(scores >= bar[:, None])  # with all ties of the k-th, settled by id below
+        held_q, held_at = np.nonzero(np.isfinite(self.scores[who]))
+        q = np.concatenate([held_q, query])
+        s = np.concatenate([self.scores[who][held_q, held_at], scores[query, row]])
+        x = np.concatenate([self.ids[who][held_q, held_at], ids[row]])
+        order = np.lexsort((x, -s, q))
+        q, s, x = q[order], s[order], x[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        self.scores[who[q[keep]], place[keep]] = s[keep]
+        self.ids[who[q[keep]], place[keep]] = x[keep]
+
+    def rows(self, query_ids: np.ndarray) -> pd.DataFrame:
+        query, at = np.nonzero(np.isfinite(self.scores))
+        found = self.ids[query, at] if self.ids is not None else np.zeros(0, "int64")
+        return pd.DataFrame({"small_id": query_ids[query], "big_id": found, "similarity": self.scores[query, at]})
+
+
 def search(
     queries: DataFrame,
     vectors: DataFrame,
@@ -132,20 +207,6 @@ def search(
         ]
     )
 
-    def merge(best: pd.DataFrame | None, ids: pd.Series, m: np.ndarray, other: np.ndarray, other_ids) -> pd.DataFrame:
-        scores = m @ other.T
-        take = min(k, len(ids))
-        rows = []
-        for j in range(scores.shape[1]):
-            col = np.where(np.isnan(scores[:, j]), -np.inf, scores[:, j])
-            # Everything at or above the k-th score, so that ties are settled by id below.
-            bar = np.partition(col, len(col) - take)[len(col) - take]
-            at = np.flatnonzero((col >= bar) & np.isfinite(col))
-            rows.append(pd.DataFrame({"small_id": other_ids[j], "big_id": ids.to_numpy()[at], "similarity": col[at]}))
-        found = pd.concat([*([best] if best is not None else []), *rows])
-        found = found.sort_values(["small_id", "similarity", "big_id"], ascending=[True, False, True])
-        return found.groupby("small_id", sort=False).head(k)
-
     if _small_is_broadcastable(q, broadcast_bytes):
         local = q.toPandas().sort_values("small_id")
         matrix = _unit(local["embedding"]) if len(local) else np.zeros((0, 1))
@@ -153,12 +214,11 @@ def search(
 
         def per_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             other, other_ids = shared.value
-            best = None
+            best = TopK(other, k)
             for pdf in frames:
                 if len(pdf) and len(other_ids):
-                    best = merge(best, pdf["big_id"], _unit(pdf["embedding"]), other, other_ids)
-            if best is not None:
-                yield best
+                    best.add(pdf["big_id"].to_numpy(), _unit(pdf["embedding"]))
+            yield best.rows(other_ids)
 
         partial = v.mapInPandas(per_task, schema)
     else:
@@ -167,7 +227,9 @@ def search(
         def per_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame(columns=["small_id", "big_id", "similarity"])
-            return merge(None, left["big_id"], _unit(left["embedding"]), _unit(right["embedding"]), right["small_id"].to_numpy())
+            best = TopK(_unit(right["embedding"]), k)
+            best.add(left["big_id"].to_numpy(), _unit(left["embedding"]))
+            return best.rows(right["small_id"].to_numpy())
 
         partial = cv.groupBy("_x", "_y").cogroup(cq.groupBy("_x", "_y")).applyInPandas(per_cell, schema)
 

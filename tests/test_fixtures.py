@@ -359,3 +359,33 @@ def test_plan_reaches_the_end_of_a_file_without_segments(spark):
     segments = spark.createDataFrame([], "file_id string, start double, end double, intensity double")
     times = sorted(r.t for r in timeplans.adaptive_plan(summary, segments).collect())
     assert len(times) == 100 and times[-1] > 980
+
+
+def test_top_k_skips_blocks_and_keeps_the_result():
+    import numpy as np
+
+    from rushes.operators.similarity import TopK
+
+    rng = np.random.default_rng(4)
+
+    def unit(m):
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    centres = unit(rng.normal(size=(12, 24)))
+    m = unit(centres[rng.integers(0, 12, 5000)] + rng.normal(size=(5000, 24)) * 0.02)
+    m[100:120] = m[7]  # ties
+    q = unit(centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 24)) * 0.02)
+    q[0] = m[7]
+    ids = rng.permutation(5000)
+    top = TopK(q, 5, budget=200_000)
+    for i in range(0, 5000, 1250):
+        top.add(ids[i : i + 1250], m[i : i + 1250])
+    scores = np.round(q @ m.T, 12)
+    got = top.rows(np.arange(300))
+    for j in range(300):
+        want = sorted(zip(-scores[j], ids))[:5]
+        own = got[got["small_id"] == j]
+        assert np.allclose(-own["similarity"], [s for s, _ in want], atol=1e-9)
+        if j == 0:
+            assert set(own["big_id"]) <= {int(x) for x in ids[[7, *range(100, 120)]]}
+    assert top.products < 0.6 * top.pairs
