@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rushes.functions.media import near_edge, rms, zcr
-from rushes.operators.ordered import ordered_scan, slice_series
+from rushes.operators.ordered import SLICE, ordered_scan, slice_series
 
 
 def object_summary(tracks: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
@@ -86,6 +86,14 @@ def keyframe_stats(
     df = slice_series(keyframes, keys, order, **slicing)
     stepped = ordered_scan(df, keys, order, nxt={"_next": t})
     gaps = stepped.withColumn("_gap", F.col("_next") - F.col(t))
+    if SLICE not in df.columns:  # each file lies whole in a task by now, so its mean needs no second reading
+        placed = gaps.withColumn("_mean", F.avg("_gap").over(Window.partitionBy(*keys)))
+        near = F.abs(F.col("_gap") - F.col("_mean")) / F.nullif(F.col("_mean"), F.lit(0.0)) < 0.2
+        out = placed.groupBy(*keys).agg(
+            F.first("_mean").alias("_mean"), F.count(F.lit(1)).alias("n_keyframes"), (F.count_if(near) / F.nullif(F.count("_gap"), F.lit(0))).alias("_share")
+        )
+        fixed = F.coalesce((F.col("_mean") != 0) & (F.col("_share") >= 0.8), F.lit(False))
+        return out.select(*keys, "n_keyframes", fixed.alias("is_fixed_interval"), F.round("_mean", 3).alias("avg_interval"))
     mean = gaps.groupBy(*keys).agg(F.avg("_gap").alias("_mean"), F.count(F.lit(1)).alias("n_keyframes"))
     near = F.abs(F.col("_gap") - F.col("_mean")) / F.nullif(F.col("_mean"), F.lit(0.0)) < 0.2
     regular = (
@@ -166,19 +174,23 @@ def mode_bucket(files: DataFrame, keys: Sequence[str], bucket: str = "bucket", o
 
 
 def stage_report(run_events: DataFrame) -> DataFrame:
-    """Times and memory per batch, stage and file in one pass (``rollup``).
+    """Times and memory per batch, stage and file.
 
-    ``level`` is 0 for a file in a stage, 1 for a stage, 3 for a batch, 7 for everything.
+    ``level`` is 0 for a file in a stage, 1 for a stage, 3 for a batch, 7 for everything.  Events are summed up by file
+    first, so that the ``rollup`` multiplies one row per file and not every event.
     """
-    out = run_events.rollup("batch_id", "extractor", "file_id").agg(
+    by_file = run_events.groupBy("batch_id", "extractor", "file_id").agg(
+        F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("n"), F.min("started_at").alias("first"),
+        F.max("started_at").alias("last"), F.max("memory_mb").alias("peak"),
+    )
+    return by_file.rollup("batch_id", "extractor", "file_id").agg(
         F.grouping_id().cast("long").alias("level"),
         F.round(F.sum("seconds"), 2).alias("total_seconds"),
-        F.count(F.lit(1)).alias("n_events"),
-        F.min("started_at").alias("first_started"),
-        F.max("started_at").alias("last_started"),
-        F.max("memory_mb").alias("peak_memory_mb"),
+        F.sum("n").alias("n_events"),
+        F.min("first").alias("first_started"),
+        F.max("last").alias("last_started"),
+        F.max("peak").alias("peak_memory_mb"),
     )
-    return out
 
 
 def stage_timing(run_events: DataFrame) -> DataFrame:

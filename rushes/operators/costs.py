@@ -16,10 +16,6 @@ def _default_rate(stage: Column) -> Column:
     return F.coalesce(F.try_element_at(known, stage), F.lit(1.0))
 
 
-# Rates by stage and bucket that are broadcast.
-BROADCAST_RATES = 100_000
-
-
 def forecast(files: DataFrame, rates: DataFrame) -> DataFrame:
     """Predicted seconds per file and stage.
 
@@ -42,11 +38,10 @@ def forecast(files: DataFrame, rates: DataFrame) -> DataFrame:
         F.coalesce(F.when(stamps > 0, stamps), F.lit(5)).alias("_stamps"),
         F.explode("stages").alias("extractor"),
     )
-    # Several rates of one stage and bucket count by their mean.  Few rates are shipped, since a shuffle on these
-    # keys would put all files of a stage in one task; beyond the limit adaptive execution splits such keys.
+    # Several rates of one stage and bucket count by their mean.  Adaptive execution ships the means where they turn out
+    # small, and splits the files of a stage over tasks where they don't.
     known = rates.groupBy("extractor", "bucket").agg(F.avg("rate").alias("rate"))
-    few = known.limit(BROADCAST_RATES + 1).count() <= BROADCAST_RATES
-    joined = per_stage.join(F.broadcast(known) if few else known, ["extractor", "bucket"], "left")
+    joined = per_stage.join(known, ["extractor", "bucket"], "left")
     rate = F.coalesce("rate", _default_rate(F.col("extractor")))
     units = (
         F.when(F.col("extractor").isin("vad", "transcript"), F.col("duration") / 60.0)

@@ -150,8 +150,8 @@ def sample_every(
         entries = exits.groupBy(*keys).applyInPandas(
             _entries(keys, interval), T.StructType([*head, T.StructField(_ENTRY, T.DoubleType())])
         )
-        # One row per slice; the number of slices is bounded by rows / rows_per_slice.
-        df = df.join(F.broadcast(entries), by, "left")
+        # On the keys by which the rows are dealt out next, so that the join costs no shuffle of its own.
+        df = df.join(entries, by, "left")
     placed = df.repartition(*by).sortWithinPartitions(*by, *order)
     kept = placed.mapInArrow(_greedy(by, t, interval), placed.schema)
     kept = kept.select(*columns)

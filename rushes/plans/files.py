@@ -428,8 +428,9 @@ def audio_gate(spark, sf_dir):
 
 def subtitles(spark, sf_dir):
     """One subtitle text per event, with eight blocks made from its own values; some lack a position or have (0, 0)."""
-    obs = observations(spark, sf_dir)
-    base = F.get_json_object("props", "$.k").cast("int")
+    # A column of its own, so that the document is read once for each row and not in every use.
+    obs = observations(spark, sf_dir).select("idx", F.get_json_object("props", "$.k").cast("int").alias("base"))
+    base = F.col("base")
 
     def block(i):
         k = (base + F.floor(i / 2) * 13) % 100

@@ -226,8 +226,8 @@ SELECT o_orderkey AS file_id FROM orders, (SELECT max(o_orderkey) AS now FROM or
 WHERE NOT (o_orderkey % 5 IN (2, 3) AND now - o_orderkey > 3600)""")
 def drop_expired(spark, sf_dir):
     runs = statuses(spark, sf_dir)
-    now = runs.agg(F.max("completed_at")).first()[0]
-    return sampling.drop_expired(runs, F.lit(now)).select("file_id")
+    now = runs.agg(F.max("completed_at")).scalar()
+    return sampling.drop_expired(runs, now).select("file_id")
 
 
 @query("stage_gate", """
@@ -458,8 +458,8 @@ def enrich(spark, sf_dir):
 
 def gps_points(spark, sf_dir):
     """A coarse walk per file: repeated and invalid positions included."""
-    obs = observations(spark, sf_dir)
-    k = F.get_json_object("props", "$.k").cast("int")
+    obs = observations(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     lat = F.when(F.col("label") == "error", 0.0).otherwise((k % 4 - 2) / 8.0)
     lon = F.when(F.col("label") == "error", 0.0).otherwise((k % 3) / 4.0)
     return obs.select(

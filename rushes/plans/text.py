@@ -280,9 +280,9 @@ def frame_index(spark, sf_dir):
 
 def model_responses(spark, sf_dir):
     """Well-formed and damaged answers built from events."""
-    obs = observations(spark, sf_dir)
-    k = F.get_json_object("props", "$.k")
-    label = F.col("label")
+    # A column of its own, so that the document is read once for each row and not in every use.
+    obs = observations(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k"))
+    k, label = F.col("k"), F.col("label")
     forms = [
         F.format_string('```json\n{"objects": ["%s", {"name": "item %s"}], "action": "a %s", "description": " seen %s ", "change": "new"}\n```', label, k, label, k),
         F.format_string("{'objects': [\"%s\", {'label': 'k%s'}, {\"x\": 1}, 7], 'description': 'value %s', }", label, k, k),
@@ -292,7 +292,7 @@ def model_responses(spark, sf_dir):
         F.format_string('[{"objects": ["%s"], "description": "short"}, {"objects": [{"label": "k%s"}], "description": "a longer text %s"}]', label, k, k),
         F.format_string('{"objects": [], "description**: "bold %s %s"}', label, k),
     ]
-    response = F.element_at(F.array(*forms), (F.col("idx") % 7 + 1).cast("int"))
+    response = F.coalesce(*[F.when(F.col("idx") % 7 == i, form) for i, form in enumerate(forms)])
     return obs.select("file_id", "t", "idx", response.alias("response"))
 
 
