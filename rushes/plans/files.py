@@ -323,6 +323,32 @@ def probes(spark, sf_dir):
         streams.alias("streams"))
 
 
+@query("scan_probe", """
+SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 3 THEN 'unreadable probe document' END AS error, CASE WHEN s_suppkey % 10 <> 3 THEN s_suppkey / 4.0::DOUBLE END AS duration,
+       CASE WHEN s_suppkey % 10 <> 3 THEN (s_suppkey % 7 * 160)::INT END AS width, CASE WHEN s_suppkey % 10 <> 3 AND s_suppkey % 2 = 0 THEN s_name END AS model,
+       CASE WHEN s_suppkey % 10 <> 3 THEN 2 END::INT AS n_streams FROM supplier""")
+def scan_probe(spark, sf_dir):
+    """A probe document for each supplier as a JSON file of its own, every tenth of them cut off, scanned and described."""
+    import uuid
+
+    from rushes.session import checkpoint_dir
+    from rushes.sources.files import scan_probe as scan
+
+    base, k = f"{checkpoint_dir(spark)}/probe-{uuid.uuid4().hex}", F.col("s_suppkey")
+    tags = F.when(k % 2 == 0, F.create_map(F.lit("Model"), F.col("s_name"))).otherwise(F.create_map().cast("map<string,string>"))
+    video = F.struct(F.lit("video").alias("codec_type"), (k % 7 * 160).cast("int").alias("width"), F.lit(90).alias("height"))
+    sound = F.struct(F.lit("audio").alias("codec_type"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+    doc = F.struct(F.struct((k / 4).cast("string").alias("duration"), tags.alias("tags")).alias("format"), F.array(video, sound).alias("streams"))
+    text = F.when(k % 10 == 3, F.substring(F.to_json(doc), 1, 40)).otherwise(F.to_json(doc))
+    table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")).write.partitionBy("s_suppkey").text(base)
+    found = scan(spark, f"{base}/*")
+    good = F.col("error").isNull()
+    return found.select(
+        F.regexp_extract("file_id", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"), "error",
+        F.when(good, F.col("format.duration").cast("double")).alias("duration"), F.when(good, F.get("streams", F.lit(0))["width"]).alias("width"),
+        F.when(good, F.try_element_at("format.tags", F.lit("Model"))).alias("model"), F.when(good, F.size("streams")).alias("n_streams"))
+
+
 @query("base_metadata", """
 SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey / 8.0::DOUBLE ELSE 0 END AS duration,
        CASE WHEN v THEN p_partkey % 5000 ELSE 0 END::INT AS width,

@@ -519,6 +519,52 @@ def gpx(spark, sf_dir):
     return gpx_lines(valid_points(spark, sf_dir)).withColumn("t", F.round("t", 6))
 
 
+@query("gpx_documents", "WITH " + POINTS + """, lines AS (
+  SELECT file_id, 1 AS section, t, '      <trkpt lat="' || latitude || '" lon="' || longitude || '">'
+    || CASE WHEN altitude <> 0 THEN '<ele>' || altitude || '</ele>' ELSE '' END
+    || CASE WHEN idx % 3 > 0 THEN '<time>' || strftime(make_timestamp((1704067200 + idx) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') || '</time>' ELSE '' END || '</trkpt>' AS line
+  FROM valid
+  UNION ALL
+  SELECT DISTINCT file_id, s, NULL, CASE s WHEN 0 THEN '<?xml version="1.0" encoding="UTF-8"?>' || chr(10)
+    || '<gpx version="1.1" creator="rushes">' || chr(10) || '  <trk>' || chr(10) || '    <name>Flight Path</name>' || chr(10) || '    <trkseg>'
+    ELSE '    </trkseg>' || chr(10) || '  </trk>' || chr(10) || '</gpx>' END FROM valid, (SELECT unnest([0, 2]) AS s))
+SELECT file_id, count(*) FILTER (section = 1)::BIGINT AS n_points, count(*) FILTER (line LIKE '%<time>%')::BIGINT AS n_timed, 1::BIGINT AS n_files,
+       md5(string_agg(line || chr(10), '' ORDER BY section, t, line)) AS document_md5 FROM lines GROUP BY file_id""")
+def gpx_documents(spark, sf_dir):
+    """Tracks written as GPX documents and read back; two thirds of the points carry a time."""
+    import uuid
+
+    from rushes.session import checkpoint_dir
+    from rushes.sinks.files import write_gpx
+
+    base = f"{checkpoint_dir(spark)}/gpx-{uuid.uuid4().hex}"
+    stamp = F.timestamp_seconds(F.lit(1704067200) + F.col("idx")).cast("timestamp_ntz")
+    write_gpx(valid_points(spark, sf_dir).withColumn("recorded_at", F.when(F.col("idx") % 3 > 0, stamp)), base)
+    docs = spark.read.text(base, wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
+    count = lambda word: F.size(F.split("value", word)).cast("long") - 1
+    read = docs.select(F.col("file_id").cast("long").alias("file_id"), count("<trkpt").alias("n_points"), count("<time>").alias("n_timed"), F.md5("value").alias("document_md5"))
+    return read.groupBy("file_id").agg(F.max("n_points").alias("n_points"), F.max("n_timed").alias("n_timed"), F.count("*").alias("n_files"), F.max("document_md5").alias("document_md5"))
+
+
+@query("rate_history", "WITH " + RATES + """, samples AS (
+  SELECT extractor, bucket, rate, started_at, row_number() OVER (
+    PARTITION BY extractor, bucket ORDER BY started_at DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS r FROM rates)
+SELECT extractor, bucket, round(rate, 6) AS rate, started_at::BIGINT AS started_at FROM samples WHERE r <= 20""")
+def rate_history(spark, sf_dir):
+    """Rate samples saved in four goes, one stage alone in the last, and the history that is kept."""
+    import uuid
+
+    from rushes.session import checkpoint_dir
+    from rushes.sinks.files import load_rates, save_rates
+
+    path = f"{checkpoint_dir(spark)}/rates-{uuid.uuid4().hex}"
+    rates = rate_samples(spark, sf_dir)
+    early, alone = F.col("started_at") % 3, (F.col("extractor") == "vad") & (F.col("started_at") % 3 == 2)
+    for part in (rates.where(early == 0), rates.where(early == 1), rates.where((early == 2) & ~alone), rates.where(alone)):
+        save_rates(part, path)
+    return load_rates(spark, path).select("extractor", "bucket", F.round("rate", 6).alias("rate"), F.col("started_at").cast("long").alias("started_at"))
+
+
 def result_documents(spark, sf_dir):
     """One document per file: a metadata struct and nested detections and transcript-like rows."""
     from rushes.operators.segments import run_segments

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rushes.operators.aggregates import last_rates
 from rushes.operators.ordered import ordered_scan, slice_series
+from rushes.session import checkpoint_dir
 
 
 def nest(
@@ -98,19 +99,32 @@ def gpx_lines(points: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFram
 
 
 def write_gpx(points: DataFrame, path: str, partitions: int | None = None) -> None:
-    """One directory per file; its part files in name order are the GPX document.
+    """One directory per file with its GPX document: points in order of time, of equal times by their text.
 
-    Lines are ranged over tasks by file and time, so a file of any length is written in parallel.
+    Without ``partitions`` each directory holds one text file, a whole document: the lines of a file go to one task, which
+    sorts them on disk and writes them as they come.  With ``partitions``, lines are ranged over so many tasks by file and
+    time, so that a file of any length is written in parallel; its part files in name order are the document.
     """
     lines = gpx_lines(points)
-    order = ["file_id", "section", "t"]
-    ranged = lines.repartitionByRange(partitions, *order) if partitions else lines.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).select("file_id", "line").write.mode("overwrite").partitionBy("file_id").text(path)
+    order = ["file_id", "section", "t", "line"]
+    placed = lines.repartitionByRange(partitions, *order) if partitions else lines.repartition("file_id")
+    placed.sortWithinPartitions(*order).select("file_id", "line").write.mode("overwrite").partitionBy("file_id").text(path)
 
 
-def save_rates(rates: DataFrame, path: str) -> None:
-    """Append rate samples; the limit of samples per key is applied on reading."""
-    rates.select("extractor", "bucket", "rate", "started_at", "idx").write.mode("append").partitionBy("extractor").parquet(path)
+def save_rates(rates: DataFrame, path: str, n: int = 20) -> None:
+    """Add rate samples to a history that keeps the last ``n`` of each extractor and bucket, whatever was ever added.
+
+    The old samples of the extractors that have new ones are read, merged and written over; others aren't touched.
+    """
+    spark = rates.sparkSession
+    new = rates.select("extractor", "bucket", "rate", "started_at", "idx")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        old = spark.read.schema(new.schema).parquet(path)
+        new = old.join(new.select("extractor").distinct(), "extractor", "left_semi").select(*new.columns).unionByName(new)
+    checkpoint_dir(spark)
+    kept = last_rates(new, n).select(*new.columns).checkpoint()  # before the files that it reads are replaced
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("extractor").parquet(path)
 
 
 def load_rates(spark: SparkSession, path: str, n: int = 20) -> DataFrame:

@@ -229,3 +229,24 @@ def test_described_files(spark, tmp_path):
     assert (out["/t/f.mp4"].rule, out["/t/f.mp4"].gps.longitude) == ("tesla", 2.5)
     bare = {r.file_id: r for r in describe_files(docs).collect()}
     assert bare["/m/DJI_1.mp4"].color_space.transfer == "D-Log" and bare["/t/f.mp4"].rule == "generic"
+
+
+def test_gpx_documents_are_xml(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    rows = [("f", float(t), 1.5, 2.5, 3.0) for t in range(40)] + [("g", 0.0, 1.0, 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "file_id string, t double, latitude double, longitude double, altitude double")
+    sinks.write_gpx(df.withColumn("recorded_at", F.lit("2024-01-02 03:04:05.678").cast("timestamp_ntz")).repartition(5), str(tmp_path / "out"))
+    for name, n in (("f", 40), ("g", 1)):
+        (doc,) = (tmp_path / "out" / f"file_id={name}").glob("part-*")
+        assert len(ET.parse(doc).getroot().findall("trk/trkseg/trkpt")) == n
+
+
+def test_rate_history_does_not_grow(spark, tmp_path):
+    path = str(tmp_path / "r")
+    schema = "extractor string, bucket string, rate double, started_at double, idx long"
+    for start in range(0, 120, 30):
+        sinks.save_rates(spark.createDataFrame([("vad", "4k", float(i), float(i), i) for i in range(start, start + 30)], schema), path)
+    sinks.save_rates(spark.createDataFrame([("ocr", "4k", 1.0, 1.0, 1)], schema), path)
+    assert spark.read.parquet(path).count() == 21
+    assert sorted(r.rate for r in sinks.load_rates(spark, path).collect()) == [1.0, *map(float, range(100, 120))]
