@@ -323,6 +323,58 @@ def probes(spark, sf_dir):
         streams.alias("streams"))
 
 
+@query("describe_files", """
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'dji' WHEN 1 THEN 'sony' WHEN 2 THEN 'canon' WHEN 3 THEN 'tesla' WHEN 4 THEN 'sony' ELSE 'generic' END AS rule,
+       CASE p_partkey % 6 WHEN 0 THEN 'DJI' WHEN 1 THEN 'Sony' WHEN 2 THEN 'Canon' WHEN 3 THEN 'Tesla' WHEN 4 THEN 'Sony' END AS make,
+       CASE p_partkey % 6 WHEN 1 THEN 'A' || p_size WHEN 2 THEN 'C' || p_size WHEN 3 THEN 'Dashcam' WHEN 4 THEN 'EX' || p_size END AS model,
+       CASE p_partkey % 6 WHEN 0 THEN 10 + p_size / 8.0::DOUBLE WHEN 3 THEN p_size + 0.5::DOUBLE END AS latitude,
+       CASE p_partkey % 6 WHEN 0 THEN 20 + p_size / 4.0::DOUBLE WHEN 3 THEN -1.25::DOUBLE END AS longitude,
+       CASE p_partkey % 6 WHEN 0 THEN 100.5::DOUBLE END AS altitude,
+       CASE p_partkey % 6 WHEN 0 THEN 'd_log' WHEN 1 THEN 's-log3' END AS transfer, CASE p_partkey % 6 WHEN 1 THEN 'look.cube' END AS lut_file,
+       CASE p_partkey % 6 WHEN 0 THEN 24.0::DOUBLE WHEN 1 THEN 35.0::DOUBLE END AS focal_length, CASE p_partkey % 6 WHEN 0 THEN 2.8::DOUBLE WHEN 1 THEN 4.0::DOUBLE END AS aperture,
+       CASE p_partkey % 6 WHEN 4 THEN 'XT14' END AS lens_model, CASE p_partkey % 6 WHEN 0 THEN 2 ELSE 0 END::BIGINT AS n_track_points,
+       CASE WHEN p_partkey % 4 = 0 THEN '2020-01-02' WHEN p_partkey % 6 = 2 THEN '2023-05-15' END AS created_on,
+       p_size / 2.0::DOUBLE AS duration, 1920::INT AS width, 1080::INT AS height FROM part""")
+def describe_files(spark, sf_dir):
+    """The whole metadata path: probes with drone subtitles, two makers' sidecars, dashcam events and embedded documents."""
+    from rushes.operators.describe import describe_files as describe
+
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind, folder = k % 6, F.format_string("/%s/%d", F.when(k % 6 == 3, "t").otherwise("m"), k)
+    stem = F.format_string("c%d", k)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", kind.alias("kind"), folder.alias("dir"), stem.alias("stem"))
+    embedded = F.format_string('<Device manufacturer="Sony" modelName="EX%d"/><Lens modelName="XT14"/>', size)
+    none = F.create_map().cast("map<string,string>")
+    tags = F.map_concat(
+        F.when(F.col("kind") == 4, F.create_map(F.lit("com.sony.bprl.mxf.nrtmetadata"), embedded)).otherwise(none),
+        F.when(k % 4 == 0, F.create_map(F.lit("Creation_Time"), F.lit("2020-01-02T03:04:05Z"))).otherwise(none))
+    video = probes(spark, sf_dir).schema["streams"].dataType.elementType
+    given = {"codec_type": F.lit("video"), "codec_name": F.lit("h264"), "width": F.lit(1920), "height": F.lit(1080)}
+    stream = F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in video.fields])
+    probe = parts.select(
+        F.concat("dir", F.lit("/"), "stem", F.lit(".mp4")).alias("file_id"),
+        F.struct((size / 2).cast("string").alias("duration"), F.lit(None).cast("string").alias("bit_rate"), tags.alias("tags")).alias("format"),
+        F.array(stream).alias("streams"))
+    head = "[iso: 100] [shutter: 1/50.0] [fnum: 2.8] [color_md : d_log] [focal_len: 24.00]"
+    block = "%d\n00:00:0%d,000 --> x\n" + head + "\n[latitude: %.3f] [longitude: %.3f]\n[rel_alt: 1.5 abs_alt: 100.5]"
+    spot = lambda n: F.format_string(block, F.lit(n), F.lit(n), 10 + (size + n) / 8.0, 20 + size / 4.0)
+    drones = parts.where("kind = 0")
+    texts = drones.select(F.col("p_partkey").alias("file_id"), F.concat_ws("\n\n", spot(0), spot(1)).alias("text"))
+    srt = metadata.srt_summary(texts).join(drones.select(k.alias("file_id"), "dir", "stem"), "file_id").drop("file_id")
+    sony_text = F.format_string(
+        '<N><Device manufacturer="Sony" modelName="A%d"/><RelatedTo rel="LUT" file="look.cube"/><Item name="CaptureGammaEquation" value="s-log3"/>'
+        '<Item name="FocalLength" value="35.0"/><Item name="FNumber" value="4.0"/></N>', size)
+    sony = parts.where("kind = 1").select("dir", "stem", F.lit(0).alias("priority"), tg.parse_sony_xml(sony_text).alias("_x")).select("dir", "stem", "priority", "_x.*")
+    canon_text = F.format_string("<V xmlns='http://www.canon.com/ns'><Device><Manufacturer>Canon</Manufacturer><ModelName>C%d</ModelName></Device><Date>2023-05-15</Date></V>", size)
+    canon = parts.where("kind = 2").select("dir", "stem", F.lit(0).alias("priority"), tg.parse_canon_xml(canon_text).alias("_x")).select("dir", "stem", "priority", "_x.*")
+    seen = parts.where("kind = 3").select("dir", (size + 0.5).cast("string").alias("est_lat"), F.lit("-1.25").alias("est_lon"), F.lit("honk").alias("reason"))
+    out = describe(probe, srt, sony, canon, event_positions(seen))
+    return out.select(
+        F.regexp_extract("file_id", r"c(\d+)\.mp4", 1).cast("long").alias("p_partkey"), "rule", "make", "model", "gps.latitude", "gps.longitude", "gps.altitude",
+        "color_space.transfer", "lut_file", "focal_length", "aperture", "lens_model", "n_track_points",
+        F.date_format("created_at", "yyyy-MM-dd").alias("created_on"), "duration", "width", "height")
+
+
 @query("scan_probe", """
 SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 3 THEN 'unreadable probe document' END AS error, CASE WHEN s_suppkey % 10 <> 3 THEN s_suppkey / 4.0::DOUBLE END AS duration,
        CASE WHEN s_suppkey % 10 <> 3 THEN (s_suppkey % 7 * 160)::INT END AS width, CASE WHEN s_suppkey % 10 <> 3 AND s_suppkey % 2 = 0 THEN s_name END AS model,
