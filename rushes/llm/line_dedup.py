@@ -78,8 +78,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, whole: bool = False) -> Dat
     """``docs`` with shortened ``text``, and new columns ``n_lines`` and ``n_removed``.
 
     A line goes if it lies in a run of consecutive lines, blank ones apart, of at least ``min_chars`` characters that
-    occurs earlier: in a smaller doc_id (null first), or further up in the same text.  Without ``whole``, as in the SQL of
-    ``op8_line_dedup``, last lines of such a run stay if no window from a line on covers them.  Everything else stays, blank
+    occurs earlier: in a smaller doc_id (null first), or further up in the same text.  Without ``whole``, last lines of such
+    a run stay if no window from a line on covers them.  Everything else stays, blank
     lines included.  Null and empty texts stay as they are, with 0 lines.  Rows that repeat both doc_id and text
     count as one and get equal results; texts that share a doc_id are ordered by their hash.  Other columns pass
     through; ``docs`` must not have ``n_lines``, ``n_removed`` or names that begin with ``_dedup_``.  An empty table

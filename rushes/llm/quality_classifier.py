@@ -190,7 +190,7 @@ def _train(epochs: int):
                 g = (1 / (1 + math.exp(-z)) - p) * x + 1e-4 * weights[s]
                 seen[s] += g * g
                 weights[s] -= 0.3 * g / np.sqrt(seen[s])
-        yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64()))], names=["weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64())), pa.array([len(rows)], pa.int64())], names=["weights", "n"])
 
     return run
 
@@ -204,9 +204,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = 5) -> tuple[dict[in
     known = spark.sparkContext.broadcast(good)
     share = min(1.0, sample / max(sum(counts.values()), 1))
     key = F.xxhash64(F.col("doc_id").cast("long"), text_key())
-    chosen = docs.where(F.pmod(key, F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    # Millionths of the hashes, and of the next millionth its share by another hash, so that any share is kept.
+    whole, part, slot = int(share * 1e6), share * 1e6 % 1, F.pmod(key, F.lit(1_000_000))
+    within = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40)) < int(part * (1 << 40))
+    chosen = docs.where((slot < whole) | ((slot == whole) & within)).select("text")
     few = chosen.mapInArrow(_examples(known), "slots array<int>, x array<float>, p double")
-    found = few.repartition(1).sortWithinPartitions("p", F.xxhash64("slots", "x")).mapInArrow(_train(epochs), "weights array<double>").first()
+    found = few.repartition(1).sortWithinPartitions("p", F.xxhash64("slots", "x")).mapInArrow(_train(epochs), "weights array<double>, n long").first()
+    if counts and not (found and found["n"]):
+        raise RuntimeError("no document fell into the training sample; ask for a larger one")
     return good, np.array(found["weights"]) if found else np.zeros(SLOTS + 1)
 
 
@@ -215,7 +220,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
 
     Null and empty texts get the posterior of their one bad vote and are scored like any other.  Texts are judged alone,
     so repeated rows get equal results.  All columns of ``docs`` pass through; they must not have the three new names.
-    An empty table gives no rows.
+    An empty table gives no rows.  A sample into which no document falls is an error.
     """
     good, weights = fit(docs, sample)
     sc = docs.sparkSession.sparkContext
@@ -237,5 +242,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
 
 
 def drop_low_quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without what the classifier rejects; its columns stay as they are."""
+    """``docs`` without what the classifier rejects; all columns stay as they are, but may not be those that ``classify`` adds.
+
+    Null and empty texts are judged like any other, repeated rows alike; an empty table stays empty.
+    """
     return classify(docs, sample, threshold).where("kept").select(*docs.columns)

@@ -49,7 +49,7 @@ FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op8_line_dedup(spark, sf_dir):
-    return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
 
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
@@ -57,9 +57,11 @@ SQL["op8_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, no, line, length(line) AS size FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
     WHERE trim(line) <> ''),
-  p AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY no) - size AS start FROM l),
+  p AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY no) - size AS start, sum(size) OVER (PARTITION BY doc_id ORDER BY no) AS stop FROM l),
   w AS (SELECT doc_id, no, max(no) OVER a AS last_no, sum(size) OVER a AS held, list(md5(line)) OVER a AS lines FROM p
-    WINDOW a AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING)),
+    WINDOW a AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING)
+    UNION SELECT doc_id, min(no) OVER b, no, sum(size) OVER b, list(md5(line)) OVER b FROM p
+    WINDOW b AS (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 39 PRECEDING AND CURRENT ROW)),
   later AS (SELECT doc_id, no, last_no FROM (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, no) AS r FROM w WHERE held >= 40) WHERE r > 1),
   gone AS (SELECT DISTINCT doc_id, unnest(range(no, last_no + 1)) AS no FROM later),
   rest AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text FROM (
@@ -229,7 +231,10 @@ WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(l
     FROM src WHERE kind <> 0),
   num AS (SELECT *, left(role, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS p,
       row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
-      NOT regexp_matches(text, '[^ 	-]') AS blank, regexp_matches(text, '[^.!? 	-][ 	-]*\z') AS cut FROM dam),
+      NOT regexp_matches(text, '[^ 	-
+]') AS blank, regexp_matches(text, '[^.!? 	-
+][ 	-
+]*\z') AS cut FROM dam),
   flt AS (SELECT *, blank OR again AS gone, CASE WHEN cut AND NOT again THEN 5 ELSE 0 END AS more, lag(c) OVER (PARTITION BY conv_id ORDER BY p) || c AS pair FROM num),
   st AS (SELECT DISTINCT conv_id, 0::BIGINT AS p, '0000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM flt
     UNION ALL SELECT conv_id, p, {_add('s0', 2, 'D')},

@@ -291,3 +291,13 @@ def test_ropes_compare_as_strings():
         assert (rope(a) < rope(b)) == (a < b)
     assert str(EMPTY + rope(texts[0])) == texts[0]
     assert finish([(0, EMPTY), None, None, None])[0] == 0 and INSERTIONS[3][0] == 10
+
+
+# --- quality classifier ---------------------------------------------------------------------------------------------------
+def test_a_sample_without_documents_is_an_error(spark):
+    from rushes.llm.quality_classifier import classify
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    with pytest.raises(RuntimeError, match="training sample"):
+        classify(docs, sample=1e-7)
+    assert classify(docs, sample=3).count() == docs.count()  # three in two hundred, however it falls
