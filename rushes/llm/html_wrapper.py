@@ -17,7 +17,6 @@ sidebars, notices, adverts, forms and comments inside it don't count.  Pages are
 from __future__ import annotations
 
 import json
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rushes.llm.common import written
-from rushes.llm.html_tree import Node, parse
+from rushes.llm.html_tree import Node, is_noise, parse
 
 SALTS = 16
 BROADCAST = 32 << 20
 MOST = 0.6
 
-# Elements, and words in classes, ids and roles, of what is not main text.
-NOISE_TAGS = frozenset("nav header footer aside form menu dialog button select fieldset iframe object canvas svg audio video map".split())
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies "
-    "copyright disclaimer disqus feedback footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices "
-    "notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar widget widgets".split()
-)
 #: Blocks that hold a paragraph or list, not an article.
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote tr td th thead tbody figure figcaption center".split())
-_SPLIT = re.compile(r"[^a-z]+")
-
-
-def is_noise(label: str) -> bool:
-    tag, _, rest = label.partition(".")
-    return tag in NOISE_TAGS or any(w in NOISE_WORDS for w in _SPLIT.split(rest))
 
 
 def is_main(label: str, tag: str) -> bool:

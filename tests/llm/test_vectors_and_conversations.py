@@ -301,3 +301,16 @@ def test_a_sample_without_documents_is_an_error(spark):
     with pytest.raises(RuntimeError, match="training sample"):
         classify(docs, sample=1e-7)
     assert classify(docs, sample=3).count() == docs.count()  # three in two hundred, however it falls
+
+
+# --- pages ----------------------------------------------------------------------------------------------------------------
+def test_pages_of_any_depth_and_inline_noise(spark):
+    from rushes.llm.html_wrapper import extract, extract_pages
+
+    assert extract("<article><p>text</p><div class='share-price'>Stock</div><div class='share-bar'>Tweet</div></article>") == "text Stock"
+    assert extract("<div class='comment-free'><p>Hello there all.</p></div>") == "Hello there all."
+    assert extract("<article><p>a <span class='ad'>BUY <b>now</b></span>b</p><p>c <span class=ad>open</p><p>d</p></article>") == "a b c d"
+    deep = "<div>" * 100_000 + "deep text" + "</div>" * 100_000
+    rows = [(1, "http://h/1", deep), (2, "http://h/2", "<article><p>plain</p></article>"), (3, "http://h/3", "<p>" + "word " * 4_000_000 + "</p>")]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[1], got[2], len(got[3])) == ("deep text", "plain", 19_999_999)
