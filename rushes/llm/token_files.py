@@ -97,16 +97,17 @@ _SPECIAL = "<|"
 class WordEncoder:
     """Whole texts encoded word by word, for a tokenizer that lower-cases, drops white space and ends each word alone.
 
-    Words between spaces don't depend on each other, so each distinct one is encoded once and kept, ``limit`` at most.
+    Words between spaces don't depend on each other, so each distinct one is encoded once and kept, in two generations of
+    ``limit`` words each; a word that is met again moves to the newer one.
     New words of letters go to the tokenizer many at a time; the ids that end a word tell them apart again.  Whether the
     tokenizer is of that kind is tried on loading; texts of any other are handed to it whole.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -155,10 +156,12 @@ class WordEncoder:
         words = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) > self.limit:
-            self.known = {}
+            self.known, self.older = {}, self.known
         self.known.setdefault("", b"")
         names = [w.lstrip(" \n") for w in distinct]
-        self._learn([w for w in dict.fromkeys(names) if w not in self.known])
+        new = [w for w in dict.fromkeys(names) if w not in self.known]
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        self._learn([w for w in new if w not in self.older])
         spelt = [self.known[w] for w in names]
         sizes = np.array([len(x) for x in spelt], np.int64) >> 2
         ids, code = np.frombuffer(b"".join(spelt), np.int32), words.indices.to_numpy().astype(np.int64)
