@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rushes.functions import tables
-from rushes.functions.arrays import cosine_distance
 from rushes.functions.media import box_iou, media_type
 from rushes.operators.ordered import drop_slice, ordered_scan, slice_series
+from rushes.operators.similarity import SCORE_BYTES, unit_rows
 
 
 def _bucket(t: Column, width: float) -> Column:
@@ -151,18 +154,35 @@ def split_reusable(
 
 
 def match_known(
-    det: DataFrame, known: DataFrame, thr: float = 0.5, keys: Sequence[str] = ("file_id",)
+    det: DataFrame, known: DataFrame, thr: float = 0.5, keys: Sequence[str] = ("file_id",), block_rows: int = 20_000
 ) -> DataFrame:
     """Detections with an embedding, flagged ``is_known`` when some known embedding of their series is nearer than ``thr``.
 
-    The comparison sits inside the join condition of a semi join, so no pair is ever produced.
+    Both tables are read once, besides a count of rows by series: a series of many detections is dealt to blocks of about
+    ``block_rows``, each of which meets the known embeddings of its series in products of bounded bytes.
     """
-    a = det.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).alias("a")
-    b = known.filter(F.size("embedding") > 0).select(*keys, "embedding").alias("b")
-    on = _same("a", "b", keys) & (cosine_distance("a.embedding", "b.embedding") < thr)
-    hit = a.join(b, on, "left_semi").withColumn("is_known", F.lit(True))
-    miss = a.join(b, on, "left_anti").withColumn("is_known", F.lit(False))
-    return hit.unionByName(miss)
+    keys = list(keys)
+    a = det.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    blocks = a.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_blocks"))
+    left = a.join(blocks, keys).withColumn("_block", F.pmod(F.xxhash64(*[c for c in a.columns if c not in keys]), F.col("_blocks"))).drop("_blocks")
+    right = known.filter(F.size("embedding") > 0).select(*keys, "embedding").join(blocks, keys)
+    right = right.select(*[F.col(k).alias(f"_known_{k}") for k in keys], F.col("embedding").alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_with"))
+    schema = T.StructType([*a.schema.fields, T.StructField("is_known", T.BooleanType())])
+
+    def flag(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        mine = mine.drop(columns="_block")
+        if not len(mine):
+            return mine.assign(is_known=pd.Series(dtype=bool))
+        hit = np.zeros(len(mine), bool)
+        if len(theirs):
+            m, other = unit_rows(mine["embedding"]), unit_rows(theirs["_v"])
+            step = max(1, SCORE_BYTES // (8 * len(other)))
+            for i in range(0, len(m), step):
+                hit[i : i + step] = (1.0 - m[i : i + step] @ other.T < thr).any(axis=1)
+        return mine.assign(is_known=hit)
+
+    grouped = left.groupBy(*keys, "_block").cogroup(right.groupBy(*[f"_known_{k}" for k in keys], "_with"))
+    return grouped.applyInPandas(flag, schema)
 
 
 def all_known(matched: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:

@@ -21,7 +21,7 @@ BLOCK_ROWS = 20_000
 SCORE_BYTES = 32 * 1024 * 1024
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def unit_rows(vectors: pd.Series) -> np.ndarray:
     """Rows scaled to length one; a zero vector becomes NaN and matches nothing."""
     m = np.stack([np.asarray(v, dtype="float64") for v in vectors])
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -90,13 +90,13 @@ def nearest_of(
         local = s.toPandas().sort_values("small_id")
         if local.empty:
             return big.sparkSession.createDataFrame([], schema).toDF(big_id, small_id, "similarity")
-        shared = big.sparkSession.sparkContext.broadcast((_unit(local["embedding"]), local["small_id"].to_numpy()))
+        shared = big.sparkSession.sparkContext.broadcast((unit_rows(local["embedding"]), local["small_id"].to_numpy()))
 
         def per_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             other, other_ids = shared.value
             for pdf in frames:
                 if len(pdf):
-                    yield best(pdf["big_id"], _unit(pdf["embedding"]), other, other_ids)
+                    yield best(pdf["big_id"], unit_rows(pdf["embedding"]), other, other_ids)
 
         return b.mapInPandas(per_batch, schema).toDF(big_id, small_id, "similarity")
 
@@ -106,7 +106,7 @@ def nearest_of(
         if left.empty or right.empty:
             return pd.DataFrame(columns=["big_id", "small_id", "similarity"])
         right = right.sort_values("small_id")
-        return best(left["big_id"], _unit(left["embedding"]), _unit(right["embedding"]), right["small_id"].to_numpy())
+        return best(left["big_id"], unit_rows(left["embedding"]), unit_rows(right["embedding"]), right["small_id"].to_numpy())
 
     partial = cb.groupBy("_x", "_y").cogroup(cs.groupBy("_x", "_y")).applyInPandas(per_cell, schema)
     winner = F.min_by(F.struct("small_id", "similarity"), F.struct((-F.col("similarity")), F.col("small_id")))
@@ -209,7 +209,7 @@ def search(
 
     if _small_is_broadcastable(q, broadcast_bytes):
         local = q.toPandas().sort_values("small_id")
-        matrix = _unit(local["embedding"]) if len(local) else np.zeros((0, 1))
+        matrix = unit_rows(local["embedding"]) if len(local) else np.zeros((0, 1))
         shared = vectors.sparkSession.sparkContext.broadcast((matrix, local["small_id"].to_numpy()))
 
         def per_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +217,7 @@ def search(
             best = TopK(other, k)
             for pdf in frames:
                 if len(pdf) and len(other_ids):
-                    best.add(pdf["big_id"].to_numpy(), _unit(pdf["embedding"]))
+                    best.add(pdf["big_id"].to_numpy(), unit_rows(pdf["embedding"]))
             yield best.rows(other_ids)
 
         partial = v.mapInPandas(per_task, schema)
@@ -227,8 +227,8 @@ def search(
         def per_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame(columns=["small_id", "big_id", "similarity"])
-            best = TopK(_unit(right["embedding"]), k)
-            best.add(left["big_id"].to_numpy(), _unit(left["embedding"]))
+            best = TopK(unit_rows(right["embedding"]), k)
+            best.add(left["big_id"].to_numpy(), unit_rows(left["embedding"]))
             return best.rows(right["small_id"].to_numpy())
 
         partial = cv.groupBy("_x", "_y").cogroup(cq.groupBy("_x", "_y")).applyInPandas(per_cell, schema)

@@ -45,9 +45,7 @@ def box_functions(spark, sf_dir):
 
 
 @query("polygon_to_box", "WITH " + DETS + """
-SELECT idx, x::INT AS x, (y + 0.25)::INT AS y, (x + w + 0.75 - x)::DOUBLE::BIGINT::INT - 1 AS width,
-       trunc(y + h + 0.5 - y)::INT AS height FROM dets""".replace(
-    "(x + w + 0.75 - x)::DOUBLE::BIGINT::INT - 1", "trunc(w + 0.75)::INT").replace("(y + 0.25)::INT", "trunc(y + 0.25)::INT"))
+SELECT idx, x::INT AS x, trunc(y + 0.25)::INT AS y, trunc(w + 0.75)::INT AS width, trunc(y + h + 0.5 - y)::INT AS height FROM dets""")
 def polygon_to_box(spark, sf_dir):
     det = detections(spark, sf_dir).select("idx", "bbox.*")
     x, y, w, h = F.col("x"), F.col("y"), F.col("width"), F.col("height")
@@ -233,11 +231,9 @@ def plan_face_scan(spark, sf_dir):
 
 @query("text_frames", "WITH " + DETS + """, frames AS (
   SELECT file_id, floor(t)::BIGINT AS t, count(*)::BIGINT AS n_regions,
-         count(*) FILTER (w::DOUBLE / h BETWEEN 0.2 AND 15 AND w * h BETWEEN 100 AND 15000 * 2 - 10000)::BIGINT AS n_text_like
-  FROM (SELECT file_id, t, w * 2 AS w, h * (idx % 3) AS h FROM dets) WHERE h <> 0 OR true GROUP BY ALL)
-SELECT * , n_regions >= 3 AND n_text_like >= 3 AS has_text FROM frames""".replace(
-    "w::DOUBLE / h BETWEEN", "h <> 0 AND w::DOUBLE / h BETWEEN").replace(
-    "15000 * 2 - 10000", "50000").replace(" WHERE h <> 0 OR true", ""))
+         count(*) FILTER (h <> 0 AND w::DOUBLE / h BETWEEN 0.2 AND 15 AND w * h BETWEEN 100 AND 50000)::BIGINT AS n_text_like
+  FROM (SELECT file_id, t, w * 2 AS w, h * (idx % 3) AS h FROM dets) GROUP BY ALL)
+SELECT *, n_regions >= 3 AND n_text_like >= 3 AS has_text FROM frames""")
 def text_frames(spark, sf_dir):
     return media.text_frames(regions(spark, sf_dir))
 
