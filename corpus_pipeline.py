@@ -1,7 +1,8 @@
 """From documents to token ids: quality, repeated lines, near copies, benchmark passages, encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is
-written as Parquet and read back as the next one's docs.  All but the last return the columns of documents.
+written as Parquet and read back as the next one's docs.  All but the last return the columns of documents.  Further columns
+pass through all but the last, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,27 +18,30 @@ from rushes.llm.sentencepiece_fst import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; null and empty texts are judged like any other, repeated rows alike."""
     return drop_low_quality(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand in earlier ones."""
+    """Documents without runs of lines that stand in earlier ones, null doc_ids first.
+
+    Null and empty texts stay; documents of which only blank lines are left go, and so do later exact copies.
+    """
     return drop_repeated_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one with the least doc_id; null and empty texts are one group."""
     return drop_near_duplicates(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark; texts without words stay, and all do if the benchmark is empty."""
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document that is left."""
+    """Piece ids of every document that is left; null and empty texts have none."""
     return encode(docs.select("doc_id", "text"))
 
 

@@ -64,7 +64,11 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text") -> Dat
 
 
 def decode(tokens: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
-    """``tokens`` with the text of its ids as ``text`` in place of the ids; null ids give null."""
+    """``tokens`` with the text of its ids as ``text`` in place of the ids.
+
+    Null ids give null, no ids the empty text; rows are decoded alone, so repeated rows get equal texts.  Other columns pass
+    through and must not be named ``text``.  An empty table gives no rows.
+    """
     path = model or default_model()
     rest = [c for c in tokens.columns if c != ids]
 

@@ -310,7 +310,11 @@ def read_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
 
 
 def token_documents(docs: DataFrame, tokenizer: str | None = None, end: int = 1, out: str | None = None) -> DataFrame:
-    """Write the files and read every document's place, length and checksum back from them."""
+    """Write the files and read every document's place, length and checksum back from them.
+
+    Rows: doc_id, text_key, start, n_tokens, ids_crc32, one for each row of ``docs``, repeated ones included.  A null or empty
+    text has one id, the end; null doc_ids come first.  Only doc_id and text are read; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     if tokenizer is None:
         import public_tokenizers
