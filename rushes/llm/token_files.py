@@ -28,7 +28,7 @@ from rushes.session import checkpoint_dir
 
 SEGMENT = 1 << 17
 #: Bytes of text that are encoded together, so that each distinct word of them is looked up once.
-TOGETHER = 2 << 20
+TOGETHER = 3 << 20
 BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
@@ -103,7 +103,7 @@ class WordEncoder:
     tokenizer is of that kind is tried on loading; texts of any other are handed to it whole.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 320_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
