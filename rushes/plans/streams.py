@@ -12,9 +12,9 @@ from rushes.streaming import streams
 
 
 def stream_of(spark, sf_dir, name):
-    """A driver table as a file stream."""
+    """A driver table as a file stream, whether it is one file or a folder of them."""
     schema = table(spark, sf_dir, name).schema
-    return streams.read_files(spark, sf_dir, schema, pathGlobFilter=f"{name}.parquet")
+    return streams.read_files(spark, f"{sf_dir}/{name}.parque[t]", schema)  # a pattern, as a stream's plain path must be a folder
 
 
 def run_stream(spark, sf_dir):

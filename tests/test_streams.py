@@ -93,3 +93,11 @@ def test_ordered_sampling_waits_for_the_watermark(spark, tmp_path):
     want = sampling.sample_every(plain, interval=1.0)
     assert sorted(map(tuple, out.where("file_id <> '-'").collect())) == sorted(map(tuple, want.collect()))
     assert late == 1
+
+
+def test_tables_may_be_folders(spark, tmp_path):
+    for name in ("documents", "events", "customer"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_first_seen", "stream_enrich"):
+        want = sorted(map(tuple, QUERIES[name](spark, SF).collect()), key=repr)
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()), key=repr) == want and want
