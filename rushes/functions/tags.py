@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rushes.functions.media import none_if_empty
 
@@ -165,25 +169,102 @@ def stereo_mode(streams: Column | str, tags: Column | str) -> Column:
 
 # --- embedded and sidecar XML ----------------------------------------------------------------------------
 
-def _any(name: str) -> str:
-    return f"//*[local-name()='{name}']"
+# Each text is parsed once, in an Arrow function that reads out what is needed; XPath functions of SQL would parse it once
+# for each path.  A text that is no XML gives nulls.
 
+def _by_name(el: ET.Element) -> dict[str, list[ET.Element]]:
+    """An element and those below it by their local names, in document order."""
+    found: dict[str, list[ET.Element]] = {}
+    for e in el.iter():
+        found.setdefault(e.tag.rpartition("}")[2], []).append(e)
+    return found
 
-def _xpath(xml: Column, path: str) -> Column:
-    return none_if_empty(F.xpath_string(xml, F.lit(path)))
+
+def _attribute(elements: list[ET.Element], key: str) -> str | None:
+    """An attribute of the first element that has it."""
+    return next((e.get(key) for e in elements if e.get(key) is not None), None) or None
+
+
+def _text(el: ET.Element | None) -> str | None:
+    return "".join(el.itertext()) or None if el is not None else None
+
+
+def _items(elements: list[ET.Element]) -> list[dict[str, str]]:
+    """``{name, value}`` of the elements that have both."""
+    return [{"name": e.get("name"), "value": e.get("value")} for e in elements if e.get("name") is not None and e.get("value") is not None]
+
+
+def _read_all(xml: pa.Array, read: Callable[[ET.Element], dict], fields: T.StructType) -> pa.Array:
+    out = []
+    for text in xml.to_pylist():
+        try:
+            out.append(read(ET.fromstring(text)) if text else {})
+        except ET.ParseError:
+            out.append({})
+    return pa.array(out, to_arrow_type(fields))
+
+
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+_ITEMS = T.ArrayType(_strings("name", "value"))
+_EMBEDDED = _strings("make", "model", "serial_number", "lens_model")
+_SONY = T.StructType([*_strings("make", "model", "lut_file").fields, T.StructField("items", _ITEMS), T.StructField("gps", _ITEMS)])
+_CANON = _strings("manufacturer", "model", "creation", "start", "date", "latitude", "longitude", "altitude")
+
+
+def _embedded(root: ET.Element) -> dict:
+    found = _by_name(root)
+    device = found.get("Device", [])
+    return {
+        "make": _attribute(device, "manufacturer"), "model": _attribute(device, "modelName"),
+        "serial_number": _attribute(device, "serialNo"), "lens_model": _attribute(found.get("Lens", []), "modelName"),
+    }
+
+
+def _sony(root: ET.Element) -> dict:
+    found = _by_name(root)
+    device, groups = found.get("Device", []), found.get("Group", [])
+    place = next((g for kind in ("ExifGPS", "GPSinExif") for g in groups if g.get("name") == kind), None)
+    below = _by_name(place).get("Item", []) if place is not None else []
+    return {
+        "make": _attribute(device, "manufacturer"), "model": _attribute(device, "modelName"),
+        "lut_file": _attribute([e for e in found.get("RelatedTo", []) if e.get("rel") == "LUT"], "file"),
+        "items": _items(found.get("Item", [])), "gps": _items(below),
+    }
+
+
+def _canon(root: ET.Element) -> dict:
+    found = _by_name(root)
+
+    def first(name: str) -> ET.Element | None:
+        return found[name][0] if name in found else None
+
+    def inside(parent: str, name: str) -> str | None:
+        """The text of the first child with a name in the first element with the parent's."""
+        children = first(parent) if parent in found else ()
+        return _text(next((c for c in children if c.tag.rpartition("}")[2] == name), None))
+
+    return {
+        "manufacturer": inside("Device", "Manufacturer"), "model": inside("Device", "ModelName"), "creation": _text(first("CreationDate")),
+        "start": _text(first("StartDate")), "date": _text(first("Date")), "latitude": inside("Location", "Latitude"),
+        "longitude": inside("Location", "Longitude"), "altitude": inside("Location", "Altitude"),
+    }
+
+
+def _reader(read: Callable[[ET.Element], dict], fields: T.StructType) -> Callable[[Column], Column]:
+    def run(xml: pa.Array) -> pa.Array:
+        return _read_all(xml, read, fields)
+
+    return F.arrow_udf(run, fields)
 
 
 def parse_embedded_xml(text: Column | str) -> Column:
     """Struct ``make, model, serial_number, lens_model`` of an XML fragment in a tag."""
     t = F.trim(_c(text))
     xml = F.when(t.startswith("<?xml"), t).otherwise(F.concat(F.lit("<root>"), t, F.lit("</root>")))
-    device = _any("Device")
-    return F.struct(
-        _xpath(xml, f"{device}/@manufacturer").alias("make"),
-        _xpath(xml, f"{device}/@modelName").alias("model"),
-        _xpath(xml, f"{device}/@serialNo").alias("serial_number"),
-        _xpath(xml, f"{_any('Lens')}/@modelName").alias("lens_model"),
-    )
+    return _reader(_embedded, _EMBEDDED)(xml)
 
 
 def _position(lat: Column, lon: Column, altitude: Column, valid: Column | None = None) -> Column:
@@ -205,22 +286,11 @@ def _position(lat: Column, lon: Column, altitude: Column, valid: Column | None =
     return let(parts, build)
 
 
-def _items(xml: Column, scope: str) -> Column:
-    """``{name, value}`` of the Item elements below a path, in document order."""
-    item = f"{scope}//*[local-name()='Item'][@name][@value]"
-    names, values = F.xpath(xml, F.lit(f"{item}/@name")), F.xpath(xml, F.lit(f"{item}/@value"))
-    return F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), v.alias("value")))
-
-
 def parse_sony_xml(xml: Column | str) -> Column:
     """Struct of device, place, colour and lens of a professional-disc sidecar.
 
     Of repeated items the last counts; of the two names for the position group, the first that exists.
     """
-    x = _c(xml)
-    exif, other = f"{_any('Group')}[@name='ExifGPS']", f"{_any('Group')}[@name='GPSinExif']"
-    position_group = f"({exif} | {other}[not({exif})])[1]"
-
     def build(s: Column) -> Column:
         def value(items: str, name: str) -> Column:
             named = F.filter(s[items], lambda i: i["name"] == name)
@@ -250,14 +320,7 @@ def parse_sony_xml(xml: Column | str) -> Column:
             item("Iris").alias("iris"),
         )
 
-    read = F.struct(
-        _xpath(x, f"{_any('Device')}/@manufacturer").alias("make"),
-        _xpath(x, f"{_any('Device')}/@modelName").alias("model"),
-        _xpath(x, f"{_any('RelatedTo')}[@rel='LUT']/@file").alias("lut_file"),
-        _items(x, "").alias("items"),
-        _items(x, position_group).alias("gps"),
-    )
-    return let(read, build)
+    return let(_reader(_sony, _SONY)(_c(xml)), build)
 
 
 # A root element in the maker's namespace.
@@ -268,27 +331,20 @@ def parse_canon_xml(xml: Column | str) -> Column:
     """Struct ``make, model, created_at, gps`` of a clip sidecar with element texts."""
     x = _c(xml)
 
-    def inside(parent: str, name: str) -> Column:
-        return _xpath(x, f"({_any(parent)})[1]/*[local-name()='{name}']")
-
-    def when(name: str) -> Column:
+    def when(text: Column) -> Column:
         def read(text: Column) -> Column:
             day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
             return F.when(text.contains("T") | day, parse_time(F.regexp_replace(text, "Z$", "")))
 
-        return let(F.trim(_xpath(x, f"({_any(name)})[1]")), read)
+        return let(F.trim(text), read)
 
+    s = _reader(_canon, _CANON)(x)
     return F.struct(
-        inside("Device", "Manufacturer").alias("make"),
-        inside("Device", "ModelName").alias("model"),
-        F.coalesce(when("CreationDate"), when("StartDate"), when("Date")).alias("created_at"),
-        _position(
-            inside("Location", "Latitude").try_cast("double"), inside("Location", "Longitude").try_cast("double"),
-            inside("Location", "Altitude"),
-        ).alias("gps"),
-        F.coalesce(
-            x.rlike(_CANON_ROOT) | inside("Device", "Manufacturer").contains("Canon"), x.rlike(_CANON_ROOT), F.lit(False)
-        ).alias("is_canon"),
+        s["manufacturer"].alias("make"),
+        s["model"].alias("model"),
+        F.coalesce(when(s["creation"]), when(s["start"]), when(s["date"])).alias("created_at"),
+        _position(s["latitude"].try_cast("double"), s["longitude"].try_cast("double"), s["altitude"]).alias("gps"),
+        F.coalesce(x.rlike(_CANON_ROOT) | s["manufacturer"].contains("Canon"), x.rlike(_CANON_ROOT), F.lit(False)).alias("is_canon"),
     )
 
 

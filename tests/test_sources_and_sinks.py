@@ -250,3 +250,19 @@ def test_rate_history_does_not_grow(spark, tmp_path):
     sinks.save_rates(spark.createDataFrame([("ocr", "4k", 1.0, 1.0, 1)], schema), path)
     assert spark.read.parquet(path).count() == 21
     assert sorted(r.rate for r in sinks.load_rates(spark, path).collect()) == [1.0, *map(float, range(100, 120))]
+
+
+def test_sidecars_are_parsed_once_and_broken_ones_give_nulls(spark):
+    from rushes.functions import tags as tg
+
+    sony = '<a:N xmlns:a="x"><a:Device manufacturer=""/><Device manufacturer="Z"/><Group name="GPSinExif"><Item name="Altitude" value="1"/></Group>' \
+        '<Group name="ExifGPS"><Item name="Latitude" value="5"/><Item name="Latitude" value="7"/><Item name="Longitude" value="&#56;"/></Group></a:N>'
+    canon = '<c:V xmlns:c="http://c"><Device/><Device><ModelName>no</ModelName></Device><Location><c:Latitude>1<!-- x -->2</c:Latitude><Longitude>3</Longitude></Location></c:V>'
+    df = spark.createDataFrame([(1, sony, canon), (2, "<N>", "<V>"), (3, None, None), (4, "", "")], "id int, s string, c string")
+    read = df.select("id", tg.parse_sony_xml("s").alias("s"), tg.parse_canon_xml("c").alias("c"), tg.parse_embedded_xml("s").alias("e"))
+    rows = read.orderBy("id").collect()
+    assert rows[0].s.make is None and tuple(rows[0].s.gps) == (7.0, 8.0, None)
+    assert rows[0].c.model is None and tuple(rows[0].c.gps) == (12.0, 3.0, None) and not rows[0].c.is_canon
+    assert all(r.s.gps is None and r.s.model is None and r.c.created_at is None and r.e.make is None for r in rows[1:])
+    plan = df.select(tg.parse_canon_xml("c"), tg.parse_sony_xml("s"))._jdf.queryExecution().executedPlan().toString()
+    assert "xpath" not in plan
