@@ -65,6 +65,18 @@ def scan_probe(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def probe_documents(texts: DataFrame) -> DataFrame:
+    """Probe documents of ``file_id, text`` rows, for very many documents kept together in few files, as ``scan_probe``."""
+    schema = f"{PROBE}, _corrupt string"
+    doc = F.from_json("text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # exploded, so that nothing that reads or filters the fields parses the text again
+    docs = texts.select("file_id", F.explode_outer(F.array(doc)).alias("_d"))
+    return docs.select(
+        "file_id", "_d.format", "_d.streams",
+        F.when(F.col("_d").isNull() | F.col("_d._corrupt").isNotNull(), "unreadable probe document").alias("error"),
+    )
+
+
 def scan_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``file_id, dir, stem, text``."""
     return spark.read.text(path, wholetext=True).select(
