@@ -111,6 +111,24 @@ def write_gpx(points: DataFrame, path: str, partitions: int | None = None) -> No
     placed.sortWithinPartitions(*order).select("file_id", "line").write.mode("overwrite").partitionBy("file_id").text(path)
 
 
+def write_gpx_packs(points: DataFrame, path: str) -> None:
+    """GPX documents of very many files in few: Parquet tables of their lines, each document whole and in order in one of them.
+
+    A folder for each file, as ``write_gpx`` makes it, costs the driver time for each one; this costs it time for each task.
+    """
+    order = ["file_id", "section", "t", "line"]
+    gpx_lines(points).repartition("file_id").sortWithinPartitions(*order).select(*order).write.mode("overwrite").parquet(path)
+
+
+def read_gpx_packs(spark: SparkSession, path: str) -> DataFrame:
+    """``file_id, n_files, text`` of packed documents; ``n_files`` is how many of the tables hold lines of it."""
+    lines = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
+    found = lines.groupBy("file_id").agg(
+        F.array_sort(F.collect_list(F.struct("section", "t", "line"))).alias("_l"), F.size(F.collect_set("_file")).cast("long").alias("n_files"))
+    text = F.concat(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    return found.select("file_id", "n_files", text.alias("text"))
+
+
 def save_rates(rates: DataFrame, path: str, n: int = 20) -> None:
     """Add rate samples to a history that keeps the last ``n`` of each extractor and bucket, whatever was ever added.
 

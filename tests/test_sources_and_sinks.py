@@ -285,3 +285,25 @@ def test_subtitle_texts_are_read_once_without_a_shuffle(spark):
     for out in (track, summary):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan and plan.count("concat(") == 1
+
+
+def test_packed_documents_equal_one_file_each(spark, tmp_path):
+    from rushes.sinks import files as sinks
+
+    texts = ['{"format":{"duration":"1.5","tags":{"Model":"x"}},"streams":[{"codec_type":"video","width":3}]}', '{"format":{"dura', "not json"]
+    (tmp_path / "p").mkdir()
+    for i, text in enumerate(texts):
+        (tmp_path / f"p/{i}.json").write_text(text)
+    rows = [(str(tmp_path / f"p/{i}.json"), text) for i, text in enumerate(texts)]
+    packed = sources.probe_documents(spark.createDataFrame([*rows, ("none", None)], "file_id string, text string"))
+    one_each = sorted(map(tuple, sources.scan_probe(spark, str(tmp_path / "p")).select("file_id", "format.duration", "streams.width", "error").collect()))
+    got = sorted(map(tuple, packed.select("file_id", "format.duration", "streams.width", "error").collect()))
+    assert [r for r in got if r[0] != "none"] == one_each and [r[3] for r in got if r[0] == "none"] == ["unreadable probe document"]
+    points = spark.createDataFrame([(f % 3, float(f * 7 % 5), 1.0, f / 4, 0.0, None) for f in range(40)],
+                                   "file_id int, t double, latitude double, longitude double, altitude double, recorded_at timestamp_ntz")
+    sinks.write_gpx(points, str(tmp_path / "g"))
+    sinks.write_gpx_packs(points, str(tmp_path / "packs"))
+    want = spark.read.text(str(tmp_path / "g"), wholetext=True).select(F.col("file_id").cast("int"), "value").collect()
+    got = sinks.read_gpx_packs(spark, str(tmp_path / "packs")).collect()
+    assert sorted((r.file_id, r.text) for r in got) == sorted(map(tuple, want)) and {r.n_files for r in got} == {1}
+    assert len(list((tmp_path / "packs").glob("*.parquet"))) <= 4
