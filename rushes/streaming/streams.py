@@ -160,26 +160,32 @@ class _OrderedSampler(StatefulProcessor):
             self.waiting.appendList([tuple(_plain(v) for v in row) for row in pdf[self.columns].itertuples(index=False, name=None)])
         if latest:
             self.handle.registerTimer(latest // 1000 + 1)
-        yield pd.DataFrame(columns=self.columns)
+        yield from ()  # an empty table for each key and batch would cost more than its rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns)
-        ready = held[held[_EVENT_US] <= passed].sort_values(self.order)
-        if len(ready):
-            rest = held[held[_EVENT_US] > passed]
-            if len(rest):
-                self.waiting.put([tuple(_plain(v) for v in row) for row in rest.itertuples(index=False, name=None)])
-            else:
-                self.waiting.clear()
-            last = self.last.get()[0] if self.last.exists() else None
-            keep = []
-            for t in ready[self.t]:
-                keep.append(last is None or t - last >= self.interval)
-                last = float(t) if keep[-1] else last
-            self.last.update((last,))
-            ready = ready[keep]
-        yield ready
+        if not self.waiting.exists():  # an earlier timer of the key has taken all
+            return
+        passed, at = timerValues.getCurrentWatermarkInMs() * 1000, self.columns.index(_EVENT_US)
+        ready, rest = [], []
+        for row in map(tuple, self.waiting.get()):
+            (ready if row[at] is not None and row[at] <= passed else rest).append(row)
+        if not ready:
+            return
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        places = [self.columns.index(c) for c in self.order]
+        ready.sort(key=lambda row: [(row[i] is None, 0 if row[i] is None else row[i]) for i in places])
+        last, kept, t_at = self.last.get()[0] if self.last.exists() else None, [], self.columns.index(self.t)
+        for row in ready:
+            t = row[t_at]
+            if last is None or t is not None and t - last >= self.interval:
+                kept.append(row)
+                last = float("nan") if t is None else float(t)  # nothing follows a row without time
+        self.last.update((last,))
+        if kept:
+            yield pd.DataFrame(kept, columns=self.columns)
 
     def close(self) -> None:
         pass
