@@ -132,7 +132,7 @@ QUERIES["op9_token_files"] = op9_token_files
 
 
 def op10_context_tree(spark, sf_dir):
-    return score_texts(read(spark, sf_dir, "documents")).select(
+    return score_texts(read(spark, sf_dir, "documents"), depth=5).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 

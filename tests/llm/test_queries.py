@@ -10,8 +10,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from rushes.llm import context_tree
 from rushes.llm.common import components
 from rushes.llm.context_tree import score_texts
 from rushes.llm.decontaminate import decontaminate, drop_contaminated
@@ -21,6 +23,7 @@ from rushes.llm.near_dedup import drop_near_duplicates, near_duplicates
 from rushes.llm.pieces import Model
 from rushes.llm.quality_classifier import classify, posteriors
 from rushes.llm.quality_rules import quality_rules
+from rushes.llm.queries import QUERIES
 from rushes.llm.sentencepiece_fst import decode, default_model, encode
 from rushes.llm.substring_dedup import cut_words, remove_passages, repeated_passages
 from rushes.llm.token_files import access, pack, read_at, token_documents, unpack, write_tokens
@@ -526,6 +529,60 @@ def test_scores_awkward(awkward, empty):
     assert score_texts(empty).count() == 0
 
 
+def brute_depth(training, texts, depth):
+    """log10 of the probability of each text by the definition, context by context."""
+    counts, longer, memo = collections.Counter(), collections.defaultdict(set), {}
+
+    def choices(text):
+        b = b"\0" * depth + text.encode() + b"\xff"
+        for k in range(depth, len(b)):
+            for bit in range(8):
+                yield b[k - depth : k], (b[k] | 256) >> (8 - bit), b[k] >> (7 - bit) & 1
+
+    for t in training:
+        for ctx, node, x in choices(t):
+            for d in range(depth + 1):
+                counts[ctx[depth - d :], node, x] += 1
+                if d:
+                    longer[ctx[depth - d + 1 :], node].add(ctx[depth - d :])
+
+    def weighted(ctx, node):
+        if (ctx, node) not in memo:
+            a, b = counts[ctx, node, 0], counts[ctx, node, 1]
+            own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+            below = None if len(ctx) == depth else sum(weighted(y, node)[0] for y in longer[ctx, node])
+            memo[ctx, node] = (own, 1.0) if below is None else (float(np.logaddexp(own, below)) - math.log(2), 1 / (1 + math.exp(min(700, below - own))))
+        return memo[ctx, node]
+
+    def one(ctx, node, d):
+        s = ctx[depth - d :]
+        a, b = counts[s, node, 0], counts[s, node, 1]
+        w = weighted(s, node)[1]
+        return w * (b + 0.5) / (a + b + 1) + (0 if d == depth else (1 - w) * one(ctx, node, d + 1))
+
+    return [sum(math.log10(p if x else 1 - p) for ctx, node, x in choices(t) for p in [one(ctx, node, 0)]) for t in texts]
+
+
+@pytest.mark.parametrize("depth,frequent", [(5, 1 << 21), (6, 20), (3, 0)])
+def test_deep_contexts_brute(spark, monkeypatch, depth, frequent):
+    monkeypatch.setattr(context_tree, "GRAMS", frequent)
+    monkeypatch.setattr(context_tree, "HEAD", frequent)
+    rng = np.random.default_rng(depth)
+    pool = ["abra", "cadabra", "\u00e9t\u00e9", "alakazam", "\u4e2d\u6587", " ", "\n"]
+    texts = ["".join(pool[k] for k in rng.integers(0, 7, rng.integers(0, 40))) for _ in range(30)] + [None, "", "zzz", "zzz"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    training = [t or "" for i, t in rows if i % 3]
+    want = dict(enumerate(brute_depth(training, [t or "" for t in texts], depth)))
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 3 != 0, depth).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    assert [r.score for r in got] == pytest.approx([want[r.doc_id] for r in got], rel=1e-6)
+
+
+def test_query_uses_deep_contexts(spark, docs):
+    two = score_texts(docs).groupBy().sum("score").first()[0]
+    assert QUERIES["op10_context_tree"](spark, SF).groupBy().sum("score").first()[0] > 0.9 * two
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, docs, texts):
     frame = docs
