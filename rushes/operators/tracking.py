@@ -441,39 +441,47 @@ def best_of_window(rows, gap: float, iou: float, same: float) -> list:
     return [e for _, e in best.values()]
 
 
-def scan_windows(
-    det: DataFrame, dense: float, sparse: float, tol: float, gap: float, iou: float, same: float, keys: Sequence[str]
-) -> DataFrame:
-    """``keys, step, mode, faces``: what each window that a scan may come to would see, one embedding per person.
+def close_windows(scan: FaceScan, rows: list, upto: float, tol: float, inside: tuple[float, float, float]) -> tuple[list[tuple], list]:
+    """Close the windows of a scan that are over once a detection at ``upto`` comes; what they found, and the rows still needed.
 
-    A window's start is a whole number of steps, whatever came before it, so all possible windows of a file are worked out
-    side by side: a detection falls into a few dense ones and at most one or two probes.
+    ``rows`` are (t, box, confidence, embedding) in order.
     """
-    unit, dense_steps, _ = _steps(dense, sparse)
-    step = F.col("_step")
-    last = F.floor(F.col("t") / unit)
-    # One step more on either side, against rounding; the windows' own bounds decide.
-    dense_in = F.transform(F.sequence(last - dense_steps, last + 1), lambda k: F.struct(k.alias("_step"), F.lit("dense").alias("mode")))
-    low = F.floor((F.col("t") - sparse / 2 - tol) / unit)
-    high = F.ceil((F.col("t") - sparse / 2 + tol) / unit)
-    sparse_in = F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("_step"), F.lit("sparse").alias("mode")))
-    rows = _flat(det).select(*keys, "duration", "t", "idx", "confidence", "_x", "_y", "_w", "_h", "embedding", F.explode(F.concat(dense_in, sparse_in)).alias("_in"))
-    rows = rows.select("*", "_in.*").drop("_in").where((step >= 0) & (step * unit < F.col("duration")))
-    middle = step * unit + sparse / 2
-    seen = F.when(F.col("mode") == "dense", (F.col("t") >= step * unit) & (F.col("t") < F.least((step + dense_steps) * unit, F.col("duration")))).otherwise(
-        (F.col("t") >= middle - tol) & (F.col("t") <= middle + tol)
-    )
+    out = []
+    while not scan.over:
+        low, high, closed = scan.sees(tol)
+        if not (high < upto if closed else high <= upto):
+            break
+        out.append(scan.close(best_of_window([r for r in rows if low <= r[0] and (r[0] <= high if closed else r[0] < high)], *inside)))
+        rows = [r for r in rows if r[0] >= scan.start - tol]
+    return out, rows
 
-    def make():
-        people = _People(gap, iou, same)
-        return lambda t, x, y, w, h, e: people.place(t, (x, y, w, h), e)
 
-    window = [*keys, "_step", "mode"]
-    placed = apply_state(rows.where(seen).drop("duration"), window, ["t", "idx"], make, ["t", "_x", "_y", "_w", "_h", "embedding"], "person", T.LongType())
-    best = F.max_by("embedding", F.struct("confidence", (-F.col("t")).alias("a"), (-F.col("idx")).alias("b")))
-    people = placed.groupBy(*window, "person").agg(best.alias("e"))
-    # As many as there are people in one window.
-    return people.groupBy(*window).agg(F.transform(F.sort_array(F.collect_list(F.struct("person", "e"))), lambda p: p["e"]).alias("faces"))
+class _Block:
+    """All windows that a scan may come to and that start in one block of a long file's steps, as detections pass them."""
+
+    def __init__(self, duration: float, first: int, steps: int, dense: float, sparse: float, tol: float, inside: tuple[float, float, float]):
+        self.duration, self.sparse, self.tol, self.inside = duration, sparse, tol, inside
+        self.unit, self.dense_steps, _ = _steps(dense, sparse)
+        self.step, self.end, self.rows = first, first + steps, []
+
+    @property
+    def over(self) -> bool:
+        return self.step >= self.end or self.step * self.unit >= self.duration
+
+    def close(self, upto: float) -> list[tuple]:
+        out = []
+        while not self.over:
+            start = self.step * self.unit
+            middle, end = start + self.sparse / 2, min((self.step + self.dense_steps) * self.unit, self.duration)
+            if max(middle + self.tol, end) >= upto:
+                break
+            for mode, seen in (("dense", [r for r in self.rows if start <= r[0] < end]),
+                               ("sparse", [r for r in self.rows if middle - self.tol <= r[0] <= middle + self.tol])):
+                if seen:
+                    out.append((self.step, mode, best_of_window(seen, *self.inside)))
+            self.step += 1
+            self.rows = [r for r in self.rows if r[0] >= self.step * self.unit - self.tol]
+        return out
 
 
 def plan_face_scan(
@@ -489,6 +497,7 @@ def plan_face_scan(
     gap: float = 5.0,
     iou: float = 0.2,
     same: float = 0.5,
+    seconds: float = 600.0,
 ) -> DataFrame:
     """Scan plan of files longer than ``min_duration``: one row per window with its mode and what it found.
 
@@ -497,22 +506,77 @@ def plan_face_scan(
     face turns it dense.  Windows without any face count only while nobody is known.  ``emb`` says who is known from
     earlier windows; ``gap``, ``iou`` and ``same`` say who is one person inside a window.
 
-    Detections are worked on by window (``scan_windows``), so a long file is spread over all tasks; what walks through a file
-    in order is one small row per window that has faces.
+    Detections and files are shuffled together, once, and walked through in time order; a walk holds the detections of the
+    windows that are open.  A file of up to ``seconds`` is walked through as a whole.  A longer one is cut into blocks of that
+    length: a window's start is a whole number of steps, whatever came before it, so the blocks work out side by side what
+    each window that the scan may come to would see, and what then walks through the file in order is one small row per window
+    that has faces.
     """
-    keys = list(keys)
-    long_files = files.filter(F.col("duration") > min_duration).select(*keys, "duration")
-    seen = scan_windows(det.join(long_files, keys), dense, sparse, tol, gap, iou, same, keys)
-    joined = long_files.join(seen, keys, "left").select(*keys, "duration", "_step", "mode", "faces")
-    placed = joined.repartition(*keys).sortWithinPartitions(*keys, "_step")
+    keys, inside = list(keys), (gap, iou, same)
+    unit, dense_steps, sparse_steps = _steps(dense, sparse)
+    steps = max(int(seconds / unit), dense_steps, sparse_steps)
+    span, t = steps * unit, F.col("t")
+    last = F.greatest(F.ceil(F.col("duration") / span).cast("long") - 1, F.lit(0).cast("long"))
+    blocks = files.filter(F.col("duration") > min_duration).select(
+        *keys, F.col("duration").cast("double").alias("duration"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_block"))
+    # The windows that may see a detection start so long before it or after it; a second more, against rounding.
+    low = F.floor((t - max(dense, sparse / 2 + tol) - 1) / span)
+    high = F.floor((t + max(tol - sparse / 2, 0.0) + 1) / span)
+    zero, inf = F.lit(0).cast("long"), F.lit(float("inf"))
+    timed = det.where(F.abs(t) < inf).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    rows = _flat(timed).select(
+        *keys, t.cast("double").alias("t"), "idx", F.when(F.isnan("confidence"), inf).otherwise(F.coalesce("confidence", -inf)).alias("confidence"),
+        "_x", "_y", "_w", "_h", "embedding", F.explode(F.sequence(F.greatest(low, zero), F.greatest(high, zero))).alias("_block"))
+    both = rows.unionByName(blocks, allowMissingColumns=True)
+    placed = both.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", F.col("duration").isNull(), "t", "idx")
     fields = [f for f in placed.schema.fields if f.name in keys]
-    schema = T.StructType([*fields, *T.StructType.fromDDL(PLAN).fields])
-    columns = [*keys, *[f.name for f in T.StructType.fromDDL(PLAN).fields]]
+    plan = T.StructType.fromDDL(PLAN).fields
+    names = [f.name for f in plan]
+    vector = next(f.dataType for f in placed.schema.fields if f.name == "embedding")
+    mixed = [*fields, *T.StructType.fromDDL("duration double, _step long, _mode string").fields, T.StructField("_faces", T.ArrayType(vector)), *plan]
+    width, schema = len(plan), T.StructType([*fields, *plan])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, held = None, None, []
+
+        def close(upto: float) -> list[tuple]:
+            nonlocal held
+            key = current[: len(keys)]
+            if isinstance(state, FaceScan):
+                done, held = close_windows(state, held, upto, tol, inside)
+                return [(*key, None, None, None, None, *r) for r in done]
+            return [(*key, state.duration, *r, *[None] * width) for r in state.close(upto)]
+
+        for pdf in frames:
+            out = []
+            for *key, duration, at, x, y, w, h, confidence, embedding in zip(*[pdf[c] for c in (*keys, "_block", "duration", "t", "_x", "_y", "_w", "_h", "confidence", "embedding")]):
+                key = tuple(key)
+                if key != current:
+                    out += close(np.inf) if state is not None else []
+                    current, state, held = key, None, []
+                    if duration == duration and duration is not None:  # else no file, or one that is too short
+                        if duration <= span:
+                            state = FaceScan(duration, dense, sparse, emb, settle)
+                        else:
+                            state = _Block(duration, key[-1] * steps, steps, dense, sparse, tol, inside)
+                            if key[-1] == 0:  # for files without any face
+                                out.append((*key[: len(keys)], duration, None, None, None, *[None] * width))
+                if state is None or at != at or at is None:
+                    continue
+                out += close(at)
+                if not state.over:
+                    (held if isinstance(state, FaceScan) else state.rows).append((at, (x, y, w, h), confidence, embedding))
+            yield _typed(out, [*keys, "duration", "_step", "_mode", "_faces", *names])
+        if state is not None:
+            yield _typed(close(np.inf), [*keys, "duration", "_step", "_mode", "_faces", *names])
+
+    walked = placed.mapInPandas(walk, T.StructType(mixed)).repartition(*keys).sortWithinPartitions(*keys, "_step", "window")
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pass on what is done and walk through the windows of long files."""
         current, scan, ahead = None, None, {}
 
-        def walk(upto: float) -> list[tuple]:
+        def go(upto: float) -> list[tuple]:
             """Close all windows that start before step ``upto``."""
             out = []
             while not scan.over and scan.at < upto:
@@ -522,16 +586,24 @@ def plan_face_scan(
             return out
 
         for pdf in frames:
-            out = []
-            for key, (duration, step, mode, faces) in zip(zip(*[pdf[k] for k in keys]), pdf[["duration", "_step", "mode", "faces"]].itertuples(index=False, name=None)):
-                if key != current:
-                    out += walk(np.inf) if scan is not None else []
-                    current, scan, ahead = key, FaceScan(duration, dense, sparse, emb, settle), {}
+            done = pdf["window"].notna()
+            if done.any():
+                yield pdf.loc[done, [*keys, *names]].astype({"window": "int64", "n_faces": "int64", "n_new": "int64", "all_known": "bool"})
+            out, open_ = [], pdf[~done]
+            for *key, duration, step, mode, faces in zip(*[open_[c] for c in (*keys, "duration", "_step", "_mode", "_faces")]):
+                if tuple(key) != current:
+                    out += go(np.inf) if scan is not None else []
+                    current, scan, ahead = tuple(key), FaceScan(duration, dense, sparse, emb, settle), {}
                 if mode is not None:
-                    out += walk(step)
+                    out += go(step)
                     ahead[int(step), mode] = list(faces)
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=[*keys, *names])
         if scan is not None:
-            yield pd.DataFrame(walk(np.inf), columns=columns)
+            yield pd.DataFrame(go(np.inf), columns=[*keys, *names])
 
-    return placed.mapInPandas(run, schema)
+    return walked.mapInPandas(join, schema)
+
+
+def _typed(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows with whole numbers that may be missing."""
+    return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("_step", "window", "n_faces", "n_new")})

@@ -247,6 +247,31 @@ def test_face_scan(spark):
     assert not [r for r in plan if r.file_id == "short"]
 
 
+def test_face_scan_of_long_files_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    vectors, rows = rng.normal(size=(6, 8)), []
+    for f, (length, n) in enumerate([(400, 500), (95, 60), (60.5, 20), (700, 8), (250, 0), (180, 300)]):
+        for i, t in enumerate(np.round(rng.random(n) * (length + 10) - 2, 2)):
+            person = max(0, min(5, int(t // 100)))
+            e = [None, [], vectors[rng.integers(0, person + 1)].tolist()][min(2, rng.integers(0, 12))]
+            rows.append((f, float(t), i, [None, .5, float(rng.random())][min(2, rng.integers(0, 6))], tuple(map(int, rng.integers(0, 200, 4) + 20)), e))
+    rows.append((None, 1.0, 0, .5, (1, 1, 9, 9), [1.0] * 8))
+    det = spark.createDataFrame(rows, "file_id long, t double, idx long, confidence double, bbox struct<x:int,y:int,width:int,height:int>, embedding array<double>")
+    files = spark.createDataFrame([(0, 400.0), (1, 95.0), (2, 60.5), (3, 700.0), (4, 250.0), (5, 180.0)], "file_id long, duration double")
+    whole = sorted(map(tuple, tracking.plan_face_scan(files, det).collect()))
+    assert {r[0] for r in whole} == set(range(6)) and {r[4] for r in whole} == {"dense", "sparse"}
+    for options in ({"seconds": 30.0}, {"seconds": 100.0}, {"seconds": 60.0, "tol": 6.0, "sparse": 10.0}):
+        rest = {k: v for k, v in options.items() if k != "seconds"}
+        want = sorted(map(tuple, tracking.plan_face_scan(files, det, **rest).collect())) if rest else whole
+        assert sorted(map(tuple, tracking.plan_face_scan(files, det, **options).collect())) == want
+
+
+def test_face_scan_shuffles_embeddings_once(spark):
+    det, files = boxes(spark, [(1, 0, [1.0, 0.0])]), spark.createDataFrame([("f", 100.0)], "file_id string, duration double")
+    plan = tracking.plan_face_scan(files, det)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the rows, then what windows found
+
+
 def test_review_of_a_single_face(spark):
     best = spark.createDataFrame([("f", 0, .2, (0, 0, 9, 9), 1)], "file_id string, person long, confidence double, bbox struct<x:int,y:int,width:int,height:int>, n_detections long")
     flagged = aggregates.review_flags(best.withColumns({"frame_width": F.lit(100), "frame_height": F.lit(100)}))
