@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -232,51 +233,81 @@ def stream_sample(
     )
 
 
+_HEAD = "<ddqqqqq"  # time, confidence, number and box of a detection
+
+
+def _packed(dtype: str):
+    """A detection as bytes, its vector at the end: a processor gets its rows value by value, and vectors would take most of its time."""
+
+    @F.pandas_udf("binary")
+    def pack(t: pd.Series, confidence: pd.Series, idx: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, embedding: pd.Series) -> pd.Series:
+        rows = zip(t, confidence, idx, x, y, w, h, embedding)
+        return pd.Series([struct.pack(_HEAD, *row) + (b"" if v is None else np.asarray(v, dtype).tobytes()) for *row, v in rows], dtype=object)
+
+    return pack
+
+
 class _FaceScanner(StatefulProcessor):
-    """The scan of one file between micro-batches, in typed columns: where it stands, who is known, and what waits."""
+    """The scan of one file between micro-batches, in typed columns: where it stands, who is known, and what waits.
 
-    def __init__(self, make, tol: float, inside: tuple[float, float, float], columns: list[str], whole_files: bool, ttl_ms: int | None):
-        self.make, self.tol, self.inside, self.columns, self.whole_files, self.ttl_ms = make, tol, inside, columns, whole_files, ttl_ms
+    Each call to the state store costs more than the rows of a short file.  So files that come whole keep only where the scan
+    stands, a file that is new reads nothing more, and one that is over keeps nothing more.
+    """
+
+    def __init__(self, make, tol: float, inside: tuple[float, float, float], columns: list[str], whole_files: bool, ttl_ms: int | None, dtype: str):
+        self.make, self.tol, self.inside, self.columns, self.whole_files, self.ttl_ms, self.dtype = make, tol, inside, columns, whole_files, ttl_ms, dtype
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.scan = handle.getValueState("scan", "duration double, at long, quiet int, probing boolean, number long", self.ttl_ms)
-        self.known = handle.getListState("known", "v array<double>", self.ttl_ms)
-        self.waiting = handle.getListState("waiting", "t double, idx long, x long, y long, w long, h long, confidence double, embedding array<double>", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        scan, waiting = None, list(self.waiting.get()) if self.waiting.exists() else []
-        latest = -float("inf")
-        for pdf in rows:
-            for t, idx, confidence, box, embedding, duration in zip(*[pdf[c] for c in ("t", "idx", "confidence", "bbox", "embedding", "duration")]):
-                scan = scan or self._scan(float(duration))
-                vector = None if embedding is None else [float(x) for x in embedding]
-                waiting.append((float(t), int(idx), *(int(box[c]) for c in ("x", "y", "width", "height")), float(confidence), vector))
-                latest = max(latest, float(t))
-        if scan is None:
+        if not self.whole_files:
+            self.known = handle.getListState("known", "v array<double>", self.ttl_ms)
+            self.waiting = handle.getListState("waiting", "detection binary", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        stood, waiting = self.scan.get(), []
+        scan = self._scan(stood) if stood is not None else None
+        for r in rows:
+            scan = scan or self.make(r["duration"])
+            waiting.append(self._row(r["detection"]))
+        if not waiting or stood is not None and scan.over:
             return
-        waiting.sort(key=lambda r: r[:2])
-        out, knew = [], len(scan.known)
+        latest = np.inf if self.whole_files else max(r[0] for r in waiting)
+        waited, knew = stood is not None and not self.whole_files and self.waiting.exists(), len(scan.known)
+        if waited:
+            waiting += [self._row(r[0]) for r in self.waiting.get()]
+        waiting.sort(key=lambda r: (r[0], r[4]))
+        out = []
         while not scan.over and (self.whole_files or scan.end + self.tol < latest):
             low, high, closed = scan.sees(self.tol)
-            seen = [(r[0], r[2:6], r[6], r[7]) for r in waiting if low <= r[0] and (r[0] <= high if closed else r[0] < high)]
+            seen = [r[:4] for r in waiting if low <= r[0] and (r[0] <= high if closed else r[0] < high)]
             out.append((*key, *scan.close(best_of_window(seen, *self.inside))))
             waiting = [r for r in waiting if r[0] >= scan.start - self.tol]
         self.scan.update((scan.duration, scan.at, scan.quiet, scan.probing, scan.number))
-        if len(scan.known) > knew:
+        if not self.whole_files:
+            self._keep(scan, knew, [] if scan.over else waiting, waited)
+        for values in out:
+            yield Row(**dict(zip(self.columns, values)))
+
+    def _row(self, packed: bytes) -> tuple:
+        t, confidence, idx, *box = struct.unpack_from(_HEAD, packed)
+        return t, tuple(box), confidence, np.frombuffer(packed, self.dtype, offset=struct.calcsize(_HEAD)), idx, bytes(packed)
+
+    def _keep(self, scan: FaceScan, knew: int, waiting: list, waited: bool) -> None:
+        if scan.over and knew:
+            self.known.clear()
+        elif not scan.over and len(scan.known) > knew:
             self.known.appendList([(v.tolist(),) for v in scan.known[knew:]])
         if waiting:
-            self.waiting.put(waiting)
-        else:
+            self.waiting.put([(r[5],) for r in waiting])
+        elif waited:
             self.waiting.clear()
-        yield pd.DataFrame(out, columns=self.columns)
 
-    def _scan(self, duration: float) -> FaceScan:
-        if not self.scan.exists():
-            return self.make(duration)
-        duration, at, quiet, probing, number = self.scan.get()
+    def _scan(self, stood: tuple) -> FaceScan:
+        duration, at, quiet, probing, number = stood
         scan = self.make(duration)
         scan.at, scan.quiet, scan.probing, scan.number = at, quiet, probing, number
-        scan.known = [np.array(v[0]) for v in self.known.get()] if self.known.exists() else []
+        if not scan.over and not self.whole_files and self.known.exists():
+            scan.known = [np.array(v[0]) for v in self.known.get()]
         return scan
 
     def close(self) -> None:
@@ -291,11 +322,17 @@ def stream_face_scan(
     """Streaming twin of ``plan_face_scan``; detections carry their file's ``duration`` and come in time order.
 
     A window is reported once a detection shows that it is over, or with the batch when ``whole_files`` says
-    that a file's detections all come in one micro-batch.  The state of a file is where its scan stands, one vector for each
-    known person, and the detections of the windows that are open.
+    that a file's detections all come in one micro-batch.  The state of a file is where its scan stands and, unless it comes whole
+    or is over, one vector for each known person and the detections of the windows that are open.
     """
     keys = list(keys)
-    rows = det.filter(F.col("duration") > min_duration)
+    inf = F.lit(float("inf"))
+    confidence = F.when(F.isnan("confidence"), inf).otherwise(F.coalesce("confidence", -inf))
+    box = [F.col(f"bbox.{c}").cast("long") for c in ("x", "y", "width", "height")]
+    dtype = "<f4" if det.schema["embedding"].dataType == T.ArrayType(T.FloatType(), det.schema["embedding"].dataType.containsNull) else "<f8"
+    packed = _packed(dtype)(F.col("t").cast("double"), confidence, F.col("idx").cast("long"), *box, F.col("embedding"))
+    rows = det.filter((F.col("duration") > min_duration) & (F.abs("t") < inf)).select(
+        *keys, F.col("duration").cast("double").alias("duration"), packed.alias("detection"))
     fields = [f for f in rows.schema.fields if f.name in keys]
     schema = T.StructType([*fields, *T.StructType.fromDDL(PLAN).fields])
     ttl_ms = int(ttl * 1000) if ttl else None
@@ -303,8 +340,8 @@ def stream_face_scan(
     def make(duration: float) -> FaceScan:
         return FaceScan(duration, dense, sparse, emb, settle)
 
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_FaceScanner(make, tol, (gap, iou, same), schema.names, whole_files, ttl_ms),
+    return rows.groupBy(*keys).transformWithState(
+        statefulProcessor=_FaceScanner(make, tol, (gap, iou, same), schema.names, whole_files, ttl_ms, dtype),
         outputStructType=schema,
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",

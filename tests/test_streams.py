@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from rushes.operators import sampling
+from rushes.operators import sampling, tracking
+from rushes.operators.tracking import PLAN, FaceScan
 from rushes.plans.catalog import QUERIES
 from rushes.streaming import streams
 
@@ -17,6 +21,53 @@ def test_face_scan_equals_batch(spark):
     assert batch == stream and batch
 
 
+def test_face_scan_goes_on_over_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    rng = np.random.default_rng(3)
+    vectors, rows = rng.normal(size=(4, 8)), []
+    for f, n in (("f", 120), ("g", 30)):
+        for i, t in enumerate(np.sort(np.round(rng.random(n) * 150, 2))):
+            e = None if i % 11 == 0 else vectors[rng.integers(0, 1 + int(t // 40))].tolist()
+            rows.append((f, 155.0, float(t), i, None if i % 7 == 0 else float(rng.random()), tuple(map(int, rng.integers(20, 200, 4))), e))
+        rows.append((f, 155.0, 154.9, 999, .5, (500, 500, 9, 9), None))
+    schema = "file_id string, duration double, t double, idx long, confidence double, bbox struct<x:int,y:int,width:int,height:int>, embedding array<double>"
+    batches = [[r for r in rows if r[2] // 52 == n] for n in range(3)]
+    out = streams.run_to_table(streams.stream_face_scan(arrive(spark, tmp_path / "in", batches, schema), ttl=None), "f", path=str(tmp_path / "out"))
+    det = spark.createDataFrame(rows, schema)
+    whole = sorted(map(tuple, tracking.plan_face_scan(det.select("file_id", "duration").distinct(), det.drop("duration")).collect()))
+    # The last row shows that windows up to 154.9 - 0.35 are over.
+    assert sorted(map(tuple, out.collect())) == [r for r in whole if r[3] < 154.9 - 0.35] and len(whole) > 10
+
+
+def test_whole_files_ask_little_of_the_state():
+    class Value:
+        calls, held = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, v):
+            self.calls, self.held = self.calls + 1, v
+
+    class Handle:
+        values = {}
+
+        def getValueState(self, name, *_):
+            return self.values.setdefault(name, Value())
+
+    scanner = streams._FaceScanner(lambda d: FaceScan(d, 30.0, 10.0, 0.5, 2), 0.35, (5.0, 0.2, 0.5), ["file_id", *PLAN_NAMES], True, None, "<f8")
+    scanner.init(Handle())  # no lists
+    packed = struct.pack(streams._HEAD, 5.0, 0.9, 1, 0, 0, 10, 10) + np.array([1.0, 0.0]).tobytes()
+    rows = list(scanner.handleInputRows(("f",), iter([{"duration": 65.0, "detection": packed}]), None))
+    assert [(r.window, r.n_faces, r.n_new) for r in rows] == [(0, 1, 1), (1, 0, 0), (2, 0, 0)]
+    assert sum(v.calls for v in Handle.values.values()) == 2
+    assert list(scanner.handleInputRows(("f",), iter([{"duration": 65.0, "detection": packed}]), None)) == []
+
+
+PLAN_NAMES = [f.split()[0] for f in PLAN.split(", ")]
+
+
 def test_sampling_goes_on_over_batches(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     rows = [("f", i * 0.4, i) for i in range(40)] + [("g", i * 0.7, i) for i in range(20)]
