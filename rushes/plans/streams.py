@@ -122,8 +122,8 @@ def stream_face_scan(spark, sf_dir):
         F.col("user_id").alias("file_id"), (micros_since(F.col("ts"), "2024-01-01").cast("double") / 3.6e10).alias("t"),
         e.alias("idx"), (F.lit(0.4) + (e * 7 % 60) / F.lit(100.0)).alias("confidence"),
         box(e * 37 % 120, e * 53 % 90, e % 120 + 60, e % 90 + 60).alias("bbox"), (e % n).alias("vec_id"))
+    det = det.join(durations(spark, sf_dir).select("file_id", "duration"), "file_id")  # many files are shuffled for it: before the vectors
     det = det.join(vectors.select("vec_id", "embedding"), "vec_id")
-    det = det.join(durations(spark, sf_dir).select("file_id", "duration"), "file_id")
     plan = streams.stream_face_scan(det.drop("vec_id"), emb=0.8, whole_files=True, ttl=None)
     return streams.run_to_table(plan, "face_scan")
 
